@@ -18,6 +18,17 @@ def col(c) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
+def let(value, body) -> Column:
+    """Evaluate ``value`` once and pass it to ``body`` as a lambda variable.
+
+    Higher-order functions run interpreted and Catalyst neither shares
+    subexpressions inside lambdas nor accounts for lambda multiplicity when it
+    collapses projections, so an array expression read from inside another
+    lambda would be recomputed per element.  Binding it through a one-element
+    ``transform`` computes it exactly once per row."""
+    return F.element_at(F.transform(F.array(col(value)), body), 1)
+
+
 def utrim(c) -> Column:
     """Unicode-aware trim (Spark's ``trim`` strips only ASCII blanks)."""
     return F.regexp_replace(col(c), r"(?U)^\s+|\s+$", "")
@@ -26,15 +37,14 @@ def utrim(c) -> Column:
 def lines(c) -> Column:
     """Split into lines like ``str::lines``: ``\\n`` or ``\\r\\n``, and one
     trailing empty line (after a final newline) dropped."""
-    parts = F.split(col(c), r"\r?\n")
-    return F.when(F.element_at(parts, -1) == "",
-                  F.slice(parts, 1, F.size(parts) - 1)).otherwise(parts)
+    return let(F.split(col(c), r"\r?\n"), lambda parts: F.when(
+        F.element_at(parts, -1) == "", F.slice(parts, 1, F.size(parts) - 1)).otherwise(parts))
 
 
 def words(c) -> Column:
     """Whitespace-separated words (``split_whitespace``); empty text -> []."""
-    t = utrim(c)
-    return F.when(t == "", F.array().cast("array<string>")).otherwise(F.split(t, WS + "+"))
+    return let(utrim(c), lambda t: F.when(t == "", F.array().cast("array<string>"))
+               .otherwise(F.split(t, WS + "+")))
 
 
 def word_count(c) -> Column:

@@ -15,7 +15,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import col, lines, utrim, word_count
+from ..functions.text import col, let, lines, utrim, word_count
 from ..functions.tokens import TokenCounter, approx4
 from .text_ops import split_instructions
 
@@ -45,11 +45,13 @@ def line_units(text) -> Column:
     """Line-based units: trimmed non-empty lines, fragments glued to the
     previous unit with a space.  Linear: fragments are tagged, the array is
     joined once, and tagged line breaks become spaces."""
-    ls = F.filter(F.transform(lines(text), utrim), lambda l: l != "")
-    tagged = F.transform(ls, lambda l, i: F.when((i > 0) & _is_fragment(l),
-                                                 F.concat(F.lit(_GLUE), l)).otherwise(l))
-    glued = F.replace(F.array_join(tagged, "\n"), F.lit("\n" + _GLUE), F.lit(" "))
-    return F.when(F.size(ls) == 0, F.array().cast("array<string>")).otherwise(F.split(glued, "\n"))
+    def body(ls):
+        tagged = F.transform(ls, lambda l, i: F.when((i > 0) & _is_fragment(l),
+                                                     F.concat(F.lit(_GLUE), l)).otherwise(l))
+        glued = F.replace(F.array_join(tagged, "\n"), F.lit("\n" + _GLUE), F.lit(" "))
+        return F.when(F.size(ls) == 0, F.array().cast("array<string>")).otherwise(F.split(glued, "\n"))
+
+    return let(F.filter(F.transform(lines(text), utrim), lambda l: l != ""), body)
 
 
 def punctuation_units(text) -> Column:
@@ -64,9 +66,9 @@ def sentences(text) -> Column:
     punctuation split *replaces* them (deviation M12: the reference appends
     it, duplicating text).  Pieces of <= 3 bytes or only dots/blanks go."""
     t = col(text)
-    units = line_units(t)
     dots = F.char_length(t) - F.char_length(F.replace(t, F.lit("."), F.lit("")))
-    chosen = F.when(F.size(units) < F.floor(dots / 3), punctuation_units(t)).otherwise(units)
+    chosen = let(line_units(t), lambda units: F.when(
+        F.size(units) < F.floor(dots / 3), punctuation_units(t)).otherwise(units))
     return F.filter(F.transform(chosen, utrim),
                     lambda s: (F.octet_length(s) > SENTENCE_MIN_BYTES) & ~s.rlike(r"(?U)^[\s.]+$"))
 
@@ -156,10 +158,11 @@ def select_within_budget(items, target) -> Column:
     def step(acc, x):
         dup = F.array_contains(acc.hs, x.h)
         fits = (acc.total + x.tokens <= target) | (F.size(acc.picks) == 0)
-        return (F.when(dup, F.struct(acc.picks, acc.hs, acc.total, (acc.dups + 1).alias("dups")))
+        return (F.when(dup, F.struct(acc.picks.alias("picks"), acc.hs.alias("hs"),
+                                     acc.total.alias("total"), (acc.dups + 1).alias("dups")))
                 .when(fits, F.struct(F.concat(acc.picks, F.array(x.idx)).alias("picks"),
                                      F.concat(acc.hs, F.array(x.h)).alias("hs"),
-                                     (acc.total + x.tokens).alias("total"), acc.dups))
+                                     (acc.total + x.tokens).alias("total"), acc.dups.alias("dups")))
                 .otherwise(acc))
 
     return F.aggregate(col(items), init, step,
@@ -187,27 +190,38 @@ def target_tokens(original_tokens, ratio) -> Column:
     return F.floor(col(original_tokens).cast("double") * (F.lit(1.0) - r)).cast("bigint")
 
 
-def compress_sentences(text, target, rules: RuleSet = REFERENCE_RULES,
-                       counter: TokenCounter = approx4, scores=None) -> Column:
-    """C3 for one text column: struct<text, n_sentences, n_selected,
-    redundant_removed, selected_tokens>.  ``scores`` may supply an
-    array<double> aligned with the sentences (semantic / hybrid modes)."""
-    sents = sentences(text)
-    sc = scores if scores is not None else F.transform(sents, lambda s: heuristic_score(s, rules))
-    items = F.array_sort(F.transform(sents, lambda s, i: F.struct(
-        (-F.element_at(sc, i + 1)).alias("k"), i.alias("idx"),
-        counter(s).alias("tokens"),
-        F.xxhash64(F.lower(utrim(s))).alias("h"))))
-    walk = F.transform(items, lambda x: F.struct(x.idx.alias("idx"), x.tokens.alias("tokens"),
-                                                 x.h.alias("h")))
-    picked = select_within_budget(walk, target)
-    joined = F.array_join(F.transform(picked.picks, lambda i: F.element_at(sents, i + 1)), " ")
-    return F.struct(
-        F.when(F.size(sents) == 0, col(text)).otherwise(joined).alias("text"),
-        F.size(sents).alias("n_sentences"),
-        F.size(picked.picks).alias("n_selected"),
-        picked.dups.alias("redundant_removed"),
-        picked.total.alias("selected_tokens"))
+def with_compressed_sentences(df: DataFrame, text_col: str, target_col: str, out: str,
+                              rules: RuleSet = REFERENCE_RULES, counter: TokenCounter = approx4,
+                              scores_col: str | None = None) -> DataFrame:
+    """Adds ``out`` = struct<text, n_sentences, n_selected,
+    redundant_removed, selected_tokens>.
+
+    Every array that a lambda reads is staged as its own column first:
+    higher-order functions run interpreted and Catalyst does not share
+    subexpressions inside lambdas, so an inlined ``sentences(text)`` would be
+    recomputed per element.  ``scores_col`` may supply an array<double>
+    aligned with the sentences (semantic / hybrid modes)."""
+    s, it, pk = f"{out}__s", f"{out}__it", f"{out}__pk"
+    staged = df.withColumn(s, sentences(text_col))
+    if scores_col:
+        scored = F.transform(F.arrays_zip(F.col(s).alias("x"), F.col(scores_col).alias("v")),
+                             lambda z, i: F.struct((-z.v).alias("k"), i.alias("idx"),
+                                                   counter(z.x).alias("tokens"),
+                                                   F.xxhash64(F.lower(z.x)).alias("h")))
+    else:
+        scored = F.transform(s, lambda x, i: F.struct(
+            (-heuristic_score(x, rules)).alias("k"), i.alias("idx"), counter(x).alias("tokens"),
+            F.xxhash64(F.lower(x)).alias("h")))
+    staged = staged.withColumn(it, F.transform(F.array_sort(scored), lambda x: F.struct(
+        x.idx.alias("idx"), x.tokens.alias("tokens"), x.h.alias("h"))))
+    staged = staged.withColumn(pk, select_within_budget(it, F.col(target_col)))
+    joined = F.array_join(F.transform(F.col(f"{pk}.picks"), lambda i: F.element_at(F.col(s), i + 1)), " ")
+    return staged.withColumn(out, F.struct(
+        F.when(F.size(s) == 0, F.col(text_col)).otherwise(joined).alias("text"),
+        F.size(s).alias("n_sentences"),
+        F.size(f"{pk}.picks").alias("n_selected"),
+        F.col(f"{pk}.dups").alias("redundant_removed"),
+        F.col(f"{pk}.total").alias("selected_tokens"))).drop(s, it, pk)
 
 
 def extractive_compress(df: DataFrame, text_col: str = "text",
@@ -220,35 +234,30 @@ def extractive_compress(df: DataFrame, text_col: str = "text",
     ``ratio_col`` lets one plan compress every row at its own level (the
     benchmark matrix) while staying a single narrow stage."""
     cnt = config.counter
-    t = F.col(text_col)
     ratio = F.col(ratio_col) if ratio_col else F.lit(float(config.ratio))
-    instr, payload = split_instructions(t)
-    orig = cnt(t)
-    tgt = target_tokens(orig, ratio)
-    comp = compress_sentences(instr, tgt, config.rules, cnt)
-    gated = orig < MIN_TOKENS_FOR_COMPRESSION
-    already = orig <= tgt
-    body = F.when(gated | already, instr).otherwise(comp.text)
-    task = F.when(gated, t).otherwise(utrim(F.concat(body, payload)))
-    out = (df.withColumn("original_tokens", orig)
-           .withColumn("target_tokens", F.when(gated, F.lit(None).cast("bigint")).otherwise(tgt))
-           .withColumn("_c", comp)
-           .withColumn("task", task)
-           .withColumn("compressed_tokens", F.lit(FORMAT_OVERHEAD_TOKENS).cast("bigint") + cnt(F.col("task")))
-           .withColumn("tokens_saved", F.greatest(F.col("original_tokens") - F.col("compressed_tokens"),
-                                                  F.lit(0)).cast("bigint"))
-           .withColumn("compression_ratio", F.when(F.col("original_tokens") > 0,
-                                                   F.col("tokens_saved") / F.col("original_tokens"))
-                       .otherwise(F.lit(0.0)))
-           .withColumn("n_sentences", F.when(gated | already, F.lit(0)).otherwise(F.col("_c.n_sentences")))
-           .withColumn("n_selected", F.when(gated | already, F.lit(0)).otherwise(F.col("_c.n_selected")))
-           .withColumn("redundant_removed",
-                       F.when(gated | already, F.lit(0)).otherwise(F.col("_c.redundant_removed")))
-           .withColumn("low_relevance_removed",
-                       F.when(gated | already, F.lit(0)).otherwise(
-                           F.greatest(F.octet_length(instr) - F.octet_length(F.col("_c.text")), F.lit(0))))
-           .drop("_c"))
-    return out
+    instr, payload = split_instructions(F.col(text_col))
+    staged = (df.withColumn("_instr", instr).withColumn("_payload", payload)
+              .withColumn("original_tokens", cnt(F.col(text_col)))
+              .withColumn("_tgt", target_tokens("original_tokens", ratio)))
+    staged = with_compressed_sentences(staged, "_instr", "_tgt", "_c", config.rules, cnt)
+    gated = F.col("original_tokens") < MIN_TOKENS_FOR_COMPRESSION
+    skip = gated | (F.col("original_tokens") <= F.col("_tgt"))
+    body = F.when(skip, F.col("_instr")).otherwise(F.col("_c.text"))
+    return (staged
+            .withColumn("target_tokens", F.when(gated, F.lit(None).cast("bigint")).otherwise(F.col("_tgt")))
+            .withColumn("task", F.when(gated, F.col(text_col)).otherwise(utrim(F.concat(body, "_payload"))))
+            .withColumn("compressed_tokens", F.lit(FORMAT_OVERHEAD_TOKENS).cast("bigint") + cnt(F.col("task")))
+            .withColumn("tokens_saved", F.greatest(F.col("original_tokens") - F.col("compressed_tokens"),
+                                                   F.lit(0)).cast("bigint"))
+            .withColumn("compression_ratio", F.when(F.col("original_tokens") > 0,
+                                                    F.col("tokens_saved") / F.col("original_tokens"))
+                        .otherwise(F.lit(0.0)))
+            .withColumn("n_sentences", F.when(skip, F.lit(0)).otherwise(F.col("_c.n_sentences")))
+            .withColumn("n_selected", F.when(skip, F.lit(0)).otherwise(F.col("_c.n_selected")))
+            .withColumn("redundant_removed", F.when(skip, F.lit(0)).otherwise(F.col("_c.redundant_removed")))
+            .withColumn("low_relevance_removed", F.when(skip, F.lit(0)).otherwise(
+                F.greatest(F.octet_length("_instr") - F.octet_length(F.col("_c.text")), F.lit(0))))
+            .drop("_c", "_instr", "_payload", "_tgt"))
 
 
 def level_ratio(level) -> Column:
@@ -271,3 +280,69 @@ def sentence_table(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     for k, rs in enumerate(rules):
         out = out.withColumn(f"score_{k}", heuristic_score("sentence", rs))
     return out.withColumn("density", information_density("sentence"))
+
+
+# ------------------------------------------------------ C2 structured mode
+
+def line_offsets(ls) -> Column:
+    """0-based start offset of every line (running sum of length + 1)."""
+    return F.aggregate(col(ls), F.struct(F.lit(0).alias("pos"), F.array().cast("array<int>").alias("out")),
+                       lambda acc, l: F.struct((acc.pos + F.char_length(l) + 1).alias("pos"),
+                                               F.concat(acc.out, F.array(acc.pos)).alias("out"))).out
+
+
+def segments(text, blocks) -> Column:
+    """Cut before header lines that are not inside a block, and after
+    the line that reaches a block's end.  Trimmed, empty segments dropped."""
+    from .text_ops import is_header
+
+    def with_lines(ls, b):
+        offs = line_offsets(ls)
+        spans = F.transform(F.arrays_zip(ls.alias("l"), offs.alias("s")), lambda z: F.struct(
+            z.l.alias("l"), z.s.alias("s"), (z.s + F.char_length(z.l)).alias("e")))
+        flagged = F.transform(spans, lambda x: F.struct(
+            x.l.alias("l"),
+            F.exists(b, lambda k: (x.s >= k.start) & (x.e <= k.end)).alias("inside"),
+            F.exists(b, lambda k: (x.s >= k.start) & (x.e <= k.end) & (x.e >= k.end - 1)).alias("closes")))
+        return let(flagged, lambda fl: F.transform(fl, lambda x, i: F.when(
+            (i > 0) & ((is_header(x.l) & ~x.inside) | F.element_at(fl, F.greatest(i, F.lit(1))).closes),
+            F.concat(F.lit(_GLUE), x.l)).otherwise(x.l)))
+
+    tagged = let(lines(text), lambda ls: let(col(blocks), lambda b: with_lines(ls, b)))
+    segs = F.split(F.array_join(tagged, "\n"), "\n" + _GLUE)
+    return F.filter(F.transform(segs, utrim), lambda s: s != "")
+
+
+def segment_score(segment, rules: RuleSet = REFERENCE_RULES) -> Column:
+    """Sentence score plus structure bonuses."""
+    s = col(segment)
+    low = F.lower(s)
+    n_lines = F.size(lines(s))
+    return (heuristic_score(s, rules)
+            + F.when(utrim(s).startswith("#"), F.lit(5.0)).otherwise(F.lit(0.0))
+            + F.when(s.contains("<table") | s.contains("```") | s.contains("{"), F.lit(4.0))
+            .otherwise(F.lit(0.0))
+            + F.when(low.contains("definition:") | low.contains("location:"), F.lit(3.5))
+            .otherwise(F.lit(0.0))
+            + F.when(n_lines.between(3, 20), F.lit(1.0)).when(n_lines > 20, F.lit(2.0))
+            .otherwise(F.lit(0.0))
+            + F.when(s.contains("[REF:"), F.lit(1.5)).otherwise(F.lit(0.0)))
+
+
+def compress_structured(text, target, rules: RuleSet = REFERENCE_RULES,
+                        counter: TokenCounter = approx4) -> Column:
+    """Segments scored and walked in score order within the budget (no
+    de-duplication in this mode), re-joined with newlines in document order
+    (deviation M13).  struct<text, n_segments, n_selected, selected_tokens>."""
+    from .text_ops import structured_blocks
+    segs = segments(text, structured_blocks(text))
+    items = F.array_sort(F.transform(segs, lambda s, i: F.struct(
+        (-segment_score(s, rules)).alias("k"), i.alias("idx"), counter(s).alias("tokens"),
+        i.cast("bigint").alias("h"))))
+    walk = F.transform(items, lambda x: F.struct(x.idx.alias("idx"), x.tokens.alias("tokens"),
+                                                 x.h.alias("h")))
+    picked = select_within_budget(walk, target)
+    return F.struct(
+        F.array_join(F.transform(picked.picks, lambda i: F.element_at(segs, i + 1)), "\n").alias("text"),
+        F.size(segs).alias("n_segments"), F.size(picked.picks).alias("n_selected"),
+        picked.total.alias("selected_tokens"))

@@ -10,7 +10,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import col, lines, normalize_text, utrim, words
+from ..functions.text import col, let, lines, normalize_text, utrim, words
 
 # ---------------------------------------------------------------- S4 format
 
@@ -134,12 +134,18 @@ def payload_start(text) -> Column:
     return F.when(doc > 0, doc).when(line > 0, line).otherwise(F.lit(0))
 
 
-def split_instructions(text) -> tuple[Column, Column]:
+def split_parts(text) -> Column:
+    """struct<head, tail>: instructions and verbatim payload (split point
+    computed once)."""
     t = col(text)
-    p = payload_start(t)
-    head = F.when(p > 0, F.substring(t, F.lit(1), p - 1)).otherwise(t)
-    tail = F.when(p > 0, F.substring(t, p, 1 << 30)).otherwise(F.lit(""))
-    return head, tail
+    return let(payload_start(t), lambda p: F.struct(
+        F.when(p > 0, F.substring(t, F.lit(1), p - 1)).otherwise(t).alias("head"),
+        F.when(p > 0, F.substring(t, p, 1 << 30)).otherwise(F.lit("")).alias("tail")))
+
+
+def split_instructions(text) -> tuple[Column, Column]:
+    parts = split_parts(text)
+    return parts.head, parts.tail
 
 
 # ------------------------------------------------------------ S12 harvest
@@ -295,29 +301,29 @@ def _occurrence_starts(text, literal: str) -> Column:
 
 def table_blocks(text) -> Column:
     """``<table`` starts zipped with ``</table>`` ends (end past the tag)."""
-    starts = _occurrence_starts(text, "<table")
     ends = F.transform(_occurrence_starts(text, "</table>"), lambda e: e + 8)
-    n = F.least(F.size(starts), F.size(ends))
-    return F.when(n > 0, F.transform(F.sequence(F.lit(1), n), lambda k: F.struct(
-        F.element_at(starts, k).alias("start"), F.element_at(ends, k).alias("end"),
-        F.lit("table").alias("kind")))).otherwise(F.array().cast(_BLOCKS))
+    pairs = F.arrays_zip(_occurrence_starts(text, "<table").alias("start"), ends.alias("end"))
+    return F.transform(F.filter(pairs, lambda z: z.start.isNotNull() & z.end.isNotNull()),
+                       lambda z: F.struct(z.start.alias("start"), z.end.alias("end"),
+                                          F.lit("table").alias("kind")))
 
 
 def fence_blocks(text) -> Column:
     """Code fences: consecutive pairs of lines whose trimmed text opens with
     ```; a block spans from the opening line start to the closing line end."""
-    ls = lines(text)
-    starts = F.aggregate(ls, F.struct(F.lit(0).alias("pos"), F.array().cast("array<int>").alias("out")),
-                         lambda acc, l: F.struct((acc.pos + F.char_length(l) + 1).alias("pos"),
-                                                 F.concat(acc.out, F.array(acc.pos)).alias("out"))).out
-    fences = F.filter(F.sequence(F.lit(0), F.size(ls) - 1),
-                      lambda i: utrim(F.element_at(ls, i + 1)).startswith("```"))
-    pairs = F.sequence(F.lit(1), F.floor(F.size(fences) / 2).cast("int"))
-    return F.when(F.size(fences) >= 2, F.transform(pairs, lambda k: F.struct(
-        F.element_at(starts, F.element_at(fences, 2 * k - 1) + 1).alias("start"),
-        (F.element_at(starts, F.element_at(fences, 2 * k) + 1)
-         + F.char_length(F.element_at(ls, F.element_at(fences, 2 * k) + 1))).alias("end"),
-        F.lit("code").alias("kind")))).otherwise(F.array().cast(_BLOCKS))
+    def body(ls):
+        starts = F.aggregate(ls, F.struct(F.lit(0).alias("pos"), F.array().cast("array<int>").alias("out")),
+                             lambda acc, l: F.struct((acc.pos + F.char_length(l) + 1).alias("pos"),
+                                                     F.concat(acc.out, F.array(acc.pos)).alias("out"))).out
+        spans = F.transform(F.arrays_zip(ls.alias("l"), starts.alias("s")), lambda z: F.struct(
+            z.s.alias("start"), (z.s + F.char_length(z.l)).alias("end"),
+            utrim(z.l).startswith("```").alias("fence")))
+        return let(F.filter(spans, lambda x: x.fence), lambda f: F.transform(
+            F.filter(F.sequence(F.lit(1), F.size(f)), lambda k: (k % 2 == 1) & (k < F.size(f))),
+            lambda k: F.struct(F.element_at(f, k).start.alias("start"),
+                               F.element_at(f, k + 1).end.alias("end"), F.lit("code").alias("kind"))))
+
+    return let(lines(text), body)
 
 
 def structured_blocks(text) -> Column:

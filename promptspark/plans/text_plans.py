@@ -295,7 +295,11 @@ def harvest_prompts(spark, sf_dir):
 
 @register("structured_blocks")
 def structured_blocks(spark, sf_dir):
-    """P19 on pages: one row per bracket / table / fence block."""
-    pages = table(spark, sf_dir, "pages", "page_id", "html")
-    b = pages.select("page_id", F.explode(tx.structured_blocks("html")).alias("b"))
+    """P19 on a page bundle: the raw page, its text in a code fence and a
+    page-JSON record (whole texts), one row per bracket / table / fence block."""
+    pages = table(spark, sf_dir, "pages", "page_id", "url", "html")
+    bundle = pages.select("page_id", F.concat_ws(
+        "\n", "html", F.lit("```"), tx.strip_tags("html"), F.lit("```"),
+        F.to_json(F.struct(F.col("url").alias("content"), F.col("page_id").alias("page")))).alias("t"))
+    b = bundle.select("page_id", F.explode(tx.structured_blocks("t")).alias("b"))
     return b.select("page_id", "b.start", "b.end", "b.kind")
