@@ -1 +1,134 @@
-"""Plans (filled in as operators land)."""
+"""Plans for similarity, fuzzy matching and the pattern library (step 4)."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from ..functions.text import max_char_bytes, normalize_text
+from ..functions.tokens import approx4
+from ..operators import patterns as pt
+from ..operators import similarity as sm
+from ..operators.text_ops import categorize
+from ..sources.tables import table
+from . import register
+from .sqlsnip import norm_text
+
+TAU = pt.MIN_SIMILARITY
+
+# Oracle-only device: DuckDB's levenshtein counts bytes, the reference counts
+# code points.  The corpus' 21 two-byte letters are mapped one-to-one onto
+# unused single-byte control codes (never whitespace) before levenshtein, so
+# the byte distance equals the code-point distance.  Denominators use the
+# untranslated byte lengths.
+_WIDE = "ÄÇÈÉÊÍÑÓÖÜßäçèéêíñóöü"
+_NARROW = " || ".join(f"chr({c})" for c in list(range(1, 9)) + list(range(14, 27)))
+
+
+def _cp(e: str) -> str:
+    return f"translate({e}, '{_WIDE}', {_NARROW})"
+
+
+def _sql_sim(a: str, b: str) -> str:
+    return (f"CASE WHEN greatest(strlen({a}), strlen({b})) = 0 THEN 1.0 ELSE "
+            f"1.0 - levenshtein({_cp(a)}, {_cp(b)})::DOUBLE / greatest(strlen({a}), strlen({b})) END")
+
+
+def _sql_wordset(e: str) -> str:
+    return f"list_distinct(list_filter(string_split_regex({norm_text(e)}, ' '), lambda w: w <> ''))"
+
+
+def benchmark_library(spark, sf_dir):
+    """The benchmark passages as a pattern library (ids by item order)."""
+    b = table(spark, sf_dir, "benchmark", "item_id", "text")
+    return b.select(F.format_string("%s_%03d", categorize("text"), F.col("item_id") + 1).alias("id"),
+                    F.col("text").alias("content"), F.lit(1).cast("long").alias("frequency"),
+                    approx4(F.col("text")).alias("avg_tokens"), categorize("text").alias("category"),
+                    "item_id")
+
+
+@register("pair_similarity", f"""
+WITH p AS (SELECT a.item_id, a.text AS ta, b.text AS tb FROM benchmark a
+           JOIN benchmark b ON b.item_id = a.item_id + 1),
+w AS (SELECT item_id, ta, tb, p2.w, p2.side FROM p,
+        LATERAL (SELECT unnest(string_split_regex({norm_text('ta')}, ' ')) AS w, 0 AS side
+                 UNION ALL SELECT unnest(string_split_regex({norm_text('tb')}, ' ')), 1) p2),
+tf AS (SELECT item_id, w, sum(CASE WHEN side = 0 THEN 1 ELSE 0 END) AS ca,
+              sum(CASE WHEN side = 1 THEN 1 ELSE 0 END) AS cb FROM w WHERE w <> '' GROUP BY item_id, w),
+cs AS (SELECT item_id, sum(ca * cb)::DOUBLE AS dot, sum(ca * ca)::DOUBLE AS na,
+              sum(cb * cb)::DOUBLE AS nb FROM tf GROUP BY item_id)
+SELECT p.item_id, {_sql_sim('ta', 'tb')} AS similarity,
+       {_sql_sim(norm_text('ta'), norm_text('tb'))} AS normalized_similarity,
+       CASE WHEN len({_sql_wordset('ta')}) = 0 AND len({_sql_wordset('tb')}) = 0 THEN 1.0
+            ELSE len(list_intersect({_sql_wordset('ta')}, {_sql_wordset('tb')}))::DOUBLE
+                 / len(list_distinct(list_concat({_sql_wordset('ta')}, {_sql_wordset('tb')}))) END
+         AS word_jaccard,
+       CASE WHEN coalesce(cs.na, 0) = 0 OR coalesce(cs.nb, 0) = 0 THEN 0.0
+            ELSE cs.dot / (sqrt(cs.na) * sqrt(cs.nb)) END AS word_cosine
+FROM p LEFT JOIN cs ON p.item_id = cs.item_id""")
+def pair_similarity(spark, sf_dir):
+    b = table(spark, sf_dir, "benchmark", "item_id", "text")
+    nxt = b.select((F.col("item_id") - 1).alias("item_id"), F.col("text").alias("tb"))
+    pairs = b.select("item_id", F.col("text").alias("ta")).join(nxt, "item_id")
+    cos = sm.word_cosine(pairs, "item_id", "ta", "tb")
+    return pairs.select("item_id", sm.similarity("ta", "tb").alias("similarity"),
+                        sm.normalized_similarity("ta", "tb").alias("normalized_similarity"),
+                        sm.word_jaccard("ta", "tb").alias("word_jaccard")) \
+        .join(cos, "item_id")
+
+
+@register("similar_patterns", f"""
+WITH n AS (SELECT item_id, {norm_text('text')} AS t FROM benchmark),
+s AS (SELECT a.item_id AS text_id, b.item_id AS match_id, {_sql_sim('a.t', 'b.t')} AS similarity
+      FROM n a JOIN n b ON a.item_id <> b.item_id
+       AND abs(length(a.t) - length(b.t)) <= greatest(length(a.t), length(b.t)))
+SELECT text_id, match_id, similarity FROM s WHERE similarity >= {TAU}""")
+def similar_patterns(spark, sf_dir):
+    """For each benchmark passage, the other passages of the library
+    within normalised similarity 0.85."""
+    lib = benchmark_library(spark, sf_dir)
+    texts = table(spark, sf_dir, "benchmark", "item_id", "text").withColumnRenamed("item_id", "text_id")
+    m = pt.similar_patterns(lib, texts, TAU)
+    return m.join(lib.select("id", F.col("item_id").alias("match_id")), "id") \
+        .filter(F.col("text_id") != F.col("match_id")).select("text_id", "match_id", "similarity")
+
+
+def pattern_match(spark, sf_dir):
+    """J5 + C4: benchmark passages found (fuzzily) inside documents, with the
+    reference each kept match becomes after overlap resolution."""
+    docs = table(spark, sf_dir, "documents", "doc_id", "text")
+    lib = benchmark_library(spark, sf_dir).drop("item_id")
+    m = max_char_bytes(docs, "text")
+    matches = pt.pattern_matches(docs, lib, tau=TAU, max_char_bytes=m)
+    refs = pt.substitute(matches, lib)
+    return refs.join(matches.select("doc_id", "id", "similarity"), ["doc_id", "id"])
+
+
+def mine_patterns(spark, sf_dir):
+    """E5: the pattern library mined from the whole document corpus."""
+    docs = table(spark, sf_dir, "documents", "doc_id", "text")
+    return pt.mine_patterns(docs, max_char_bytes=max_char_bytes(docs, "text"))
+
+
+@register("library_ops", """
+WITH lib AS (
+  SELECT CASE WHEN contains(lower(text), 'you are') OR contains(lower(text), 'your role')
+                OR contains(lower(text), 'expert') THEN 'role'
+              WHEN contains(lower(text), 'example') OR contains(lower(text), 'instance')
+                OR contains(lower(text), 'e.g.') THEN 'examples'
+              WHEN contains(lower(text), 'must') OR contains(lower(text), 'should not')
+                OR contains(lower(text), 'constraint') THEN 'constraints'
+              ELSE 'general' END AS category,
+         CAST(ceil(length(text)::DOUBLE / 4.0) AS BIGINT) AS avg_tokens
+  FROM benchmark)
+SELECT category, CAST(count(*) AS BIGINT) AS total_patterns, CAST(sum(avg_tokens) AS BIGINT) AS total_tokens,
+       CAST(floor(sum(avg_tokens) / count(*)) AS BIGINT) AS avg_tokens_per_pattern
+FROM lib GROUP BY ROLLUP (category)""")
+def library_ops(spark, sf_dir):
+    """Split the benchmark library in two, merge it back
+    (new ids only), prune nothing (frequency 1 >= 1), and report statistics
+    per category and overall."""
+    lib = benchmark_library(spark, sf_dir).drop("item_id")
+    first = lib.filter(F.col("id") < "m")
+    merged = pt.merge(pt.merge(first, lib), lib)
+    kept = pt.prune(merged, 1)
+    return pt.library_statistics(kept)
