@@ -25,13 +25,9 @@ def compressed_documents(spark, sf_dir, config: ex.CompressionConfig | None = No
 
 
 # Oracle: the same pipeline written with DuckDB list functions; the greedy
-# budget walk is a list_reduce over the score-sorted sentence structs.
-SQL_COMPRESS = SQL_SENTENCES + f""",
-d AS (SELECT doc_id, text, {tok('text')} AS orig FROM documents),
-g AS (SELECT d.doc_id, d.text, d.orig,
-             CAST(floor(d.orig::DOUBLE * (1.0::DOUBLE - {RATIO}::DOUBLE)) AS BIGINT) AS tgt, s.sents
-      FROM d JOIN s ON d.doc_id = s.doc_id),
-w AS (SELECT *, list_reduce(list_sort(list_transform(sents, lambda e, i: {{
+# budget walk is a list_reduce over the score-sorted sentence structs of a CTE
+# ``g`` holding (sents, tgt).
+SQL_FOLD = f"""w AS (SELECT *, list_reduce(list_sort(list_transform(sents, lambda e, i: {{
           'k': -({_sql_score('e', ex.REFERENCE_RULES)}), 'idx': i - 1, 'tokens': {tok('e')},
           'norm': lower(trim(e, {_WS}))}})),
         lambda acc, x: CASE
@@ -43,7 +39,14 @@ w AS (SELECT *, list_reduce(list_sort(list_transform(sents, lambda e, i: {{
           ELSE acc END,
         {{'picks': []::INTEGER[], 'norms': []::VARCHAR[], 'total': 0::BIGINT, 'dups': 0}}) AS fo
       FROM g),
-r AS (SELECT *, orig < 50 AS gated, orig <= tgt AS already,
+"""
+
+SQL_COMPRESS = SQL_SENTENCES + f""",
+d AS (SELECT doc_id, text, {tok('text')} AS orig FROM documents),
+g AS (SELECT d.doc_id, d.text, d.orig,
+             CAST(floor(d.orig::DOUBLE * (1.0::DOUBLE - {RATIO}::DOUBLE)) AS BIGINT) AS tgt, s.sents
+      FROM d JOIN s ON d.doc_id = s.doc_id),
+{SQL_FOLD}r AS (SELECT *, orig < 50 AS gated, orig <= tgt AS already,
         CASE WHEN len(sents) = 0 THEN text ELSE array_to_string(
           list_transform(list_sort(fo.picks), lambda i: sents[i + 1]), ' ') END AS joined
       FROM w),

@@ -26,12 +26,17 @@ _WS = "' ' || chr(10) || chr(9) || chr(13)"
 
 # P13 in DuckDB list functions (independent formulation: the punctuation
 # fallback extracts pieces instead of splitting on look-arounds).
-SQL_SENTENCES = f"""
+def sql_sentences(src: str = "documents") -> str:
+    """CTEs l..x over a relation with (doc_id, text)."""
+    return _SQL_SENTENCES_TMPL.replace("__SRC__", src)
+
+
+_SQL_SENTENCES_TMPL = f"""
 l AS (
   SELECT doc_id, text,
          list_filter(list_transform(string_split(text, chr(10)), lambda x: trim(x, {_WS})),
                      lambda x: x <> '') AS ls
-  FROM documents),
+  FROM __SRC__),
 u AS (
   SELECT doc_id, text,
     CASE WHEN len(ls) = 0 THEN []::VARCHAR[] ELSE string_split(replace(array_to_string(
@@ -53,6 +58,7 @@ s AS (
 x AS (
   SELECT doc_id, len(sents) AS n, unnest(sents) AS sentence,
          unnest(range(len(sents))) AS idx FROM s)"""
+SQL_SENTENCES = sql_sentences()
 
 
 def _sql_words(e: str) -> str:
