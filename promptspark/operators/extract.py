@@ -190,18 +190,18 @@ def target_tokens(original_tokens, ratio) -> Column:
     return F.floor(col(original_tokens).cast("double") * (F.lit(1.0) - r)).cast("bigint")
 
 
-def with_compressed_sentences(df: DataFrame, text_col: str, target_col: str, out: str,
-                              rules: RuleSet = REFERENCE_RULES, counter: TokenCounter = approx4,
-                              scores_col: str | None = None) -> DataFrame:
-    """Adds ``out`` = struct<text, n_sentences, n_selected,
-    redundant_removed, selected_tokens>.
-
-    Every array that a lambda reads is staged as its own column first:
-    higher-order functions run interpreted and Catalyst does not share
-    subexpressions inside lambdas, so an inlined ``sentences(text)`` would be
-    recomputed per element.  ``scores_col`` may supply an array<double>
-    aligned with the sentences (semantic / hybrid modes)."""
-    s, it, pk = f"{out}__s", f"{out}__it", f"{out}__pk"
+def stage_sentence_items(df: DataFrame, text_col: str, prefix: str,
+                         rules: RuleSet = REFERENCE_RULES, counter: TokenCounter = approx4,
+                         scores_col: str | None = None) -> DataFrame:
+    """First half of C3 (independent of the budget): the sentences and their
+    walk order, staged as ``{prefix}__s`` / ``{prefix}__it`` columns.
+
+    Every array that a lambda reads is staged as its own column: higher-order
+    functions run interpreted and Catalyst does not share subexpressions
+    inside lambdas, so an inlined ``sentences(text)`` would be recomputed per
+    element.  ``scores_col`` may supply an array<double> aligned with the
+    sentences (semantic / hybrid modes)."""
+    s, it = f"{prefix}__s", f"{prefix}__it"
     staged = df.withColumn(s, sentences(text_col))
     if scores_col:
         scored = F.transform(F.arrays_zip(F.col(s).alias("x"), F.col(scores_col).alias("v")),
@@ -212,9 +212,16 @@ def with_compressed_sentences(df: DataFrame, text_col: str, target_col: str, out
         scored = F.transform(s, lambda x, i: F.struct(
             (-heuristic_score(x, rules)).alias("k"), i.alias("idx"), counter(x).alias("tokens"),
             F.xxhash64(F.lower(x)).alias("h")))
-    staged = staged.withColumn(it, F.transform(F.array_sort(scored), lambda x: F.struct(
+    return staged.withColumn(it, F.transform(F.array_sort(scored), lambda x: F.struct(
         x.idx.alias("idx"), x.tokens.alias("tokens"), x.h.alias("h"))))
-    staged = staged.withColumn(pk, select_within_budget(it, F.col(target_col)))
+
+
+def pick_within_budget(df: DataFrame, text_col: str, target_col: str, prefix: str, out: str) -> DataFrame:
+    """Second half of C3: the budget walk for ``target_col`` over staged
+    items; adds ``out`` = struct<text, n_sentences, n_selected,
+    redundant_removed, selected_tokens> and drops the staged columns."""
+    s, it, pk = f"{prefix}__s", f"{prefix}__it", f"{prefix}__pk"
+    staged = df.withColumn(pk, select_within_budget(it, F.col(target_col)))
     joined = F.array_join(F.transform(F.col(f"{pk}.picks"), lambda i: F.element_at(F.col(s), i + 1)), " ")
     return staged.withColumn(out, F.struct(
         F.when(F.size(s) == 0, F.col(text_col)).otherwise(joined).alias("text"),
@@ -224,22 +231,39 @@ def with_compressed_sentences(df: DataFrame, text_col: str, target_col: str, out
         F.col(f"{pk}.total").alias("selected_tokens"))).drop(s, it, pk)
 
 
+def with_compressed_sentences(df: DataFrame, text_col: str, target_col: str, out: str,
+                              rules: RuleSet = REFERENCE_RULES, counter: TokenCounter = approx4,
+                              scores_col: str | None = None) -> DataFrame:
+    """C3 for one budget column (see the two halves above)."""
+    staged = stage_sentence_items(df, text_col, out, rules, counter, scores_col)
+    return pick_within_budget(staged, text_col, target_col, out, out)
+
+
 def extractive_compress(df: DataFrame, text_col: str = "text",
                         config: CompressionConfig = CompressionConfig(),
-                        ratio_col: str | None = None) -> DataFrame:
+                        levels: Sequence[str] | None = None) -> DataFrame:
     """C1 without a pattern library (or after substitution): gate -> split
     instructions/payload -> sentence mode -> reattach payload -> task
     section -> token accounting.  Adds the result columns to ``df``.
 
-    ``ratio_col`` lets one plan compress every row at its own level (the
-    benchmark matrix) while staying a single narrow stage."""
+    ``levels`` compresses every row at several levels in the same narrow
+    stage: sentences are segmented and scored once, then the rows are
+    exploded per level (``compression_level``, ``ratio``) and only the budget
+    walk runs per level."""
     cnt = config.counter
-    ratio = F.col(ratio_col) if ratio_col else F.lit(float(config.ratio))
     instr, payload = split_instructions(F.col(text_col))
     staged = (df.withColumn("_instr", instr).withColumn("_payload", payload)
-              .withColumn("original_tokens", cnt(F.col(text_col)))
-              .withColumn("_tgt", target_tokens("original_tokens", ratio)))
-    staged = with_compressed_sentences(staged, "_instr", "_tgt", "_c", config.rules, cnt)
+              .withColumn("original_tokens", cnt(F.col(text_col))))
+    staged = stage_sentence_items(staged, "_instr", "_c", config.rules, cnt)
+    if levels:
+        staged = staged.withColumn("_lv", F.explode(F.array(*[
+            F.struct(F.lit(lv).alias("compression_level"), F.lit(float(LEVEL_RATIO[lv])).alias("ratio"))
+            for lv in levels]))).select("*", "_lv.compression_level", "_lv.ratio").drop("_lv")
+        ratio = F.col("ratio")
+    else:
+        ratio = F.lit(float(config.ratio))
+    staged = staged.withColumn("_tgt", target_tokens("original_tokens", ratio))
+    staged = pick_within_budget(staged, "_instr", "_tgt", "_c", "_c")
     gated = F.col("original_tokens") < MIN_TOKENS_FOR_COMPRESSION
     skip = gated | (F.col("original_tokens") <= F.col("_tgt"))
     body = F.when(skip, F.col("_instr")).otherwise(F.col("_c.text"))

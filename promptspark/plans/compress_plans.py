@@ -41,10 +41,14 @@ SQL_FOLD = f"""w AS (SELECT *, list_reduce(list_sort(list_transform(sents, lambd
       FROM g),
 """
 
-SQL_COMPRESS = SQL_SENTENCES + f""",
+def sql_compress(ratio: float = RATIO) -> str:
+    return _SQL_COMPRESS_TMPL.replace("__RATIO__", repr(float(ratio)))
+
+
+_SQL_COMPRESS_TMPL = SQL_SENTENCES + f""",
 d AS (SELECT doc_id, text, {tok('text')} AS orig FROM documents),
 g AS (SELECT d.doc_id, d.text, d.orig,
-             CAST(floor(d.orig::DOUBLE * (1.0::DOUBLE - {RATIO}::DOUBLE)) AS BIGINT) AS tgt, s.sents
+             CAST(floor(d.orig::DOUBLE * (1.0::DOUBLE - __RATIO__::DOUBLE)) AS BIGINT) AS tgt, s.sents
       FROM d JOIN s ON d.doc_id = s.doc_id),
 {SQL_FOLD}r AS (SELECT *, orig < 50 AS gated, orig <= tgt AS already,
         CASE WHEN len(sents) = 0 THEN text ELSE array_to_string(
@@ -62,6 +66,7 @@ o AS (SELECT doc_id, text, task, orig AS original_tokens,
         10 + {tok('task')} AS compressed_tokens
       FROM c),
 z AS (SELECT *, CAST(greatest(original_tokens - compressed_tokens, 0) AS BIGINT) AS tokens_saved FROM o)"""
+SQL_COMPRESS = sql_compress()
 
 
 @register("extractive_compress", "WITH " + SQL_COMPRESS + """
@@ -100,7 +105,11 @@ def _sql_keywords(e: str) -> str:
             f"lambda w: strlen(w) > 2 AND NOT list_contains({_STOP}, w)))")
 
 
-SQL_QUALITY = SQL_COMPRESS + f""",
+def sql_quality(ratio: float = RATIO) -> str:
+    return sql_compress(ratio) + _SQL_QUALITY_TAIL
+
+
+_SQL_QUALITY_TAIL = f""",
 k AS (SELECT doc_id, text, task, {_sql_keywords('text')} AS ka, {_sql_keywords('task')} AS kb,
         {norm_text('text')} AS na, {norm_text('task')} AS nb FROM z),
 m AS (SELECT doc_id, text, task,
@@ -128,6 +137,7 @@ qq AS (SELECT doc_id, keywords_original, keywords_compressed, information_retent
          CASE WHEN found > 0 THEN kept::DOUBLE / found ELSE 1.0 END AS critical_instruction_preservation,
          structural_integrity
        FROM cr)"""
+SQL_QUALITY = sql_quality()
 
 
 @register("keyword_retention", "WITH " + SQL_QUALITY + """
