@@ -37,14 +37,14 @@ def split_summary_recent(text, retention_tokens: int, counter: TokenCounter = ap
         summary_len.alias("summary_tokens"), retain.alias("recent_tokens"))
 
 
-def incremental_rollup(turns: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn",
-                       text_col: str = "text", level: str = "medium",
-                       retention_tokens: int = RETENTION_TOKENS, rules: RuleSet = REFERENCE_RULES,
-                       counter: TokenCounter = approx4, anchor_threshold: int = 0) -> DataFrame:
-    """C10 + A19 per (conversation, turn): the turn's anchor (if its summary
-    span is non-empty and at least ``anchor_threshold`` tokens), then running
-    totals: anchors so far, tokens seen, compressed = anchor summaries + this
-    turn's retained tokens, saved and ratio."""
+def turn_anchors(turns: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn",
+                 text_col: str = "text", level: str = "medium",
+                 retention_tokens: int = RETENTION_TOKENS, rules: RuleSet = REFERENCE_RULES,
+                 counter: TokenCounter = approx4, anchor_threshold: int = 0) -> DataFrame:
+    """Stateless half of C10 (usable in a stream): per turn, the summary /
+    recent split and the turn's anchor - its summary span compressed to
+    max(round(n * (1 - r)), 1) tokens - when the span is non-empty and at
+    least ``anchor_threshold`` tokens."""
     r = LEVEL_RATIO[level]
     s = turns.select(conv_col, turn_col, split_summary_recent(text_col, retention_tokens, counter).alias("p"))
     s = s.select(conv_col, turn_col, "p.summary", "p.summary_tokens", "p.recent_tokens") \
@@ -52,10 +52,27 @@ def incremental_rollup(turns: DataFrame, conv_col: str = "conv_id", turn_col: st
         .withColumn("_tgt", F.greatest(F.round(F.col("summary_tokens").cast("double") * (1.0 - r)),
                                        F.lit(1.0)).cast("bigint"))
     s = with_compressed_sentences(s, "summary", "_tgt", "_c", rules, counter)
-    s = s.withColumn("anchor_tokens", F.when(F.col("has_anchor"), counter(F.col("_c.text")))
-                     .otherwise(F.lit(0)).cast("long")) \
+    return s.select(conv_col, turn_col, "summary_tokens", "recent_tokens", "has_anchor",
+                    F.when(F.col("has_anchor"), counter(F.col("_c.text"))).otherwise(F.lit(0)).cast("long")
+                    .alias("anchor_tokens")) \
         .withColumn("anchor_ratio", F.when(F.col("has_anchor"), F.col("anchor_tokens")
                                            / F.greatest(F.col("summary_tokens"), F.lit(1))))
+
+
+def with_totals(df: DataFrame) -> DataFrame:
+    """compressed = anchor summaries so far + this turn's retained tokens."""
+    return (df.withColumn("compressed_tokens", F.col("anchor_tokens_total") + F.col("recent_tokens"))
+            .withColumn("tokens_saved", F.greatest(F.col("total_tokens") - F.col("compressed_tokens"), F.lit(0)))
+            .withColumn("compression_ratio", F.when(F.col("total_tokens") > 0,
+                                                    F.col("tokens_saved") / F.col("total_tokens"))
+                        .otherwise(F.lit(0.0))))
+
+
+def incremental_rollup(turns: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn",
+                       text_col: str = "text", **kw) -> DataFrame:
+    """C10 + A19 in batch: per-turn anchors, then running totals per
+    conversation in turn order (ordered window sums, W5)."""
+    s = turn_anchors(turns, conv_col, turn_col, text_col, **kw)
     w = Window.partitionBy(conv_col).orderBy(turn_col).rowsBetween(Window.unboundedPreceding, 0)
     seen = F.col("summary_tokens") + F.col("recent_tokens")
     out = s.select(
@@ -64,8 +81,4 @@ def incremental_rollup(turns: DataFrame, conv_col: str = "conv_id", turn_col: st
         (F.sum(seen).over(w) - seen).alias("token_position_before"),
         F.sum(seen).over(w).alias("total_tokens"),
         F.sum("anchor_tokens").over(w).alias("anchor_tokens_total"))
-    return (out.withColumn("compressed_tokens", F.col("anchor_tokens_total") + F.col("recent_tokens"))
-            .withColumn("tokens_saved", F.greatest(F.col("total_tokens") - F.col("compressed_tokens"), F.lit(0)))
-            .withColumn("compression_ratio", F.when(F.col("total_tokens") > 0,
-                                                    F.col("tokens_saved") / F.col("total_tokens"))
-                        .otherwise(F.lit(0.0))))
+    return with_totals(out)

@@ -31,7 +31,7 @@ def register(name: str, sql: str | None = None):
 def _load() -> None:
     from . import (library_plans, text_plans, compress_plans, similarity_plans,  # noqa: F401
                    document_plans, conversation_plans, request_plans, vector_plans,
-                   benchmark_plans)
+                   benchmark_plans, stream_plans)
 
 
 def queries() -> dict[str, QueryFn]:

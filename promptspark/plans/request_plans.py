@@ -22,7 +22,12 @@ JUDGE_MODELS = ["gpt-4", "claude-3-opus", "anthropic/claude-3-haiku", "gpt-3.5-t
 
 
 def raw_responses(spark, sf_dir):
-    ev = table(spark, sf_dir, "events", "event_id", "ts", "user_id", "event_type", "value", "props")
+    return render_responses(table(spark, sf_dir, "events", "event_id", "ts", "user_id", "event_type",
+                                  "value", "props"))
+
+
+def render_responses(ev):
+    """Each event as the raw body its provider would return (batch or stream)."""
     k = F.get_json_object("props", "$.k").cast("long")
     content = F.format_string("event %d %s", "event_id", "props")
     u = F.col("user_id")
@@ -45,7 +50,10 @@ def raw_responses(spark, sf_dir):
 
 
 def request_log(spark, sf_dir):
-    r = raw_responses(spark, sf_dir)
+    return requests_from(raw_responses(spark, sf_dir))
+
+
+def requests_from(r):
     n = rq.normalize_response("body")
     return r.select("ts", F.col("event_id").alias("seq"), (F.col("event_type") != "error").alias("success"),
                     F.round(F.col("value") * 10).cast("long").alias("latency_ms"),
