@@ -36,14 +36,14 @@ def run_matrix(prompts: DataFrame, id_col: str = "doc_id", text_col: str = "text
     heuristically, as in the reference, so quality is computed per level and
     shared by the three scorings."""
     eligible = prompts.filter(approx4(F.col(text_col)) >= MIN_TOKENS_FOR_COMPRESSION)
-    comp = extractive_compress(eligible, text_col, CompressionConfig(), levels=LEVELS)
-    qual = q.quality_columns(text_col, "task", subsequence=True)
+    comp = q.with_quality(extractive_compress(eligible, text_col, CompressionConfig(), levels=LEVELS),
+                          text_col, "task", subsequence=True)
     lv_idx = F.array_position(F.array(*[F.lit(x) for x in LEVELS]), F.col("compression_level")) - 1
     per_level = comp.select(
         id_col, F.col(category_col).alias("category"), "compression_level", lv_idx.alias("_li"),
         "original_tokens", "compressed_tokens", "tokens_saved", "compression_ratio",
-        *[qual[k].alias(k) for k in ("overall_score", "semantic_similarity", "information_retention",
-                                     "structural_integrity", "critical_instruction_preservation")])
+        "overall_score", "semantic_similarity", "information_retention", "structural_integrity",
+        "critical_instruction_preservation")
     cells = per_level.withColumn("_sc", F.explode(F.array(*[
         F.struct(F.lit(i).alias("si"), F.lit(sc).alias("scoring_mode")) for i, sc in enumerate(SCORINGS)])))
     return cells.select(

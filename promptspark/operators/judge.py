@@ -141,54 +141,69 @@ def _clamp(x: Column) -> Column:
     return F.least(F.greatest(x, F.lit(0.0)), F.lit(100.0))
 
 
-def parse_response(response) -> Column:
-    """Struct of the five scores, justification, key_differences,
-    source ('json' | 'text') and error.  JSON (fenced or bare) with all five
-    numbers wins, clamped to 0-100; otherwise the text patterns, with missing
-    (or zero) scores replaced by the mean of the five; no score at all is an
-    error."""
-    r = col(response)
-    v = F.try_parse_json(_json_body(r))
-    nums = [_number_at(v, k) for k in METRICS]
-    json_ok = v.isNotNull()
-    for n in nums:
-        json_ok = json_ok & n.isNotNull()
-
-    def text_scores(pattern):
-        names = F.regexp_extract_all(r, F.lit(pattern), 1)
-        vals = F.regexp_extract_all(r, F.lit(pattern), 2)
-        pairs = F.arrays_zip(F.transform(names, lambda s: F.lower(s)).alias("n"), vals.alias("v"))
+def _text_scores(r: Column, pattern: str) -> Column:
+    """struct<found, s>: matches of one fallback pattern and the last score
+    per metric (0 when absent), clamped."""
+    names = F.regexp_extract_all(r, F.lit(pattern), 1)
+    vals = F.regexp_extract_all(r, F.lit(pattern), 2)
+
+    def body(pairs):
         out = []
         for k in METRICS:
             a, b = k.split("_")
             last = F.try_element_at(F.filter(pairs, lambda p: p.n.contains(a) & p.n.contains(b)), F.lit(-1))
             out.append(F.coalesce(_clamp(last.v.cast("double")), F.lit(0.0)))
-        return F.struct(F.size(names).alias("found"), F.array(*out).alias("s"))
+        return F.struct(F.size(pairs).alias("found"), F.array(*out).alias("s"))
+
+    return let(F.arrays_zip(F.transform(names, lambda s: F.lower(s)).alias("n"), vals.alias("v")), body)
+
+
+def parse_response(response) -> Column:
+    """Struct of the five scores, justification, key_differences,
+    source ('json' | 'text') and error.  JSON (fenced or bare) with all five
+    numbers wins, clamped to 0-100; otherwise the first text pattern that
+    finds a score, with missing (or zero) scores replaced by the mean of the
+    five; no score at all is an error.  The parsed JSON and the chosen text
+    scores are each bound once per row."""
+    r = col(response)
+
+    def from_json(v):
+        nums = [_number_at(v, k) for k in METRICS]
+        ok = v.isNotNull()
+        for n in nums:
+            ok = ok & n.isNotNull()
+        return F.struct(ok.alias("ok"), F.array(*[_clamp(n) for n in nums]).alias("s"),
+                        F.coalesce(F.try_variant_get(v, "$.justification", "string"),
+                                   F.lit("No justification provided")).alias("j"),
+                        F.coalesce(F.from_json(F.to_json(F.try_variant_get(v, "$.key_differences", "variant")),
+                                               "array<string>"), F.array().cast("array<string>")).alias("d"))
+
+    def first_found(t, rest):
+        return let(t, lambda x: F.when(x.found > 0, x).otherwise(rest))
 
     chosen = None
     for p in reversed(TEXT_PATTERNS):
-        t = text_scores(p)
-        chosen = t if chosen is None else F.when(t.found > 0, t).otherwise(chosen)
+        t = _text_scores(r, p)
+        chosen = t if chosen is None else first_found(t, chosen)
 
     def filled(t):
-        return let(t.s, lambda s: let(F.aggregate(s, F.lit(0.0), lambda a, x: a + x) / 5.0, lambda avg:
-                   F.transform(s, lambda x: F.when(x == 0.0, avg).otherwise(x))))
-
-    text_vals = let(chosen, lambda t: F.struct(t.found.alias("found"), filled(t).alias("s")))
-    json_just = F.coalesce(F.try_variant_get(v, "$.justification", "string"), F.lit("No justification provided"))
-    json_diff = F.coalesce(F.from_json(F.to_json(F.try_variant_get(v, "$.key_differences", "variant")),
-                                       "array<string>"), F.array().cast("array<string>"))
-    fields = []
-    for i, k in enumerate(METRICS):
-        fields.append(F.when(json_ok, _clamp(nums[i])).when(text_vals.found > 0, text_vals.s[i]).alias(k))
-    return F.struct(
-        *fields,
-        F.when(json_ok, json_just).when(text_vals.found > 0, F.lit("Parsed from text response (JSON parsing failed)"))
-        .alias("justification"),
-        F.when(json_ok, json_diff).when(text_vals.found > 0, F.array().cast("array<string>")).alias("key_differences"),
-        F.when(json_ok, F.lit("json")).when(text_vals.found > 0, F.lit("text")).alias("source"),
-        F.when(~json_ok & (text_vals.found == 0), F.lit("Could not parse judge response: no scores found"))
-        .alias("error"))
+        avg = F.aggregate(t.s, F.lit(0.0), lambda a, x: a + x) / 5.0
+        return F.struct(t.found.alias("found"), F.transform(t.s, lambda x: F.when(x == 0.0, avg).otherwise(x))
+                        .alias("s"))
+
+    def result(js, tx):
+        fields = [F.when(js.ok, js.s[i]).when(tx.found > 0, tx.s[i]).alias(k) for i, k in enumerate(METRICS)]
+        return F.struct(
+            *fields,
+            F.when(js.ok, js.j).when(tx.found > 0, F.lit("Parsed from text response (JSON parsing failed)"))
+            .alias("justification"),
+            F.when(js.ok, js.d).when(tx.found > 0, F.array().cast("array<string>")).alias("key_differences"),
+            F.when(js.ok, F.lit("json")).when(tx.found > 0, F.lit("text")).alias("source"),
+            F.when(~js.ok & (tx.found == 0), F.lit("Could not parse judge response: no scores found"))
+            .alias("error"))
+
+    return let(let(F.try_parse_json(_json_body(r)), from_json),
+               lambda js: let(let(chosen, filled), lambda tx: result(js, tx)))
 
 
 def rating(fidelity) -> Column:

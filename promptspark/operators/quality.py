@@ -8,7 +8,7 @@ caller knows the expansion is an ordered subset of the original (R1).
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import col, normalize_text, words
@@ -138,3 +138,42 @@ def quality_columns(original, expanded, subsequence: bool = False) -> dict[str,
         "structural_integrity": struct,
         "overall_score": overall,
     }
+
+
+def with_quality(df: DataFrame, original: str, expanded: str, subsequence: bool = False,
+                 prefix: str = "_q") -> DataFrame:
+    """C11 as staged columns: each whole-text intermediate (lower-cased text,
+    keyword set, normal form) is computed once per row and then read by the
+    metrics, which are in turn read by the overall score.  Adds the seven
+    metrics and ``overall_score``."""
+    ol, el, ok, ek = (f"{prefix}_ol", f"{prefix}_el", f"{prefix}_ok", f"{prefix}_ek")
+    on, en = f"{prefix}_on", f"{prefix}_en"
+    st = (df.withColumn(ol, F.lower(original)).withColumn(el, F.lower(expanded))
+          .withColumn(ok, keywords(original)).withColumn(ek, keywords(expanded))
+          .withColumn(on, normalize_text(original)).withColumn(en, normalize_text(expanded)))
+    m = F.greatest(F.octet_length(on), F.octet_length(en))
+    if subsequence:
+        sim = F.when(m == 0, F.lit(1.0)).otherwise(
+            F.lit(1.0) - (F.char_length(on) - F.char_length(en)).cast("double") / m)
+    else:
+        sim = F.when(m == 0, F.lit(1.0)).otherwise(F.lit(1.0) - F.levenshtein(on, en).cast("double") / m)
+    found = sum((F.when(F.col(ol).contains(p), 1).otherwise(0) for p in CRITICAL_PATTERNS), F.lit(0))
+    kept = sum((F.when(F.col(ol).contains(p) & F.col(el).contains(p), 1).otherwise(0)
+                for p in CRITICAL_PATTERNS), F.lit(0))
+    inter = F.size(F.array_intersect(ok, ek))
+    union = F.size(ok) + F.size(ek) - inter
+    ret = (F.when(F.size(ok) == 0, F.lit(1.0))
+           .when(union > 0, inter.cast("double") / union).otherwise(F.lit(0.0)))
+    st = (st.withColumn("semantic_similarity", F.least(sim, F.lit(1.0)))
+          .withColumn("critical_patterns_found", found)
+          .withColumn("critical_patterns_preserved", kept)
+          .withColumn("information_retention", ret)
+          .withColumn("structural_integrity", structure_score(original, expanded))
+          .drop(ol, el, ok, ek, on, en))
+    st = st.withColumn("critical_instruction_preservation", F.when(
+        F.col("critical_patterns_found") > 0,
+        F.col("critical_patterns_preserved").cast("double") / F.col("critical_patterns_found")).otherwise(F.lit(1.0)))
+    return st.withColumn("overall_score", F.col("semantic_similarity") * WEIGHTS["similarity"]
+                         + F.col("critical_instruction_preservation") * WEIGHTS["critical"]
+                         + F.col("information_retention") * WEIGHTS["retention"]
+                         + F.col("structural_integrity") * WEIGHTS["structure"])

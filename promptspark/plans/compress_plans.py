@@ -160,9 +160,10 @@ SELECT doc_id, semantic_similarity, critical_patterns_found, critical_patterns_p
        overall_score >= 0.7 AS acceptable
 FROM fin""")
 def quality(spark, sf_dir):
-    c = compressed_documents(spark, sf_dir)
-    cols = q.quality_columns("text", "task", subsequence=True)
-    out = c.select("doc_id", *[v.alias(k) for k, v in cols.items()])
+    c = q.with_quality(compressed_documents(spark, sf_dir), "text", "task", subsequence=True)
+    out = c.select("doc_id", "semantic_similarity", "critical_patterns_found", "critical_patterns_preserved",
+                   "critical_instruction_preservation", "information_retention", "structural_integrity",
+                   "overall_score")
     return out.withColumn("rating", q.rating("overall_score")) \
         .withColumn("acceptable", F.col("overall_score") >= q.ACCEPTABLE)
 
