@@ -171,34 +171,47 @@ def similarity_join(left: DataFrame, right: DataFrame, tau: float, left_id: str
 
 # ------------------------------------------------------- R5 leader rounds
 
-def leader_clusters(nodes: DataFrame, edges: DataFrame, max_rounds: int = 1000) -> DataFrame:
+def leader_clusters(nodes: DataFrame, edges: DataFrame, max_rounds: int = 100_000) -> DataFrame:
     """Greedy leader clustering in node order, computed in rounds.
 
     ``nodes``: (node, ord) with a total order; ``edges``: undirected (a, b).
     The sequential scan makes a node a leader iff no earlier leader is its
     neighbour, and gives every other node to its earliest neighbouring
-    leader.  Each round decides the undecided nodes with no undecided earlier
-    neighbour (they become leaders) and hands their undecided neighbours to the
-    earliest such leader.  Lineage is cut with ``checkpoint()`` each round.
-    Returns (node, leader)."""
-    e = edges.select(F.col("a"), F.col("b")).unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))) \
-        .distinct()
-    o = nodes.select(F.col("node"), F.col("ord"))
-    e = e.join(o.withColumnRenamed("node", "a").withColumnRenamed("ord", "ord_a"), "a") \
-        .join(o.withColumnRenamed("node", "b").withColumnRenamed("ord", "ord_b"), "b").checkpoint()
+    leader.  Per round, over the undecided nodes:
+
+    * a node with no leader neighbour and no undecided earlier neighbour
+      becomes a leader;
+    * a node whose earliest leader neighbour (old or new) precedes all its
+      still-undecided non-leader neighbours joins that leader.
+
+    The earliest undecided node is always decided, so rounds terminate; each
+    round is a few joins over the undecided part only, and lineage is cut with
+    ``checkpoint()``.  Returns (node, leader)."""
+    e = edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))) \
+        .filter(F.col("a") != F.col("b")).distinct()
+    o = nodes.select("node", "ord")
+    e = e.join(o.select(F.col("node").alias("b"), F.col("ord").alias("ord_b")), "b").checkpoint()
     state = o.withColumn("leader", F.lit(None).cast(o.schema["node"].dataType)).checkpoint()
     for _ in range(max_rounds):
         undecided = state.filter(F.col("leader").isNull()).select("node", "ord")
         if undecided.isEmpty():
             break
-        und_edges = e.join(undecided.select(F.col("node").alias("a")), "a") \
-            .join(undecided.select(F.col("node").alias("b")), "b")
-        blocked = und_edges.filter(F.col("ord_b") < F.col("ord_a")).select(F.col("a").alias("node")).distinct()
-        new_leaders = undecided.join(blocked, "node", "left_anti").select("node", "ord")
-        claimed = und_edges.join(new_leaders.select(F.col("node").alias("b"), F.col("ord").alias("lo")), "b") \
-            .groupBy("a").agg(F.min(F.struct("lo", "b")).alias("m")) \
-            .select(F.col("a").alias("node"), F.col("m.b").alias("claim"))
-        state = (state.join(new_leaders.select("node", F.lit(True).alias("is_new")), "node", "left")
+        leaders = state.filter(F.col("leader") == F.col("node")).select(F.col("node").alias("b"))
+        und_b = undecided.select(F.col("node").alias("b"))
+        touching = e.join(undecided.select(F.col("node").alias("a"), F.col("ord").alias("ord_a")), "a")
+        n_und = touching.join(und_b, "b")                                  # undecided neighbours
+        n_lead = touching.join(leaders, "b")                               # decided leader neighbours
+        blocked = n_und.filter(F.col("ord_b") < F.col("ord_a")).select("a").unionByName(n_lead.select("a"))
+        new = undecided.join(blocked.select(F.col("a").alias("node")).distinct(), "node", "left_anti")
+        new_b = new.select(F.col("node").alias("b"))
+        cand = n_lead.select("a", "b", "ord_b").unionByName(n_und.join(new_b, "b").select("a", "b", "ord_b"))
+        best = cand.groupBy("a").agg(F.min(F.struct("ord_b", "b")).alias("best"))
+        pending = n_und.join(new_b, "b", "left_anti").groupBy("a").agg(F.min("ord_b").alias("pending"))
+        claimed = best.join(pending, "a", "left") \
+            .filter(F.col("pending").isNull() | (F.col("best.ord_b") < F.col("pending"))) \
+            .join(new.select(F.col("node").alias("a")), "a", "left_anti") \
+            .select(F.col("a").alias("node"), F.col("best.b").alias("claim"))
+        state = (state.join(new.select("node", F.lit(True).alias("is_new")), "node", "left")
                  .join(claimed, "node", "left")
                  .withColumn("leader", F.coalesce("leader", F.when(F.col("is_new"), F.col("node")), "claim"))
                  .drop("is_new", "claim").checkpoint())
