@@ -110,61 +110,65 @@ def pattern_matches(docs: DataFrame, lib: DataFrame, id_col: str = "doc_id", tex
     count whose similarity is strictly above tau (earliest on ties), as word
     offsets in the prompt's normal form.
 
-    Exact seeding: a window within similarity tau is within k edits of the
-    pattern (see ``similarity.edit_bound``), so of the pattern's k+1 rarest
-    disjoint q-gram segments one occurs verbatim in it, at most k characters
-    and k words from where the alignment puts it.  Segments (bounded by the
-    library, size-checked) are broadcast against the prompts' q-grams; the
-    resulting candidate start words are verified with ``levenshtein``.
-    With q down to 1 every non-empty pattern has a seed size as long as
-    ``max_char_bytes <= 3`` (pass the corpus' real width, see
-    ``functions.text.max_char_bytes``); for 4-byte scripts the q=1 seeds are
-    used regardless, which is then no longer a guarantee."""
+    Exact q-gram count filter: a window within similarity tau is within k
+    edits of the pattern (``similarity.edit_bound``), so at least
+    ``floor(L/q) - k`` of the pattern's disjoint q-gram segments occur
+    verbatim in the prompt on diagonals (position - offset) within k of the
+    window's start.  Diagonals are bucketed by k+1, so those hits share one
+    window of three consecutive buckets.  Segments (bounded by the library)
+    are broadcast against the prompts' q-grams; only bucket windows reaching
+    the count are turned into candidate start words and verified with a
+    banded (thresholded) ``levenshtein``.  q goes down to 1, so every
+    non-empty pattern qualifies when ``max_char_bytes <= 3`` (pass the
+    corpus' real width, ``functions.text.max_char_bytes``)."""
     pat = lib.select(F.col("id").alias("pid"), normalize_text("content").alias("needle")) \
         .withColumn("nw", words("needle")).withColumn("n", F.size("nw")).filter(F.col("n") > 0) \
         .withColumn("L", F.char_length("needle")) \
         .withColumn("k", edit_bound(F.octet_length("needle"), tau, max_char_bytes))
+    # each edit destroys at most one of the floor(L/q) disjoint segments
     q = None
     for size in reversed(QS):
         ok = F.floor(F.col("L") / size) >= F.col("k") + 1
         q = F.when(ok, F.lit(size)) if q is None else F.when(ok, F.lit(size)).otherwise(q)
-    pat = pat.withColumn("q", F.coalesce(q, F.lit(1))).cache()
+    pat = pat.withColumn("q", F.coalesce(q, F.lit(1))) \
+        .withColumn("need", F.greatest(F.floor(F.col("L") / F.col("q")).cast("int") - F.col("k"), F.lit(1))) \
+        .cache()
 
     hay = docs.select(F.col(id_col).alias("did"), normalize_text(text_col).alias("h")) \
-        .withColumn("hw", words("h")).withColumn("W", F.size("hw"))
-    # word index of every character position of the normal form
-    hay = hay.withColumn("wi", F.flatten(F.transform(
-        "hw", lambda w, i: F.array_repeat(i, F.char_length(w) + 1))))
+        .withColumn("hw", words("h")).withColumn("W", F.size("hw")).withColumn("hL", F.char_length("h"))
     used = sorted(r["q"] for r in pat.select("q").distinct().collect())  # <= 4 values
     grams = None
     for size in used:
-        g = hay.select("did", F.lit(size).alias("q"), "h", "wi",
-                       F.explode(F.sequence(F.lit(0), F.greatest(F.char_length("h") - size, F.lit(-1))))
-                       .alias("pos")) \
-            .filter(F.col("pos") >= 0) \
-            .select("did", "q", "pos", F.substring("h", F.col("pos") + 1, size).alias("gram"),
-                    F.element_at("wi", F.col("pos") + 1).alias("wpos"))
+        # the gram array is built inside the row; exploded rows carry only (pos, gram)
+        g = hay.filter(F.col("hL") >= size).select("did", F.lit(size).alias("q"), F.posexplode(F.transform(
+            F.sequence(F.lit(0), F.col("hL") - size), lambda p: F.substring(F.col("h"), p + 1, size)))
+            .alias("pos", "gram"))
         grams = g if grams is None else grams.unionByName(g)
 
-    seg = pat.filter(F.col("q").isNotNull()).select(
-        "pid", "q", "k", "needle",
-        F.explode(F.sequence(F.lit(0), F.floor(F.col("L") / F.col("q")).cast("int") - 1)).alias("j")) \
+    seg = pat.select("pid", "q", "k", "needle",
+                     F.explode(F.sequence(F.lit(0), F.floor(F.col("L") / F.col("q")).cast("int") - 1)).alias("j")) \
         .withColumn("off", F.col("j") * F.col("q")) \
-        .withColumn("gram", F.substring("needle", F.col("off") + 1, F.col("q"))) \
-        .withColumn("nwo", F.size(F.split(F.substring("needle", 1, F.col("off")), " ")) - 1)
-    freq = grams.groupBy("q", "gram").agg(F.count(F.lit(1)).alias("df"))
-    chosen = seg.join(freq, ["q", "gram"], "left").fillna({"df": 0}) \
-        .withColumn("r", F.row_number().over(Window.partitionBy("pid").orderBy("df", "off"))) \
-        .filter((F.col("r") <= F.col("k") + 1) & (F.col("df") > 0)) \
-        .select("pid", "q", "gram", "k", "nwo")
-    hits = grams.join(F.broadcast(chosen), ["q", "gram"]) \
-        .select("did", "pid", (F.col("wpos") - F.col("nwo")).alias("c"), "k")
-    seeded = hits.select("did", "pid", F.explode(F.sequence(F.col("c") - F.col("k"), F.col("c") + F.col("k")))
-                         .alias("ws")).distinct()
-    cands = seeded.join(pat.select("pid", "n"), "pid") \
-        .join(hay.select("did", "W"), "did") \
-        .filter((F.col("ws") >= 0) & (F.col("ws") <= F.col("W") - F.col("n"))) \
-        .groupBy("did", "pid").agg(F.array_sort(F.collect_set("ws")).alias("starts"))
+        .select("pid", "q", "k", "j", "off", F.substring("needle", F.col("off") + 1, F.col("q")).alias("gram"))
+    hits = grams.join(F.broadcast(seg), ["q", "gram"]) \
+        .withColumn("b", F.floor((F.col("pos") - F.col("off")) / (F.col("k") + 1)).cast("long"))
+    windows = hits.select("did", "pid", "j", "k", F.explode(F.array(F.col("b"), F.col("b") + 1, F.col("b") + 2))
+                          .alias("wb")) \
+        .groupBy("did", "pid", "wb", "k").agg(F.size(F.collect_set("j")).alias("segs"))
+    regions = windows.join(pat.select("pid", "need"), "pid").filter(F.col("segs") >= F.col("need")) \
+        .select("did", "pid", ((F.col("wb") - 2) * (F.col("k") + 1) - F.col("k")).alias("lo"),
+                ((F.col("wb") + 1) * (F.col("k") + 1) - 1 + F.col("k")).alias("hi"))
+    # window starts whose first character lies in [lo, hi]
+    starts = hay.select("did", "W", F.transform("hw", lambda w: F.char_length(w) + 1).alias("wl"))
+    starts = starts.withColumn("ws_char", F.aggregate(
+        "wl", F.struct(F.lit(0).alias("p"), F.array().cast("array<int>").alias("o")),
+        lambda acc, x: F.struct((acc.p + x).alias("p"), F.concat(acc.o, F.array(acc.p)).alias("o"))).o)
+    cands = regions.join(starts.select("did", "W", "ws_char"), "did").join(pat.select("pid", "n"), "pid") \
+        .filter(F.col("W") >= F.col("n")) \
+        .withColumn("starts", F.filter(F.sequence(F.lit(0), F.col("W") - F.col("n")),
+                                       lambda i: (F.element_at("ws_char", i + 1) >= F.col("lo"))
+                                       & (F.element_at("ws_char", i + 1) <= F.col("hi")))) \
+        .filter(F.size("starts") > 0) \
+        .groupBy("did", "pid").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("starts")))).alias("starts"))
     verified = cands.join(pat.select("pid", "needle", "n"), "pid").join(hay.select("did", "hw"), "did") \
         .withColumn("m", best_window("needle", "n", "hw", tau, "starts")) \
         .filter(F.col("m").isNotNull())

@@ -92,10 +92,9 @@ def _all_grams(prof: DataFrame, sizes=QS) -> DataFrame:
     """Every q-gram of every text, for each q in ``sizes``: (id, q, pos, gram)."""
     out = None
     for size in sizes:
-        g = prof.filter(F.col("L") >= size).select(
-            "id", F.lit(size).alias("q"),
-            F.explode(F.sequence(F.lit(0), F.col("L") - size)).alias("pos"), "t") \
-            .select("id", "q", "pos", F.substring("t", F.col("pos") + 1, size).alias("gram"))
+        g = prof.filter(F.col("L") >= size).select("id", F.lit(size).alias("q"), F.posexplode(F.transform(
+            F.sequence(F.lit(0), F.col("L") - size), lambda p: F.substring(F.col("t"), p + 1, size)))
+            .alias("pos", "gram"))
         out = g if out is None else out.unionByName(g)
     return out
 
@@ -159,7 +158,7 @@ def similarity_join(left: DataFrame, right: DataFrame, tau: float, left_id: str
     v = cand.join(a, "lid").join(b, "rid")
     # thresholded distance (banded DP; -1 beyond the bound); the Python
     # helper only takes a literal threshold, the SQL function takes a column
-    dist = F.expr("levenshtein(ta, tb, greatest(ka, kb))")
+    dist = F.call_function("levenshtein", F.col("ta"), F.col("tb"), F.greatest("ka", "kb"))
     mx = F.greatest("ba", "bb")
     sim = F.when(mx == 0, F.lit(1.0)).otherwise(F.lit(1.0) - dist.cast("double") / mx)
     v = v.filter(dist >= 0).withColumn("similarity", sim)
@@ -223,16 +222,24 @@ def leader_clusters(nodes: DataFrame, edges: DataFrame, max_rounds: int = 100_00
 def best_window(needle_norm, needle_words, hay_words, tau: float, candidates) -> Column:
     """J5 verification for one (pattern, text): among candidate start words
     (array<int>), the window of the needle's word count with the highest
-    similarity strictly above tau; the earliest wins ties.
-    Returns struct<start, end, similarity> or null."""
+    similarity strictly above tau; the earliest wins ties.  Distances use the
+    banded form of ``levenshtein`` bounded by (1 - tau) x max bytes (-1 when
+    beyond it, i.e. not a match).  Returns struct<start, end, similarity> or
+    null."""
     n = col(needle_words)
     hw = col(hay_words)
     nd = col(needle_norm)
-    scored = F.transform(col(candidates), lambda s: let(
-        F.array_join(F.slice(hw, s + 1, n), " "), lambda win: F.struct(
-            (F.lit(1.0) - F.levenshtein(nd, win).cast("double")
-             / F.greatest(F.octet_length(nd), F.octet_length(win))).alias("sim"),
-            (-s).alias("neg_start"))))
-    best = F.array_max(F.filter(scored, lambda x: x.sim > tau))
+
+    def score(s):
+        def with_window(win):
+            mx = F.greatest(F.octet_length(nd), F.octet_length(win))
+            bound = F.floor(mx.cast("double") * (1.0 - tau)).cast("int")
+            d = F.call_function("levenshtein", nd, win, bound)
+            sim = F.when(d >= 0, F.lit(1.0) - d.cast("double") / mx)
+            return F.struct(sim.alias("sim"), (-s).alias("neg_start"))
+        return let(F.array_join(F.slice(hw, s + 1, n), " "), with_window)
+
+    best = F.array_max(F.filter(F.transform(col(candidates), score),
+                                lambda x: x.sim.isNotNull() & (x.sim > tau)))
     return F.when(best.isNull(), F.lit(None)).otherwise(F.struct(
         (-best.neg_start).alias("start"), (-best.neg_start + n).alias("end"), best.sim.alias("similarity")))

@@ -92,6 +92,7 @@ def similar_patterns(spark, sf_dir):
         .filter(F.col("text_id") != F.col("match_id")).select("text_id", "match_id", "similarity")
 
 
+@register("pattern_match")
 def pattern_match(spark, sf_dir):
     """J5 + C4: benchmark passages found (fuzzily) inside documents, with the
     reference each kept match becomes after overlap resolution."""

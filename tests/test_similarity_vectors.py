@@ -98,3 +98,23 @@ def test_leader_clusters_equal_sequential_greedy(spark):
     e = spark.createDataFrame(sorted(edges), "a long, b long")
     got = {r.node: r.leader for r in sm.leader_clusters(nodes, e).collect()}
     assert got == lead
+
+
+def test_pattern_matches_equal_all_windows(spark):
+    """J5 seeding + count filter finds exactly what scanning every window finds."""
+    from promptspark.functions.text import words
+    from promptspark.operators import patterns as pt
+    from promptspark.plans.similarity_plans import benchmark_library
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text") \
+        .orderBy("doc_id").limit(60)
+    lib = benchmark_library(spark, "/root/testdata/sf0.001").drop("item_id")
+    got = {(r.doc_id, r.id, r.start_word, round(r.similarity, 12))
+           for r in pt.pattern_matches(docs, lib, max_char_bytes=2).collect()}
+    hay = docs.select("doc_id", words(normalize_text("text")).alias("hw"))
+    pat = lib.select("id", normalize_text("content").alias("nd")).withColumn("n", F.size(words("nd")))
+    allw = hay.crossJoin(pat).filter(F.size("hw") >= F.col("n")).withColumn(
+        "starts", F.sequence(F.lit(0), F.size("hw") - F.col("n")))
+    want = {(r.doc_id, r.id, r.m.start, round(r.m.similarity, 12)) for r in
+            allw.select("doc_id", "id", sm.best_window("nd", "n", "hw", 0.85, "starts").alias("m"))
+            .filter("m IS NOT NULL").collect()}
+    assert got == want
