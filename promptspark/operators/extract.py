@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import col, let, lines, utrim, word_count
 from ..functions.tokens import TokenCounter, approx4
-from .text_ops import split_instructions
+from .text_ops import split_parts
 
 # Target reduction ratio per level.
 LEVEL_RATIO = {"light": 0.35, "medium": 0.55, "aggressive": 0.75}
@@ -251,9 +251,9 @@ def extractive_compress(df: DataFrame, text_col: str = "text",
     exploded per level (``compression_level``, ``ratio``) and only the budget
     walk runs per level."""
     cnt = config.counter
-    instr, payload = split_instructions(F.col(text_col))
-    staged = (df.withColumn("_instr", instr).withColumn("_payload", payload)
-              .withColumn("original_tokens", cnt(F.col(text_col))))
+    staged = (df.withColumn("_split", split_parts(F.col(text_col)))
+              .withColumn("_instr", F.col("_split.head")).withColumn("_payload", F.col("_split.tail"))
+              .drop("_split").withColumn("original_tokens", cnt(F.col(text_col))))
     staged = stage_sentence_items(staged, "_instr", "_c", config.rules, cnt)
     if levels:
         staged = staged.withColumn("_lv", F.explode(F.array(*[
