@@ -55,21 +55,25 @@ def run_matrix(prompts: DataFrame, id_col: str = "doc_id", text_col: str = "text
         "critical_instruction_preservation")
 
 
-def _stats(c: Column, name: str) -> list[Column]:
-    """Mean, median, min, max, sample stdev (0 for one value), count."""
-    return [F.avg(c).alias(f"{name}_mean"), F.median(c).alias(f"{name}_median"),
+def _stats(c: Column, name: str, exact_median: bool = True) -> list[Column]:
+    """Mean, median, min, max, sample stdev (0 for one value), count.
+    The exact median keeps a value -> count map per group (memory grows with
+    the distinct values of a group); ``exact_median=False`` switches to the
+    mergeable, bounded-memory ``percentile_approx``."""
+    med = F.median(c) if exact_median else F.percentile_approx(c, 0.5, 100_000)
+    return [F.avg(c).alias(f"{name}_mean"), med.alias(f"{name}_median"),
             F.min(c).alias(f"{name}_min"), F.max(c).alias(f"{name}_max"),
             F.coalesce(F.stddev_samp(c), F.lit(0.0)).alias(f"{name}_std")]
 
 
-def stats(results: DataFrame) -> DataFrame:
+def stats(results: DataFrame, exact_median: bool = True) -> DataFrame:
     """A10 + A11: statistics of successful runs, overall and per category /
     level / scoring, in one GROUPING SETS aggregation.  ``dimension`` names
     the grouping ('overall' for the grand total)."""
     ok = results.filter("success").withColumn("overall_score_pct", F.col("overall_score") * 100.0)
     aggs = [F.count(F.lit(1)).alias("count")]
     for m in METRICS:
-        aggs += _stats(F.col(m).cast("double"), m)
+        aggs += _stats(F.col(m).cast("double"), m, exact_median)
     g = ok.groupingSets([["category"], ["compression_level"], ["scoring_mode"], []],
                         "category", "compression_level", "scoring_mode").agg(*aggs)
     dim = (F.when(F.col("category").isNotNull(), F.lit("category"))

@@ -7,9 +7,11 @@ resumes from its own checkpoint and never from a machine-local path.
 
 from __future__ import annotations
 
+import sys
 import uuid
 
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
@@ -19,6 +21,10 @@ from ..operators import conversations as cv
 from ..operators import pricing
 from ..session import ensure_checkpoint_dir
 
+# The stateful step below runs in Python workers; ship it by value so the
+# executors do not need this package installed.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 
 def run_dirs(spark: SparkSession, name: str) -> tuple[str, str]:
     base = ensure_checkpoint_dir(spark).rstrip("/")
