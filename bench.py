@@ -23,7 +23,7 @@ HEADLINE = [
     "model_compare", "role_breakdown", "strip_markup", "sentences", "sentence_scores",
     "pattern_candidates", "extractive_compress", "quality", "incremental_rollup", "doc_expand",
     "request_summary", "latency_percentiles", "judge_parse", "vector_cosine", "semantic_scores",
-    "similar_patterns", "benchmark_stats",
+    "benchmark_stats",
 ]
 
 

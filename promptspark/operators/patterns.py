@@ -93,12 +93,12 @@ def sort_by_frequency(lib: DataFrame) -> DataFrame:
 
 
 def similar_patterns(lib: DataFrame, texts: DataFrame, tau: float = MIN_SIMILARITY,
-                     text_id: str = "text_id", text_col: str = "text") -> DataFrame:
+                     text_id: str = "text_id", text_col: str = "text", max_char_bytes: int = 4) -> DataFrame:
     """For every text, the library patterns with normalised similarity
     >= tau.  (text_id, id, similarity)."""
     a = texts.select(F.col(text_id).alias("lid"), normalize_text(text_col).alias("n"))
     b = lib.select(F.col("id").alias("rid"), normalize_text("content").alias("n"))
-    return similarity_join(a, b, tau, "lid", "rid", "n", "n") \
+    return similarity_join(a, b, tau, "lid", "rid", "n", "n", max_char_bytes=max_char_bytes) \
         .select(F.col("lid").alias(text_id), F.col("rid").alias("id"), "similarity")
 
 

@@ -76,20 +76,36 @@ def pair_similarity(spark, sf_dir):
         .join(cos, "item_id")
 
 
-@register("similar_patterns", f"""
-WITH n AS (SELECT item_id, {norm_text('text')} AS t FROM benchmark),
-s AS (SELECT a.item_id AS text_id, b.item_id AS match_id, {_sql_sim('a.t', 'b.t')} AS similarity
-      FROM n a JOIN n b ON a.item_id <> b.item_id
-       AND abs(length(a.t) - length(b.t)) <= greatest(length(a.t), length(b.t)))
-SELECT text_id, match_id, similarity FROM s WHERE similarity >= {TAU}""")
+def _similar_patterns_sql() -> str:
+    from .text_plans import sql_sentences
+    cat = """CASE WHEN contains(lower(text), 'you are') OR contains(lower(text), 'your role')
+                OR contains(lower(text), 'expert') THEN 'role'
+              WHEN contains(lower(text), 'example') OR contains(lower(text), 'instance')
+                OR contains(lower(text), 'e.g.') THEN 'examples'
+              WHEN contains(lower(text), 'must') OR contains(lower(text), 'should not')
+                OR contains(lower(text), 'constraint') THEN 'constraints'
+              ELSE 'general' END"""
+    return "WITH " + sql_sentences() + f""",
+lib AS (SELECT {cat} || '_' || lpad(CAST(item_id + 1 AS VARCHAR), 3, '0') AS id, {norm_text('text')} AS p
+        FROM benchmark),
+sx AS (SELECT doc_id, idx, {norm_text('sentence')} AS t FROM x),
+c AS (SELECT sx.doc_id, sx.idx, lib.id, {_sql_sim('sx.t', 'lib.p')} AS similarity
+      FROM sx JOIN lib ON abs(length(sx.t) - length(lib.p)) <= {1 - TAU} * greatest(strlen(sx.t), strlen(lib.p)))
+SELECT doc_id, CAST(idx AS INTEGER) AS idx, id, similarity FROM c WHERE similarity >= {TAU}"""
+
+
+@register("similar_patterns", _similar_patterns_sql())
 def similar_patterns(spark, sf_dir):
-    """For each benchmark passage, the other passages of the library
-    within normalised similarity 0.85."""
+    """Every document sentence with the library patterns (benchmark
+    passages) at normalised similarity >= 0.85, by the exact blocking join."""
+    from ..operators import extract as ex
+    docs = table(spark, sf_dir, "documents", "doc_id", "text")
+    key = F.col("doc_id") * 100000 + F.col("idx")   # (doc, sentence) packed into one join key
+    sents = ex.sentence_table(docs).select(key.alias("text_id"), F.col("sentence").alias("text"))
     lib = benchmark_library(spark, sf_dir)
-    texts = table(spark, sf_dir, "benchmark", "item_id", "text").withColumnRenamed("item_id", "text_id")
-    m = pt.similar_patterns(lib, texts, TAU)
-    return m.join(lib.select("id", F.col("item_id").alias("match_id")), "id") \
-        .filter(F.col("text_id") != F.col("match_id")).select("text_id", "match_id", "similarity")
+    m = pt.similar_patterns(lib, sents, TAU, max_char_bytes=max_char_bytes(docs, "text"))
+    return m.select(F.floor(F.col("text_id") / 100000).cast("long").alias("doc_id"),
+                    F.pmod(F.col("text_id"), F.lit(100000)).cast("int").alias("idx"), "id", "similarity")
 
 
 @register("pattern_match")
