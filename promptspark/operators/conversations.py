@@ -68,17 +68,34 @@ def with_totals(df: DataFrame) -> DataFrame:
                         .otherwise(F.lit(0.0))))
 
 
+TURN_CHUNK = 4096  # turns per running-sum block
+
+
 def incremental_rollup(turns: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn",
-                       text_col: str = "text", **kw) -> DataFrame:
+                       text_col: str = "text", chunk: int = TURN_CHUNK, **kw) -> DataFrame:
     """C10 + A19 in batch: per-turn anchors, then running totals per
-    conversation in turn order (ordered window sums, W5)."""
-    s = turn_anchors(turns, conv_col, turn_col, text_col, **kw)
-    w = Window.partitionBy(conv_col).orderBy(turn_col).rowsBetween(Window.unboundedPreceding, 0)
-    seen = F.col("summary_tokens") + F.col("recent_tokens")
-    out = s.select(
+    conversation in turn order (W5) as a two-level prefix sum, so even a
+    conversation holding a large share of all turns is never sorted in one
+    task: running sums inside blocks of ``chunk`` turns, plus each block's
+    offset from a window over the (few) block totals."""
+    s = turn_anchors(turns, conv_col, turn_col, text_col, **kw) \
+        .withColumn("_seen", F.col("summary_tokens") + F.col("recent_tokens")) \
+        .withColumn("_a", F.col("has_anchor").cast("long")) \
+        .withColumn("_blk", F.floor(F.col(turn_col) / chunk))
+    run = Window.partitionBy(conv_col, "_blk").orderBy(turn_col).rowsBetween(Window.unboundedPreceding, 0)
+    local = s.select(conv_col, turn_col, "_blk", "summary_tokens", "recent_tokens", "anchor_tokens",
+                     "anchor_ratio", "_seen",
+                     F.sum("_a").over(run).alias("_la"), F.sum("_seen").over(run).alias("_ls"),
+                     F.sum("anchor_tokens").over(run).alias("_lt"))
+    blocks = s.groupBy(conv_col, "_blk").agg(F.sum("_a").alias("_ba"), F.sum("_seen").alias("_bs"),
+                                             F.sum("anchor_tokens").alias("_bt"))
+    before = Window.partitionBy(conv_col).orderBy("_blk").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = blocks.select(conv_col, "_blk", *[F.coalesce(F.sum(c).over(before), F.lit(0)).alias(c + "_off")
+                                                for c in ("_ba", "_bs", "_bt")])
+    out = local.join(offsets, [conv_col, "_blk"]).select(
         conv_col, turn_col, "summary_tokens", "recent_tokens", "anchor_tokens", "anchor_ratio",
-        F.sum(F.col("has_anchor").cast("int")).over(w).alias("n_anchors"),
-        (F.sum(seen).over(w) - seen).alias("token_position_before"),
-        F.sum(seen).over(w).alias("total_tokens"),
-        F.sum("anchor_tokens").over(w).alias("anchor_tokens_total"))
+        (F.col("_la") + F.col("_ba_off")).alias("n_anchors"),
+        (F.col("_ls") + F.col("_bs_off") - F.col("_seen")).alias("token_position_before"),
+        (F.col("_ls") + F.col("_bs_off")).alias("total_tokens"),
+        (F.col("_lt") + F.col("_bt_off")).alias("anchor_tokens_total"))
     return with_totals(out)
