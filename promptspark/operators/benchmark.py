@@ -35,9 +35,10 @@ def run_matrix(prompts: DataFrame, id_col: str = "doc_id", text_col: str = "text
     Without an embedding provider the semantic and hybrid modes score
     heuristically, as in the reference, so quality is computed per level and
     shared by the three scorings."""
-    eligible = prompts.filter(approx4(F.col(text_col)) >= MIN_TOKENS_FOR_COMPRESSION)
+    eligible = q.stage_original(prompts.filter(approx4(F.col(text_col)) >= MIN_TOKENS_FOR_COMPRESSION),
+                                text_col)
     comp = q.with_quality(extractive_compress(eligible, text_col, CompressionConfig(), levels=LEVELS),
-                          text_col, "task", subsequence=True)
+                          text_col, "task", subsequence=True, original_staged=True)
     lv_idx = F.array_position(F.array(*[F.lit(x) for x in LEVELS]), F.col("compression_level")) - 1
     per_level = comp.select(
         id_col, F.col(category_col).alias("category"), "compression_level", lv_idx.alias("_li"),

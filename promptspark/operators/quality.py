@@ -140,17 +140,25 @@ def quality_columns(original, expanded, subsequence: bool = False) -> dict[str,
     }
 
 
+def stage_original(df: DataFrame, original: str, prefix: str = "_q") -> DataFrame:
+    """The original-text side of C11 (lower-cased text, keyword set, normal
+    form); stage it before rows are multiplied (e.g. per compression level)."""
+    return (df.withColumn(f"{prefix}_ol", F.lower(original)).withColumn(f"{prefix}_ok", keywords(original))
+            .withColumn(f"{prefix}_on", normalize_text(original)))
+
+
 def with_quality(df: DataFrame, original: str, expanded: str, subsequence: bool = False,
-                 prefix: str = "_q") -> DataFrame:
+                 prefix: str = "_q", original_staged: bool = False) -> DataFrame:
     """C11 as staged columns: each whole-text intermediate (lower-cased text,
     keyword set, normal form) is computed once per row and then read by the
     metrics, which are in turn read by the overall score.  Adds the seven
-    metrics and ``overall_score``."""
+    metrics and ``overall_score``.  ``original_staged``: the original side
+    was already added by :func:`stage_original`."""
     ol, el, ok, ek = (f"{prefix}_ol", f"{prefix}_el", f"{prefix}_ok", f"{prefix}_ek")
     on, en = f"{prefix}_on", f"{prefix}_en"
-    st = (df.withColumn(ol, F.lower(original)).withColumn(el, F.lower(expanded))
-          .withColumn(ok, keywords(original)).withColumn(ek, keywords(expanded))
-          .withColumn(on, normalize_text(original)).withColumn(en, normalize_text(expanded)))
+    st = df if original_staged else stage_original(df, original, prefix)
+    st = (st.withColumn(el, F.lower(expanded)).withColumn(ek, keywords(expanded))
+          .withColumn(en, normalize_text(expanded)))
     m = F.greatest(F.octet_length(on), F.octet_length(en))
     if subsequence:
         sim = F.when(m == 0, F.lit(1.0)).otherwise(
