@@ -46,7 +46,9 @@ def keywords(text) -> Column:
     """P10: distinct lower-cased words reduced to letters/digits, longer than
     2 bytes, minus stop words."""
     stop = F.array(*[F.lit(w) for w in STOP_WORDS])
-    cleaned = F.transform(words(text), lambda w: F.regexp_replace(F.lower(w), r"[^\p{IsAlphabetic}\p{N}]", ""))
+    # one pass over the text: lower-case, drop every character that is neither
+    # a letter/digit nor whitespace, then split (same words as cleaning each)
+    cleaned = words(F.regexp_replace(F.lower(col(text)), r"(?U)[^\p{IsAlphabetic}\p{N}\s]", ""))
     return F.array_distinct(F.filter(cleaned, lambda w: (F.octet_length(w) > 2) & ~F.array_contains(stop, w)))
 
 
