@@ -318,7 +318,6 @@ def interval_tree(lcp: np.ndarray, least: int) -> Iterator[tuple[int, int, int,
                 yield length, left, k, len(stack)
             if v >= least and (not stack or stack[-1][0] < v):
                 stack.append((v, left))
-    del n
 
 
 def first_documents(pieces: list[bytes], left: np.ndarray, ids: np.ndarray, length: int):
