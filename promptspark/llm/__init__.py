@@ -10,9 +10,11 @@ from __future__ import annotations
 
 
 def _modules():
-    from . import bpe_codec, decision_lists, maximal_repeats, minhash_links, suffix_automaton
+    from . import (bpe_codec, conditional_field_pii, credential_links, decision_lists, maximal_repeats,
+                   minhash_links, suffix_automaton)
 
-    return suffix_automaton, maximal_repeats, decision_lists, bpe_codec, minhash_links
+    return (suffix_automaton, maximal_repeats, credential_links, decision_lists, bpe_codec,
+            conditional_field_pii, minhash_links)
 
 
 def queries() -> dict:
