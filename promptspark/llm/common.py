@@ -87,6 +87,34 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
+#: Odd base of the polynomial word hash.
+_BASE = np.uint64(0x5851F42D4C957F2D)
+
+
+def word_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """64-bit hashes of the blank-separated words of all texts behind each other,
+    and the index where each text's words begin (and the end)."""
+    data = np.frombuffer(b"\n".join(texts) + b"\n", dtype=np.uint8)
+    blank = (data == 32) | ((data >= 9) & (data <= 13))
+    edge = np.flatnonzero(np.diff(np.r_[True, blank].astype(np.int8)))
+    starts, ends = edge[::2], edge[1::2]
+    bounds = np.searchsorted(starts, np.cumsum([0] + [len(t) + 1 for t in texts]))
+    if len(starts) == 0:
+        return np.empty(0, np.uint64), bounds
+    length = ends - starts
+    letters = np.flatnonzero(~blank)
+    first = np.r_[0, np.cumsum(length)[:-1]]
+    place = np.arange(len(letters)) - np.repeat(first, length)
+    power = np.cumprod(np.full(int(length.max()), _BASE, dtype=np.uint64))
+    return mix(np.add.reduceat((data[letters].astype(np.uint64) + np.uint64(1)) * power[place], first)
+               + length.astype(np.uint64)), bounds
+
+
+def lowered(texts: list[str | None]) -> list[bytes]:
+    """UTF-8 bytes with A-Z lower-cased; null is empty."""
+    return [t.encode("utf-8", "surrogatepass").lower() if t else b"" for t in texts]
+
+
 def total_bytes(df: DataFrame, c: str = "text") -> int:
     """UTF-8 bytes of a column over the whole table (one narrow aggregate)."""
     return int(df.agg(F.sum(F.octet_length(c))).first()[0] or 0)

@@ -58,7 +58,6 @@ CHUNK = 4 << 20
 
 _MIX = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9,
                                0x27D4EB2F165667C5, 0xD6E8FEB86659FD93)]
-_BASE = np.uint64(0x5851F42D4C957F2D)
 
 
 def shingle_sets(texts: list[str | None], size: int = SHINGLE) -> Iterator[np.ndarray]:
@@ -76,21 +75,10 @@ def shingle_sets(texts: list[str | None], size: int = SHINGLE) -> Iterator[np.nd
 
 
 def _hash_chunk(texts: list[bytes], size: int) -> Iterator[np.ndarray]:
-    data = np.frombuffer(b"\n".join(texts) + b"\n", dtype=np.uint8)
-    blank = (data == 32) | ((data >= 9) & (data <= 13))
-    edge = np.flatnonzero(np.diff(np.r_[True, blank].astype(np.int8)))
-    starts, ends = edge[::2], edge[1::2]
-    if len(starts) == 0:
+    word, bounds = common.word_hashes(texts)
+    if len(word) == 0:
         yield from (np.empty(0, np.uint64) for _ in texts)
         return
-    length = ends - starts
-    letters = np.flatnonzero(~blank)
-    first = np.r_[0, np.cumsum(length)[:-1]]
-    place = np.arange(len(letters)) - np.repeat(first, length)
-    power = np.cumprod(np.full(int(length.max()), _BASE, dtype=np.uint64))
-    word = common.mix(np.add.reduceat((data[letters].astype(np.uint64) + np.uint64(1)) * power[place], first)
-                      + length.astype(np.uint64))
-    bounds = np.searchsorted(starts, np.cumsum([0] + [len(t) + 1 for t in texts]))
     terms = sum((_MIX[k % 5] + np.uint64(2 * (k // 5))) * np.r_[word[k:], np.zeros(k, np.uint64)]
                 for k in range(size))
     full = common.mix(terms)
