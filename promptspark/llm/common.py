@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import re
 
 import numpy as np
 from pyspark import cloudpickle
@@ -110,6 +111,42 @@ def word_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
                + length.astype(np.uint64)), bounds
 
 
+#: Bytes of text that are hashed in one pass.
+CHUNK = 1 << 20
+_BLANK = re.compile(rb"[\x20\x09-\x0D]")
+
+
+def chunked_word_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """``word_hashes`` in passes of bounded size; long texts are cut at blanks."""
+    counts = np.zeros(len(texts), dtype=np.int64)
+    out: list[np.ndarray] = []
+    held: list[bytes] = []
+    owner: list[int] = []
+    weight = 0
+
+    def flush():
+        nonlocal held, owner, weight
+        if held:
+            words, bounds = word_hashes(held)
+            out.append(words)
+            np.add.at(counts, np.array(owner), np.diff(bounds))
+        held, owner, weight = [], [], 0
+
+    for k, t in enumerate(texts):
+        at = 0
+        while at < len(t):
+            m = _BLANK.search(t, at + CHUNK) if len(t) - at > CHUNK else None
+            end = m.start() if m else len(t)
+            held.append(t[at:end])
+            owner.append(k)
+            weight += end - at
+            at = end
+            if weight >= CHUNK:
+                flush()
+    flush()
+    return (np.concatenate(out) if out else np.empty(0, np.uint64)), np.r_[0, np.cumsum(counts)]
+
+
 def lowered(texts: list[str | None]) -> list[bytes]:
     """UTF-8 bytes with A-Z lower-cased; null is empty."""
     return [t.encode("utf-8", "surrogatepass").lower() if t else b"" for t in texts]

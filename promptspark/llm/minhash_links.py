@@ -75,7 +75,7 @@ def shingle_sets(texts: list[str | None], size: int = SHINGLE) -> Iterator[np.nd
 
 
 def _hash_chunk(texts: list[bytes], size: int) -> Iterator[np.ndarray]:
-    word, bounds = common.word_hashes(texts)
+    word, bounds = common.chunked_word_hashes(texts)
     if len(word) == 0:
         yield from (np.empty(0, np.uint64) for _ in texts)
         return
