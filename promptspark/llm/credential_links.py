@@ -98,7 +98,8 @@ def weak_spans(text: Column) -> Column:
 def linked_parts(parts: DataFrame, scope: int) -> DataFrame:
     """(text_key, part) of the weak parts with a complementary part in scope;
     ``parts`` is (text_key, part, role, paragraph)."""
-    left = parts.where("NOT part.base").withColumn("bucket", F.floor(F.col("part.start") / scope))
+    left = parts.where("NOT part.base").withColumn("bucket", F.explode(F.sequence(
+        F.floor(F.col("part.start") / scope), F.floor(F.col("part.end") / scope))))
     right = parts.withColumn("bucket", F.explode(F.sequence(
         F.floor(F.col("part.start") / scope) - 1, F.floor(F.col("part.end") / scope) + 1)))
     x, y = left.alias("x"), right.alias("y")
@@ -106,7 +107,7 @@ def linked_parts(parts: DataFrame, scope: int) -> DataFrame:
             & (F.col("x.paragraph") == F.col("y.paragraph")) & (F.col("x.role") != F.col("y.role"))
             & (F.col("x.part.start") <= F.col("y.part.end") + scope)
             & (F.col("y.part.start") <= F.col("x.part.end") + scope))
-    return x.join(y, near, "left_semi").select("text_key", "part")
+    return x.join(y, near, "left_semi").select("text_key", "part").distinct()
 
 
 def scan(docs: DataFrame, *, text: str = "text", scope: int = SCOPE) -> DataFrame:
