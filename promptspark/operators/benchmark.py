@@ -76,14 +76,15 @@ def stats(results: DataFrame, exact_median: bool = True) -> DataFrame:
     for m in METRICS:
         aggs += _stats(F.col(m).cast("double"), m, exact_median)
     g = ok.groupingSets([["category"], ["compression_level"], ["scoring_mode"], []],
-                        "category", "compression_level", "scoring_mode").agg(*aggs)
-    dim = (F.when(F.col("category").isNotNull(), F.lit("category"))
-           .when(F.col("compression_level").isNotNull(), F.lit("level"))
-           .when(F.col("scoring_mode").isNotNull(), F.lit("scoring")).otherwise(F.lit("overall")))
-    key = F.coalesce("category", "compression_level", "scoring_mode", F.lit("all"))
+                        "category", "compression_level", "scoring_mode").agg(F.grouping_id().alias("_gid"), *aggs)
+    # Bits of the grouping id tell a null key from a column that is summed over.
+    names = {0b011: ("category", F.col("category")), 0b101: ("level", F.col("compression_level")),
+             0b110: ("scoring", F.col("scoring_mode")), 0b111: ("overall", F.lit("all"))}
+    dim = F.coalesce(*[F.when(F.col("_gid") == k, F.lit(n)) for k, (n, _) in names.items()])
+    key = F.coalesce(*[F.when(F.col("_gid") == k, c) for k, (_, c) in names.items()])
     return g.select(dim.alias("dimension"), key.alias("key"), *[c for c in g.columns
                                                                if c not in ("category", "compression_level",
-                                                                            "scoring_mode")])
+                                                                            "scoring_mode", "_gid")])
 
 
 def recommend(st: DataFrame, results: DataFrame, id_cols=("doc_id", "config")) -> DataFrame:

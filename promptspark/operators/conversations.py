@@ -73,13 +73,17 @@ TURN_CHUNK = 4096  # turns per running-sum block
 
 def incremental_rollup(turns: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn",
                        text_col: str = "text", chunk: int = TURN_CHUNK, **kw) -> DataFrame:
-    """C10 + A19 in batch: per-turn anchors, then running totals per
-    conversation in turn order (W5) as a two-level prefix sum, so even a
-    conversation holding a large share of all turns is never sorted in one
-    task: running sums inside blocks of ``chunk`` turns, plus each block's
-    offset from a window over the (few) block totals."""
-    s = turn_anchors(turns, conv_col, turn_col, text_col, **kw) \
-        .withColumn("_seen", F.col("summary_tokens") + F.col("recent_tokens")) \
+    """C10 + A19 in batch: per-turn anchors, then running totals."""
+    return running_totals(turn_anchors(turns, conv_col, turn_col, text_col, **kw), conv_col, turn_col, chunk)
+
+
+def running_totals(anchors: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn",
+                   chunk: int = TURN_CHUNK) -> DataFrame:
+    """Running totals per conversation in turn order (W5) as a two-level prefix
+    sum, so even a conversation holding a large share of all turns is never
+    sorted in one task: running sums inside blocks of ``chunk`` turns, plus each
+    block's offset from a window over the (few) block totals."""
+    s = anchors.withColumn("_seen", F.col("summary_tokens") + F.col("recent_tokens")) \
         .withColumn("_a", F.col("has_anchor").cast("long")) \
         .withColumn("_blk", F.floor(F.col(turn_col) / chunk))
     run = Window.partitionBy(conv_col, "_blk").orderBy(turn_col).rowsBetween(Window.unboundedPreceding, 0)

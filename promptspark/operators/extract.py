@@ -29,7 +29,6 @@ FORMAT_OVERHEAD_TOKENS = 10
 LONG_LINE_BYTES = 20
 FALLBACK_MIN_BYTES = 5
 SENTENCE_MIN_BYTES = 3
-_GLUE = "\u0001"
 
 
 # --------------------------------------------------------------- P13 split
@@ -43,12 +42,13 @@ def _is_fragment(line: Column) -> Column:
 
 def line_units(text) -> Column:
     """Line-based units: trimmed non-empty lines, fragments glued to the
-    previous unit with a space.  Linear: fragments are tagged, the array is
-    joined once, and tagged line breaks become spaces."""
+    previous unit with a space.  Linear: every line but the first is preceded by
+    a space or a line break, whichever joins or parts it, the array is joined
+    once and cut at the breaks (no line holds one)."""
     def body(ls):
-        tagged = F.transform(ls, lambda l, i: F.when((i > 0) & _is_fragment(l),
-                                                     F.concat(F.lit(_GLUE), l)).otherwise(l))
-        glued = F.replace(F.array_join(tagged, "\n"), F.lit("\n" + _GLUE), F.lit(" "))
+        led = F.transform(ls, lambda l, i: F.when(i == 0, l).otherwise(F.concat(
+            F.when(_is_fragment(l), F.lit(" ")).otherwise(F.lit("\n")), l)))
+        glued = F.array_join(led, "")
         return F.when(F.size(ls) == 0, F.array().cast("array<string>")).otherwise(F.split(glued, "\n"))
 
     return let(F.filter(F.transform(lines(text), utrim), lambda l: l != ""), body)
@@ -328,12 +328,13 @@ def segments(text, blocks) -> Column:
             x.l.alias("l"),
             F.exists(b, lambda k: (x.s >= k.start) & (x.e <= k.end)).alias("inside"),
             F.exists(b, lambda k: (x.s >= k.start) & (x.e <= k.end) & (x.e >= k.end - 1)).alias("closes")))
-        return let(flagged, lambda fl: F.transform(fl, lambda x, i: F.when(
-            (i > 0) & ((is_header(x.l) & ~x.inside) | F.element_at(fl, F.greatest(i, F.lit(1))).closes),
-            F.concat(F.lit(_GLUE), x.l)).otherwise(x.l)))
+        starts = let(flagged, lambda fl: F.filter(F.transform(fl, lambda x, i: F.when(
+            (i == 0) | (is_header(x.l) & ~x.inside) | F.element_at(fl, F.greatest(i, F.lit(1))).closes, i + 1)),
+            lambda i: i.isNotNull()))
+        return let(starts, lambda st: F.transform(st, lambda s, k: F.array_join(F.slice(
+            ls, s, F.coalesce(F.get(st, k + 1), F.size(ls) + 1) - s), "\n")))
 
-    tagged = let(lines(text), lambda ls: let(col(blocks), lambda b: with_lines(ls, b)))
-    segs = F.split(F.array_join(tagged, "\n"), "\n" + _GLUE)
+    segs = let(lines(text), lambda ls: let(col(blocks), lambda b: with_lines(ls, b)))
     return F.filter(F.transform(segs, utrim), lambda s: s != "")
 
 

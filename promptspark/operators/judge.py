@@ -83,6 +83,7 @@ Example valid response:
 
 Remember: Return ONLY the JSON object, nothing else."""
 
+# Rating thresholds.
 RATINGS = [(90.0, "Excellent"), (75.0, "Good"), (60.0, "Fair"), (40.0, "Poor")]
 ACCEPTABLE = 70.0
 
@@ -123,7 +124,7 @@ def judge_cost(input_tokens, output_tokens, model) -> Column:
 def _json_body(response: Column) -> Column:
     """Text inside the first ```json (else ```) fence, else the whole text."""
     def inside(tag):
-        after = F.substring_index(response, tag, -1)
+        after = F.substring(response, F.locate(tag, response) + len(tag), F.char_length(response))
         closed = F.locate("```", after) > 0
         return F.when(closed, utrim(F.substring_index(after, "```", 1))).otherwise(utrim(response))
     return (F.when(response.contains("```json"), inside("```json"))
@@ -137,6 +138,12 @@ def _number_at(v: Column, key: str) -> Column:
                   F.try_variant_get(v, f"$.{key}", "double"))
 
 
+def _string(v: Column, path: str) -> Column:
+    """The JSON string at ``path``; null for anything that is not a string."""
+    return F.when(F.schema_of_variant(F.try_variant_get(v, path, "variant")) == "STRING",
+                  F.try_variant_get(v, path, "string"))
+
+
 def _clamp(x: Column) -> Column:
     return F.least(F.greatest(x, F.lit(0.0)), F.lit(100.0))
 
@@ -173,10 +180,10 @@ def parse_response(response) -> Column:
         for n in nums:
             ok = ok & n.isNotNull()
         return F.struct(ok.alias("ok"), F.array(*[_clamp(n) for n in nums]).alias("s"),
-                        F.coalesce(F.try_variant_get(v, "$.justification", "string"),
-                                   F.lit("No justification provided")).alias("j"),
-                        F.coalesce(F.from_json(F.to_json(F.try_variant_get(v, "$.key_differences", "variant")),
-                                               "array<string>"), F.array().cast("array<string>")).alias("d"))
+                        F.coalesce(_string(v, "$.justification"), F.lit("No justification provided")).alias("j"),
+                        F.coalesce(F.filter(F.transform(F.try_variant_get(v, "$.key_differences", "array<variant>"),
+                                                        lambda x: _string(x, "$")), lambda x: x.isNotNull()),
+                                   F.array().cast("array<string>")).alias("d"))
 
     def first_found(t, rest):
         return let(t, lambda x: F.when(x.found > 0, x).otherwise(rest))

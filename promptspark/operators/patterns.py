@@ -66,9 +66,10 @@ def mine_patterns(prompts: DataFrame, id_col: str = "doc_id", text_col: str = "t
 # ------------------------------------------------------- library upkeep
 
 def library_statistics(lib: DataFrame) -> DataFrame:
-    """A6 per category and overall (category null): count, token sum and
-    integer mean, in one grouping-sets pass."""
+    """A6 per category and overall (``is_total``): count, token sum and integer
+    mean, in one grouping-sets pass; a null category is a category of its own."""
     return lib.rollup("category").agg(
+        (F.grouping_id() == 1).alias("is_total"),
         F.count(F.lit(1)).alias("total_patterns"),
         F.sum("avg_tokens").cast("long").alias("total_tokens")) \
         .withColumn("avg_tokens_per_pattern",

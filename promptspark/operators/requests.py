@@ -31,14 +31,15 @@ def _int_at(v: Column, path: str) -> Column:
 def normalize_response(body) -> Column:
     """P25: struct<content, input_tokens, output_tokens, total_tokens, model>.
     Content: the first string among content / response / result / output /
-    message, then the first choice's text or message content, then the first
+    message, then the first usable choice's text or message content, then the first
     text block of a content array.  Usage: prompt/completion (OpenAI style)
     or input/output (Anthropic style) tokens."""
     v = F.try_parse_json(col(body))
     content = F.coalesce(
         _string_at(v, "$.content"), _string_at(v, "$.response"), _string_at(v, "$.result"),
         _string_at(v, "$.output"), _string_at(v, "$.message"),
-        _string_at(v, "$.choices[0].text"), _string_at(v, "$.choices[0].message.content"),
+        F.get(F.filter(F.transform(F.try_variant_get(v, "$.choices", "array<variant>"), lambda c: F.coalesce(
+            _string_at(c, "$.text"), _string_at(c, "$.message.content"))), lambda s: s.isNotNull()), F.lit(0)),
         _string_at(v, "$.content[0].text"))
     return F.struct(
         content.alias("content"),

@@ -170,7 +170,7 @@ def similarity_join(left: DataFrame, right: DataFrame, tau: float, left_id: str
 
 # ------------------------------------------------------- R5 leader rounds
 
-def leader_clusters(nodes: DataFrame, edges: DataFrame, max_rounds: int = 100_000) -> DataFrame:
+def leader_clusters(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """Greedy leader clustering in node order, computed in rounds.
 
     ``nodes``: (node, ord) with a total order; ``edges``: undirected (a, b).
@@ -191,7 +191,7 @@ def leader_clusters(nodes: DataFrame, edges: DataFrame, max_rounds: int = 100_00
     o = nodes.select("node", "ord")
     e = e.join(o.select(F.col("node").alias("b"), F.col("ord").alias("ord_b")), "b").checkpoint()
     state = o.withColumn("leader", F.lit(None).cast(o.schema["node"].dataType)).checkpoint()
-    for _ in range(max_rounds):
+    while True:
         undecided = state.filter(F.col("leader").isNull()).select("node", "ord")
         if undecided.isEmpty():
             break

@@ -44,11 +44,13 @@ def detect_format(text, path=None) -> Column:
 MESSAGE = "struct<role:string,content:string>"
 
 
-def _strict_messages(v: Column) -> Column:
-    """Strict typing: role and content must be JSON strings in every message
-    (a numeric content is a parse error, not a coerced string)."""
-    schema = F.schema_of_variant(v)
-    return ~schema.rlike(r"(content|role): (?!STRING)")
+def _is_message(v: Column) -> Column:
+    """Strict typing: ``role`` and ``content`` are JSON strings (a numeric
+    content is a parse error, not a coerced string); other keys don't matter."""
+    def string_at(path):
+        return F.coalesce(F.schema_of_variant(F.try_variant_get(v, path, "variant")) == "STRING", F.lit(False))
+
+    return string_at("$.role") & string_at("$.content")
 
 
 def parse_messages(text, fmt: Column | None = None) -> Column:
@@ -61,11 +63,8 @@ def parse_messages(text, fmt: Column | None = None) -> Column:
     is_obj = F.substring(F.schema_of_variant(v), 1, 7) == "OBJECT<"
     as_arr = F.from_json(t, f"array<{MESSAGE}>")
     as_obj = F.array(F.from_json(t, MESSAGE))
-    ok = v.isNotNull() & _strict_messages(v)
-    json_msgs = (F.when(ok & is_arr & ~F.exists(as_arr, lambda m: m.role.isNull() | m.content.isNull()),
-                        as_arr)
-                 .when(ok & is_obj & as_obj[0].role.isNotNull() & as_obj[0].content.isNotNull(),
-                       as_obj))
+    items = F.try_variant_get(v, "$", "array<variant>")
+    json_msgs = F.when(is_arr & F.forall(items, _is_message), as_arr).when(is_obj & _is_message(v), as_obj)
     text_msgs = F.array(F.struct(F.lit("user").alias("role"), t.alias("content")))
     f = fmt if fmt is not None else detect_format(t)
     return (F.when(f == "yaml", F.lit(None).cast(f"array<{MESSAGE}>"))
@@ -140,7 +139,7 @@ def split_parts(text) -> Column:
     t = col(text)
     return let(payload_start(t), lambda p: F.struct(
         F.when(p > 0, F.substring(t, F.lit(1), p - 1)).otherwise(t).alias("head"),
-        F.when(p > 0, F.substring(t, p, 1 << 30)).otherwise(F.lit("")).alias("tail")))
+        F.when(p > 0, F.substring(t, p, F.char_length(t))).otherwise(F.lit("")).alias("tail")))
 
 
 def split_instructions(text) -> tuple[Column, Column]:
@@ -152,31 +151,38 @@ def split_instructions(text) -> tuple[Column, Column]:
 
 FENCE_RE = r"(?s)```(?:python|text|markdown|json|yaml)?\n(.*?)```"
 QUOTE_RE = r"(?s)\"(.*?)\""
-# Harvest size bounds (characters) and per-file cap.
-FENCE_MIN, FENCE_MAX = 50, 5000
-QUOTE_MIN, QUOTE_MAX = 100, 3000
-PER_FILE = 5
-MAX_FILE_BYTES = 100_000
+# The least length (characters, exclusive) of a harvested span;
+# shorter ones are labels, not prompts.
+FENCE_MIN, QUOTE_MIN = 50, 100
+
 
+def harvested(content, fence_max: int | None = None, quote_max: int | None = None) -> Column:
+    """Prompts found in a markdown file: fenced blocks then quoted spans, each
+    stripped, over the least length and, if given, under the greatest."""
+    def sized(x, low, high):
+        n = F.char_length(x)
+        return n > low if high is None else (n > low) & (n < high)
 
-def harvested(content) -> Column:
-    """Prompts found in a markdown file: fenced blocks then quoted spans,
-    each stripped and size-filtered; at most 5 when more than one."""
     c = col(content)
     blocks = F.filter(F.transform(F.regexp_extract_all(c, F.lit(FENCE_RE), 1), utrim),
-                      lambda b: (F.char_length(b) > FENCE_MIN) & (F.char_length(b) < FENCE_MAX))
+                      lambda b: sized(b, FENCE_MIN, fence_max))
     quotes = F.filter(F.transform(F.regexp_extract_all(c, F.lit(QUOTE_RE), 1), utrim),
-                      lambda q: (F.char_length(q) > QUOTE_MIN) & (F.char_length(q) < QUOTE_MAX))
+                      lambda q: sized(q, QUOTE_MIN, quote_max))
     return F.concat(blocks, quotes)
 
 
-def harvest_prompts(files: DataFrame, id_col: str, content_col: str) -> DataFrame:
-    """(id, idx, prompt): split files with several prompts into the first 5;
-    files with 0 or 1 are kept whole (idx null).  Files over 100 KB skipped."""
-    h = files.filter(F.octet_length(content_col) <= MAX_FILE_BYTES) \
-        .select(id_col, content_col, harvested(content_col).alias("_h"))
+def harvest_prompts(files: DataFrame, id_col: str, content_col: str, *, per_file: int | None = None,
+                    max_file_bytes: int | None = None, fence_max: int | None = None,
+                    quote_max: int | None = None) -> DataFrame:
+    """(id, idx, prompt): files with several prompts are split into them, files
+    with 0 or 1 are kept whole (idx null).  All limits are off by default; the
+    reference's own are 5 prompts a file, files up to 100,000 bytes, fenced
+    blocks under 5000 and quoted spans under 3000 characters."""
+    if max_file_bytes is not None:
+        files = files.filter(F.octet_length(content_col) <= max_file_bytes)
+    h = files.select(id_col, content_col, harvested(content_col, fence_max, quote_max).alias("_h"))
     many = h.filter(F.size("_h") > 1).select(
-        id_col, F.posexplode(F.slice("_h", 1, PER_FILE)).alias("idx", "prompt"))
+        id_col, F.posexplode("_h" if per_file is None else F.slice("_h", 1, per_file)).alias("idx", "prompt"))
     whole = h.filter(F.size("_h") <= 1).select(
         id_col, F.lit(None).cast("int").alias("idx"), F.col(content_col).alias("prompt"))
     return many.unionByName(whole)

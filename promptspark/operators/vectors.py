@@ -39,14 +39,22 @@ def normalize(a) -> Column:
 
 
 def hash_embed(text, dim: int = 384) -> Column:
-    """V5: the placeholder embedding's word part: the first ``dim`` lower-cased
-    words each add 0.05 * (hash mod 10000 / 10000 * 2 - 1) at their position,
-    then L2-normalised.  The word hash is xxhash64 (differs from the
-    reference's hasher by design; values are not meant to be portable)."""
-    w = F.slice(words(F.lower(col(text))), 1, dim)
-    vals = F.transform(w, lambda x: (F.pmod(F.xxhash64(x), F.lit(10000)) / 10000.0 * 2.0 - 1.0) * WORD_WEIGHT)
-    padded = F.concat(vals, F.array_repeat(F.lit(0.0), F.greatest(F.lit(dim) - F.size(vals), F.lit(0))))
-    return normalize(padded)
+    """V5: the placeholder embedding's word part: every lower-cased word adds
+    0.05 * (hash mod 10000 / 10000 * 2 - 1) at its position modulo ``dim``, then
+    L2-normalised.  The hash is the first eight hex digits of the word's MD5
+    (differs from the reference's hasher by design; any engine can repeat it)."""
+    def weight(x):
+        h = F.conv(F.substring(F.md5(x.cast("binary")), 1, 8), 16, 10).cast("long")
+        return ((h % 10000) / 10000.0 * 2.0 - 1.0) * WORD_WEIGHT
+
+    def fold(vals):
+        rows = F.ceil(F.size(vals) / F.lit(float(dim))).cast("int")
+        return F.transform(F.sequence(F.lit(0), F.lit(dim - 1)), lambda i: F.when(
+            rows > 0, F.aggregate(F.sequence(F.lit(0), F.greatest(rows - 1, F.lit(0))), F.lit(0.0),
+                                  lambda s, k: s + F.coalesce(F.get(vals, k * dim + i), F.lit(0.0))))
+            .otherwise(F.lit(0.0)))
+
+    return normalize(let(F.transform(words(F.lower(col(text))), weight), fold))
 
 
 def mean_pool(df: DataFrame, key: str, vec: str) -> DataFrame:

@@ -100,12 +100,12 @@ def similar_patterns(spark, sf_dir):
     passages) at normalised similarity >= 0.85, by the exact blocking join."""
     from ..operators import extract as ex
     docs = table(spark, sf_dir, "documents", "doc_id", "text")
-    key = F.col("doc_id") * 100000 + F.col("idx")   # (doc, sentence) packed into one join key
+    key = F.struct("doc_id", "idx")
     sents = ex.sentence_table(docs).select(key.alias("text_id"), F.col("sentence").alias("text"))
     lib = benchmark_library(spark, sf_dir)
     m = pt.similar_patterns(lib, sents, TAU, max_char_bytes=max_char_bytes(docs, "text"))
-    return m.select(F.floor(F.col("text_id") / 100000).cast("long").alias("doc_id"),
-                    F.pmod(F.col("text_id"), F.lit(100000)).cast("int").alias("idx"), "id", "similarity")
+    return m.select(F.col("text_id.doc_id").cast("long").alias("doc_id"),
+                    F.col("text_id.idx").cast("int").alias("idx"), "id", "similarity")
 
 
 @register("pattern_match")
@@ -137,7 +137,7 @@ WITH lib AS (
               ELSE 'general' END AS category,
          CAST(ceil(length(text)::DOUBLE / 4.0) AS BIGINT) AS avg_tokens
   FROM benchmark)
-SELECT category, CAST(count(*) AS BIGINT) AS total_patterns, CAST(sum(avg_tokens) AS BIGINT) AS total_tokens,
+SELECT category, GROUPING(category) = 1 AS is_total, CAST(count(*) AS BIGINT) AS total_patterns, CAST(sum(avg_tokens) AS BIGINT) AS total_tokens,
        CAST(floor(sum(avg_tokens) / count(*)) AS BIGINT) AS avg_tokens_per_pattern
 FROM lib GROUP BY ROLLUP (category)""")
 def library_ops(spark, sf_dir):

@@ -39,10 +39,10 @@ l AS (
   FROM __SRC__),
 u AS (
   SELECT doc_id, text,
-    CASE WHEN len(ls) = 0 THEN []::VARCHAR[] ELSE string_split(replace(array_to_string(
-      list_transform(ls, lambda x, i: CASE WHEN i > 1 AND NOT (regexp_matches(x, '[.!?]$')
-        OR regexp_matches(x, '^[-*•]') OR strlen(x) > 20) THEN chr(1) || x ELSE x END),
-      chr(10)), chr(10) || chr(1), ' '), chr(10)) END AS units,
+    CASE WHEN len(ls) = 0 THEN []::VARCHAR[] ELSE string_split(array_to_string(
+      list_transform(ls, lambda x, i: CASE WHEN i = 1 THEN x WHEN regexp_matches(x, '[.!?]$')
+        OR regexp_matches(x, '^[-*•]') OR strlen(x) > 20 THEN chr(10) || x ELSE ' ' || x END),
+      ''), chr(10)) END AS units,
     (length(text) - length(replace(text, '.', ''))) // 3 AS dots3
   FROM l),
 f AS (
@@ -244,8 +244,9 @@ def repeated_phrases(spark, sf_dir):
 # Prompt + page: a document's text followed by a page's markup, so the split
 # point is the first markup line.
 @register("instruction_payload_split", """
-WITH c AS (SELECT d.doc_id, d.text || chr(10) || p.html AS t
-           FROM documents d JOIN pages p ON d.doc_id = p.page_id),
+WITH c AS (SELECT coalesce(d.doc_id, p.page_id) AS doc_id,
+                  coalesce(d.text, '') || chr(10) || coalesce(p.html, '') AS t
+           FROM documents d FULL JOIN pages p ON d.doc_id = p.page_id),
 l AS (SELECT doc_id, t, string_split(t, chr(10)) AS ls FROM c),
 f AS (SELECT doc_id, t, ls, list_position(list_transform(ls, lambda x:
         (starts_with(ltrim(x), '<') AND contains(x, '>')) OR starts_with(ltrim(x), '<table')
@@ -260,8 +261,9 @@ FROM f""")
 def instruction_payload_split(spark, sf_dir):
     docs = table(spark, sf_dir, "documents", "doc_id", "text")
     pages = table(spark, sf_dir, "pages", "page_id", "html")
-    c = docs.join(pages, docs.doc_id == pages.page_id).select(
-        "doc_id", F.concat("text", F.lit("\n"), "html").alias("t"))
+    c = docs.join(pages, docs.doc_id == pages.page_id, "full").select(
+        F.coalesce("doc_id", "page_id").alias("doc_id"),
+        F.concat(F.coalesce("text", F.lit("")), F.lit("\n"), F.coalesce("html", F.lit(""))).alias("t"))
     head, _tail = tx.split_instructions("t")
     return c.select("doc_id", F.coalesce(F.char_length(head), F.lit(0)).cast("long")
                     .alias("instruction_chars"),
@@ -285,12 +287,11 @@ h AS (SELECT doc_id, content,
         list_concat(
           list_filter(list_transform(regexp_extract_all(content,
             '(?s)```(?:python|text|markdown|json|yaml)?\\n(.*?)```', 1), lambda b: trim(b, {_WS})),
-            lambda b: length(b) > 50 AND length(b) < 5000),
+            lambda b: length(b) > 50),
           list_filter(list_transform(regexp_extract_all(content, '(?s)"(.*?)"', 1),
-            lambda q: trim(q, {_WS})), lambda q: length(q) > 100 AND length(q) < 3000)) AS hs
-      FROM m WHERE strlen(content) <= 100000)
-SELECT doc_id, CAST(unnest(range(len(list_slice(hs, 1, 5)))) AS INTEGER) AS idx,
-       unnest(list_slice(hs, 1, 5)) AS prompt
+            lambda q: trim(q, {_WS})), lambda q: length(q) > 100)) AS hs
+      FROM m)
+SELECT doc_id, CAST(unnest(range(len(hs))) AS INTEGER) AS idx, unnest(hs) AS prompt
 FROM h WHERE len(hs) > 1
 UNION ALL
 SELECT doc_id, NULL::INTEGER, content FROM h WHERE len(hs) <= 1""")

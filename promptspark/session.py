@@ -47,8 +47,9 @@ def get_spark(master: str | None = None, shuffle_partitions: int | None = None,
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """Use the cluster's shared ``spark.checkpoint.dir``; only when it is unset
-    (local tests) point it at a fresh scratch folder."""
+    """Use the cluster's shared ``spark.checkpoint.dir``.  Where it is unset a
+    local session gets a fresh scratch folder; a cluster session is refused, since
+    a machine-local folder is lost with its machine."""
     sc = spark.sparkContext
     configured = (spark.conf.get("spark.checkpoint.dir", None)
                   or sc.getConf().get("spark.checkpoint.dir", None)
@@ -57,6 +58,8 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
         if not sc.getCheckpointDir():
             sc.setCheckpointDir(configured)
         return configured
+    if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     local = tempfile.mkdtemp(prefix="promptspark-ckpt-")
     spark.conf.set("spark.checkpoint.dir", local)
     spark.sparkContext.setCheckpointDir(local)

