@@ -44,17 +44,11 @@ def blank_words(c) -> Column:
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder named by ``spark.checkpoint.dir``.  Operators that cut
-    lineage refuse to run without it: a machine-local folder would be lost with
-    its executor."""
-    sc = spark.sparkContext
-    where = (spark.conf.get("spark.checkpoint.dir", None)
-             or sc.getConf().get("spark.checkpoint.dir", None) or sc.getCheckpointDir())
-    if not where:
-        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-    if not sc.getCheckpointDir():
-        sc.setCheckpointDir(where)
-    return where
+    """The shared folder named by ``spark.checkpoint.dir`` (a fresh one only in a
+    local session without that setting)."""
+    from promptspark.session import ensure_checkpoint_dir
+
+    return ensure_checkpoint_dir(spark)
 
 
 def cut(df: DataFrame) -> DataFrame:
