@@ -22,6 +22,8 @@ SCORINGS = ["heuristic", "semantic", "hybrid"]
 REC_WEIGHTS = (0.6, 0.4)
 MIN_COMPRESSION = (30.0, 0.7)
 MIN_QUALITY = (60.0, 0.85)
+#: Reason of the rows under the token gate.
+TOO_SHORT = "too short to compress"
 COMPRESSION_RANGE = (0.8, 1.2)
 QUALITY_RANGE_LOW = 0.9
 METRICS = ["compression_percentage", "tokens_saved", "overall_score_pct"]
@@ -30,30 +32,38 @@ METRICS = ["compression_percentage", "tokens_saved", "overall_score_pct"]
 def run_matrix(prompts: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                category_col: str = "category") -> DataFrame:
     """B1: one record per (prompt, level, scoring).  Prompts under the 50-token
-    gate are not benchmarked (F2).  Sentences are segmented and scored once
-    per prompt; levels and scorings multiply rows by ``explode`` (narrow).
-    Without an embedding provider the semantic and hybrid modes score
-    heuristically, as in the reference, so quality is computed per level and
-    shared by the three scorings."""
-    eligible = q.stage_original(prompts.filter(approx4(F.col(text_col)) >= MIN_TOKENS_FOR_COMPRESSION),
-                                text_col)
-    comp = q.with_quality(extractive_compress(eligible, text_col, CompressionConfig(), levels=LEVELS),
+    gate are not compressed (F2): their rows have ``success`` false and null
+    results.  Sentences are segmented once per prompt; scorings, then levels
+    multiply rows by ``explode`` (narrow), each scored and walked on its own."""
+    staged = q.stage_original(prompts, text_col)
+    comp = q.with_quality(extractive_compress(staged, text_col, CompressionConfig(), levels=LEVELS, scorings=SCORINGS),
                           text_col, "task", subsequence=True, original_staged=True)
     lv_idx = F.array_position(F.array(*[F.lit(x) for x in LEVELS]), F.col("compression_level")) - 1
-    per_level = comp.select(
-        id_col, F.col(category_col).alias("category"), "compression_level", lv_idx.alias("_li"),
-        "original_tokens", "compressed_tokens", "tokens_saved", "compression_ratio",
-        "overall_score", "semantic_similarity", "information_retention", "structural_integrity",
-        "critical_instruction_preservation")
-    cells = per_level.withColumn("_sc", F.explode(F.array(*[
-        F.struct(F.lit(i).alias("si"), F.lit(sc).alias("scoring_mode")) for i, sc in enumerate(SCORINGS)])))
-    return cells.select(
-        id_col, "category", (F.col("_li") * len(SCORINGS) + F.col("_sc.si")).cast("int").alias("config"),
-        "compression_level", F.col("_sc.scoring_mode").alias("scoring_mode"), F.lit(True).alias("success"),
-        "original_tokens", "compressed_tokens", "tokens_saved", "compression_ratio",
-        (F.col("compression_ratio") * 100.0).alias("compression_percentage"),
-        "overall_score", "semantic_similarity", "information_retention", "structural_integrity",
-        "critical_instruction_preservation")
+    sc_idx = F.array_position(F.array(*[F.lit(x) for x in SCORINGS]), F.col("scoring_mode")) - 1
+    ok = F.col("original_tokens") >= MIN_TOKENS_FOR_COMPRESSION
+    results = ["compressed_tokens", "tokens_saved", "compression_ratio"]
+    scores = ["overall_score", "semantic_similarity", "information_retention", "structural_integrity",
+              "critical_instruction_preservation"]
+
+    def result(c: str) -> Column:
+        return F.when(ok, F.col(c)).alias(c)
+
+    return comp.select(
+        id_col, F.col(category_col).alias("category"),
+        (lv_idx * len(SCORINGS) + sc_idx).cast("int").alias("config"), "compression_level", "scoring_mode",
+        ok.alias("success"), F.when(~ok, F.lit(TOO_SHORT)).alias("reason"), "original_tokens",
+        *[result(c) for c in results],
+        F.when(ok, F.col("compression_ratio") * 100.0).alias("compression_percentage"), *[result(c) for c in scores])
+
+
+def run_summary(results: DataFrame) -> DataFrame:
+    """Total, successful and failed runs, success rate in percent, and the
+    failures by reason (a fixed, small set)."""
+    return results.agg(
+        F.count(F.lit(1)).alias("total"), F.count_if("success").alias("successful"),
+        F.count_if(~F.col("success")).alias("failed"),
+        F.coalesce(F.count_if("success") / F.count(F.lit(1)) * 100.0, F.lit(0.0)).alias("success_rate"),
+        F.count_if(F.col("reason") == TOO_SHORT).alias("too_short"))
 
 
 def _stats(c: Column, name: str, exact_median: bool = True) -> list[Column]:

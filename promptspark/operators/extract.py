@@ -9,7 +9,7 @@ split - and work per row is bounded by that document's own length.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame
@@ -172,18 +172,59 @@ def select_within_budget(items, target) -> Column:
 
 # ------------------------------------------------------------ C1 / C3
 
+# The ways to score a sentence, in matrix order.
+SCORINGS = ("heuristic", "semantic", "hybrid")
+EMBED_DIM = 32
+#: Scores are compared at this many decimals, so that sums taken in another
+#: order don't reorder equal sentences.
+SCORE_DECIMALS = 9
+
+
+def _default_embed(sentence: Column) -> Column:
+    from .vectors import hash_embed
+    return hash_embed(sentence, EMBED_DIM)
+
+
+def _default_critical() -> list[list[float]]:
+    from .quality import CRITICAL_PATTERNS
+    from .vectors import hash_embed_values
+    return [hash_embed_values(p, EMBED_DIM) for p in CRITICAL_PATTERNS]
+
+
 @dataclass(frozen=True)
 class CompressionConfig:
+    """``scoring``: heuristic rules, ``semantic`` (50 x highest cosine to the
+    critical vectors + 20 x density + position) or ``hybrid`` (0.7 semantic + 0.3
+    heuristic).  ``embed`` maps a sentence column to a vector column (a pandas UDF
+    or ``predict_batch_udf`` of a real model, or the default word hash);
+    ``critical`` are the vectors of the critical phrases under that embedding."""
     level: str = "medium"
     target_ratio: float | None = None
     rules: RuleSet = REFERENCE_RULES
     counter: TokenCounter = field(default=approx4)
+    scoring: str = "heuristic"
+    embed: Callable[[Column], Column] = field(default=_default_embed)
+    critical: Sequence[Sequence[float]] = field(default_factory=_default_critical)
 
     @property
     def ratio(self) -> float:
         return self.target_ratio if self.target_ratio is not None else LEVEL_RATIO[self.level]
 
 
+def sentence_score(sentence, scoring: str, config: CompressionConfig) -> Column:
+    """A sentence's score.  A null embedding counts as no semantic score:
+    semantic falls back to the rules, hybrid takes 0 for its part."""
+    from .vectors import HYBRID_WEIGHTS, SEMANTIC_WEIGHTS, max_cosine
+    h = heuristic_score(sentence, config.rules)
+    if scoring == "heuristic":
+        return h
+    cos = max_cosine(config.embed(col(sentence)), config.critical)
+    sem = cos * SEMANTIC_WEIGHTS[0] + information_density(sentence) * SEMANTIC_WEIGHTS[1] + F.lit(0.5)
+    if scoring == "semantic":
+        return F.round(F.coalesce(sem, h), SCORE_DECIMALS)
+    return F.round(F.coalesce(sem, F.lit(0.0)) * HYBRID_WEIGHTS[0] + h * HYBRID_WEIGHTS[1], SCORE_DECIMALS)
+
+
 def target_tokens(original_tokens, ratio) -> Column:
     """Truncation of tokens * (1 - ratio) computed in doubles."""
     r = ratio if isinstance(ratio, Column) else F.lit(float(ratio))
@@ -192,7 +233,8 @@ def target_tokens(original_tokens, ratio) -> Column:
 
 def stage_sentence_items(df: DataFrame, text_col: str, prefix: str,
                          rules: RuleSet = REFERENCE_RULES, counter: TokenCounter = approx4,
-                         scores_col: str | None = None) -> DataFrame:
+                         scores_col: str | None = None, config: CompressionConfig | None = None,
+                         scorings: Sequence[str] | None = None) -> DataFrame:
     """First half of C3 (independent of the budget): the sentences and their
     walk order, staged as ``{prefix}__s`` / ``{prefix}__it`` columns.
 
@@ -200,10 +242,22 @@ def stage_sentence_items(df: DataFrame, text_col: str, prefix: str,
     functions run interpreted and Catalyst does not share subexpressions
     inside lambdas, so an inlined ``sentences(text)`` would be recomputed per
     element.  ``scores_col`` may supply an array<double> aligned with the
-    sentences (semantic / hybrid modes)."""
+    sentences (any other scorer); ``config`` chooses the mode; ``scorings``
+    multiplies the rows by modes (``scoring_mode``) after segmentation."""
     s, it = f"{prefix}__s", f"{prefix}__it"
     staged = df.withColumn(s, sentences(text_col))
-    if scores_col:
+
+    def items(mode: str) -> Column:
+        return F.transform(s, lambda x, i: F.struct(
+            (-sentence_score(x, mode, config)).alias("k"), i.alias("idx"), counter(x).alias("tokens"),
+            F.xxhash64(F.lower(x)).alias("h")))
+
+    if scorings:
+        staged = staged.withColumn("scoring_mode", F.explode(F.array(*[F.lit(x) for x in scorings])))
+        scored = F.coalesce(*[F.when(F.col("scoring_mode") == m, items(m)) for m in scorings])
+    elif config is not None and not scores_col:
+        scored = items(config.scoring)
+    elif scores_col:
         scored = F.transform(F.arrays_zip(F.col(s).alias("x"), F.col(scores_col).alias("v")),
                              lambda z, i: F.struct((-z.v).alias("k"), i.alias("idx"),
                                                    counter(z.x).alias("tokens"),
@@ -241,7 +295,8 @@ def with_compressed_sentences(df: DataFrame, text_col: str, target_col: str, out
 
 def extractive_compress(df: DataFrame, text_col: str = "text",
                         config: CompressionConfig = CompressionConfig(),
-                        levels: Sequence[str] | None = None) -> DataFrame:
+                        levels: Sequence[str] | None = None,
+                        scorings: Sequence[str] | None = None) -> DataFrame:
     """C1 without a pattern library (or after substitution): gate -> split
     instructions/payload -> sentence mode -> reattach payload -> task
     section -> token accounting.  Adds the result columns to ``df``.
@@ -249,12 +304,13 @@ def extractive_compress(df: DataFrame, text_col: str = "text",
     ``levels`` compresses every row at several levels in the same narrow
     stage: sentences are segmented and scored once, then the rows are
     exploded per level (``compression_level``, ``ratio``) and only the budget
-    walk runs per level."""
+    walk runs per level.  ``scorings`` does the same with scoring modes
+    (``scoring_mode``): segmented once, scored and walked per mode."""
     cnt = config.counter
     staged = (df.withColumn("_split", split_parts(F.col(text_col)))
               .withColumn("_instr", F.col("_split.head")).withColumn("_payload", F.col("_split.tail"))
               .drop("_split").withColumn("original_tokens", cnt(F.col(text_col))))
-    staged = stage_sentence_items(staged, "_instr", "_c", config.rules, cnt)
+    staged = stage_sentence_items(staged, "_instr", "_c", config.rules, cnt, config=config, scorings=scorings)
     if levels:
         staged = staged.withColumn("_lv", F.explode(F.array(*[
             F.struct(F.lit(lv).alias("compression_level"), F.lit(float(LEVEL_RATIO[lv])).alias("ratio"))

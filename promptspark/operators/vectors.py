@@ -3,6 +3,10 @@ reference accumulates in f32; doubles are the more precise choice here)."""
 
 from __future__ import annotations
 
+import hashlib
+import math
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -57,6 +61,28 @@ def hash_embed(text, dim: int = 384) -> Column:
     return normalize(let(F.transform(words(F.lower(col(text))), weight), fold))
 
 
+def hash_embed_values(text: str, dim: int) -> list[float]:
+    """:func:`hash_embed` of one fixed text (a critical phrase), on the driver."""
+    vals = [0.0] * dim
+    for k, w in enumerate(text.lower().split()):
+        h = int(hashlib.md5(w.encode()).hexdigest()[:8], 16)
+        vals[k % dim] += ((h % 10000) / 10000.0 * 2.0 - 1.0) * WORD_WEIGHT
+    n = math.sqrt(sum(v * v for v in vals))
+    return [v / n for v in vals] if n else vals
+
+
+def max_cosine(vec, refs: Sequence[Sequence[float]]) -> Column:
+    """J11 against a fixed, caller-sized set of vectors: the highest cosine, at
+    least 0."""
+    unit = []
+    for r in refs:
+        n = math.sqrt(sum(x * x for x in r))
+        unit.append([x / n for x in r] if n else list(r))
+    lit = F.array(*[F.array(*[F.lit(float(x)) for x in r]) for r in unit])
+    return let(F.struct(col(vec).alias("v"), norm(vec).alias("n")), lambda s: F.when(s.n > 0, F.aggregate(
+        lit, F.lit(0.0), lambda m, r: F.greatest(m, dot(s.v, r) / s.n))).otherwise(F.lit(0.0)))
+
+
 def mean_pool(df: DataFrame, key: str, vec: str) -> DataFrame:
     """V6: element-wise mean of vectors per key, long form (key, dim, mean).
     Partial aggregation per (key, dim): a hot key spreads over its dims."""

@@ -23,39 +23,56 @@ def matrix(spark, sf_dir):
 
 
 def _sql_matrix() -> str:
+    """Every cell of the matrix compressed on its own, with its mode's scores."""
     parts = []
     for i, lv in enumerate(bm.LEVELS):
-        q = sql_quality(LEVEL_RATIO[lv])
-        parts.append(f"""lv{i} AS (WITH {q},
+        for j, mode in enumerate(bm.SCORINGS):
+            parts.append(f"""c{i}{j} AS (WITH {sql_quality(LEVEL_RATIO[lv], mode)},
   fin AS (SELECT *, semantic_similarity * 0.4 + critical_instruction_preservation * 0.3
                     + information_retention * 0.2 + structural_integrity * 0.1 AS overall_score FROM qq)
-  SELECT z.doc_id, '{lv}' AS compression_level, {i} AS li, z.original_tokens, z.compressed_tokens,
-         z.tokens_saved, CASE WHEN z.original_tokens > 0 THEN z.tokens_saved::DOUBLE / z.original_tokens
-                              ELSE 0.0 END AS compression_ratio,
+  SELECT z.doc_id, '{lv}' AS compression_level, '{mode}' AS scoring_mode, CAST({i * 3 + j} AS INTEGER) AS config,
+         z.original_tokens >= 50 AS success, z.original_tokens, z.compressed_tokens, z.tokens_saved,
+         CASE WHEN z.original_tokens > 0 THEN z.tokens_saved::DOUBLE / z.original_tokens
+              ELSE 0.0 END AS compression_ratio,
          fin.overall_score, fin.semantic_similarity, fin.information_retention, fin.structural_integrity,
          fin.critical_instruction_preservation
-  FROM z JOIN fin ON z.doc_id = fin.doc_id WHERE z.original_tokens >= 50)""")
-    scor = ", ".join(f"('{s}', {j})" for j, s in enumerate(bm.SCORINGS))
-    return ("WITH " + ",\n".join(parts) + f""",
-allv AS (SELECT * FROM lv0 UNION ALL SELECT * FROM lv1 UNION ALL SELECT * FROM lv2),
-m AS (SELECT d.lang AS category, CAST(a.li * 3 + s.sj AS INTEGER) AS config, s.scoring_mode, a.*
-      FROM allv a JOIN documents d ON d.doc_id = a.doc_id
-      CROSS JOIN (VALUES {scor}) AS s(scoring_mode, sj))""")
+  FROM z JOIN fin ON z.doc_id = fin.doc_id)""")
+    cells = " UNION ALL ".join(f"SELECT * FROM c{i}{j}" for i in range(len(bm.LEVELS)) for j in range(len(bm.SCORINGS)))
+    return "WITH " + ",\n".join(parts) + f""",
+rows AS (SELECT d.lang AS category, a.* FROM ({cells}) a JOIN documents d ON d.doc_id = a.doc_id),
+m AS (SELECT * FROM rows WHERE success)"""
 
 
 SQL_MATRIX = _sql_matrix()
 
 
 @register("benchmark_matrix", SQL_MATRIX + """
-SELECT doc_id, category, config, compression_level, scoring_mode, true AS success, original_tokens,
-       compressed_tokens, tokens_saved, compression_ratio, compression_ratio * 100.0 AS compression_percentage,
-       overall_score, semantic_similarity, information_retention, structural_integrity,
-       critical_instruction_preservation
-FROM m""")
+SELECT doc_id, category, config, compression_level, scoring_mode, success,
+       CASE WHEN NOT success THEN 'too short to compress' END AS reason, original_tokens,
+       CASE WHEN success THEN compressed_tokens END AS compressed_tokens,
+       CASE WHEN success THEN tokens_saved END AS tokens_saved,
+       CASE WHEN success THEN compression_ratio END AS compression_ratio,
+       CASE WHEN success THEN compression_ratio * 100.0 END AS compression_percentage,
+       CASE WHEN success THEN overall_score END AS overall_score,
+       CASE WHEN success THEN semantic_similarity END AS semantic_similarity,
+       CASE WHEN success THEN information_retention END AS information_retention,
+       CASE WHEN success THEN structural_integrity END AS structural_integrity,
+       CASE WHEN success THEN critical_instruction_preservation END AS critical_instruction_preservation
+FROM rows""")
 def benchmark_matrix(spark, sf_dir):
     return matrix(spark, sf_dir)
 
 
+@register("benchmark_summary", SQL_MATRIX + """
+SELECT count(*) AS total, count(*) FILTER (WHERE success) AS successful, count(*) FILTER (WHERE NOT success) AS failed,
+       count(*) FILTER (WHERE success) / count(*) * 100.0 AS success_rate,
+       count(*) FILTER (WHERE NOT success) AS too_short
+FROM rows""")
+def benchmark_summary(spark, sf_dir):
+    """Run totals and success rate of the matrix."""
+    return bm.run_summary(matrix(spark, sf_dir))
+
+
 def _sql_stat(m: str) -> str:
     return (f"round(avg({m}), {ROUND}) AS {m}_mean, round(median({m}), {ROUND}) AS {m}_median, "
             f"round(min({m}), {ROUND}) AS {m}_min, round(max({m}), {ROUND}) AS {m}_max, "

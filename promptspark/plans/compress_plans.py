@@ -11,7 +11,7 @@ from ..operators import text_ops as tx
 from ..sources.tables import table
 from . import register
 from .sqlsnip import norm_text, tok
-from .text_plans import SQL_SENTENCES, _WS, _sql_score
+from .text_plans import SQL_SENTENCES, _WS, _sql_density, _sql_score
 
 LEVEL = "medium"
 RATIO = ex.LEVEL_RATIO[LEVEL]
@@ -24,11 +24,32 @@ def compressed_documents(spark, sf_dir, config: ex.CompressionConfig | None = No
     return ex.extractive_compress(docs, "text", config or ex.CompressionConfig(level=LEVEL))
 
 
+def _sql_semantic(e: str) -> str:
+    """Semantic score of one sentence: MD5-weighted words folded into EMBED_DIM
+    places, highest cosine to the critical phrases, density, middle position."""
+    dim = ex.EMBED_DIM
+    refs = "[" + ", ".join("[" + ", ".join(f"{x!r}::DOUBLE" for x in r) + "]" for r in ex.CompressionConfig().critical) + "]"
+    weights = (f"list_transform(list_filter(string_split_regex(trim(lower({e}), {_WS}), '\\s+'), lambda w: w <> ''), "
+               "lambda w: ((('0x' || substr(md5(w), 1, 8))::BIGINT % 10000)::DOUBLE / 10000.0::DOUBLE * 2.0 - 1.0) * 0.05::DOUBLE)")
+    vec = (f"list_transform([{weights}], lambda ws: list_transform(range(0, {dim}), lambda p: "
+           f"coalesce(list_sum(list_filter(ws, lambda x, k: (k - 1) % {dim} = p)), 0.0::DOUBLE)))[1]")
+    cos = (f"list_transform([{vec}], lambda v: CASE WHEN list_dot_product(v, v) > 0 THEN greatest(0.0::DOUBLE, "
+           f"list_max(list_transform({refs}, lambda r: list_dot_product(v, r))) / sqrt(list_dot_product(v, v))) "
+           "ELSE 0.0::DOUBLE END)[1]")
+    return f"({cos} * 50.0 + {_sql_density(e)} * 20.0 + 0.5)"
+
+
+def _sql_key(e: str, scoring: str) -> str:
+    h = _sql_score(e, ex.REFERENCE_RULES)
+    return {"heuristic": h, "semantic": f"round({_sql_semantic(e)}, {ex.SCORE_DECIMALS})",
+            "hybrid": f"round({_sql_semantic(e)} * 0.7 + {h} * 0.3, {ex.SCORE_DECIMALS})"}[scoring]
+
+
 # Oracle: the same pipeline written with DuckDB list functions; the greedy
 # budget walk is a list_reduce over the score-sorted sentence structs of a CTE
 # ``g`` holding (sents, tgt).
-SQL_FOLD = f"""w AS (SELECT *, list_reduce(list_sort(list_transform(sents, lambda e, i: {{
-          'k': -({_sql_score('e', ex.REFERENCE_RULES)}), 'idx': i - 1, 'tokens': {tok('e')},
+_FOLD = f"""w AS (SELECT *, list_reduce(list_sort(list_transform(sents, lambda e, i: {{
+          'k': -(__SCORE__), 'idx': i - 1, 'tokens': {tok('e')},
           'norm': lower(trim(e, {_WS}))}})),
         lambda acc, x: CASE
           WHEN list_contains(acc.norms, x.norm)
@@ -41,8 +62,11 @@ SQL_FOLD = f"""w AS (SELECT *, list_reduce(list_sort(list_transform(sents, lambd
       FROM g),
 """
 
-def sql_compress(ratio: float = RATIO) -> str:
-    return _SQL_COMPRESS_TMPL.replace("__RATIO__", repr(float(ratio)))
+SQL_FOLD = _FOLD.replace("__SCORE__", _sql_key("e", "heuristic"))
+
+
+def sql_compress(ratio: float = RATIO, scoring: str = "heuristic") -> str:
+    return _SQL_COMPRESS_TMPL.replace("__RATIO__", repr(float(ratio))).replace("__SCORE__", _sql_key("e", scoring))
 
 
 _SQL_COMPRESS_TMPL = SQL_SENTENCES + f""",
@@ -50,7 +74,7 @@ d AS (SELECT doc_id, text, {tok('text')} AS orig FROM documents),
 g AS (SELECT d.doc_id, d.text, d.orig,
              CAST(floor(d.orig::DOUBLE * (1.0::DOUBLE - __RATIO__::DOUBLE)) AS BIGINT) AS tgt, s.sents
       FROM d JOIN s ON d.doc_id = s.doc_id),
-{SQL_FOLD}r AS (SELECT *, orig < 50 AS gated, orig <= tgt AS already,
+{_FOLD}r AS (SELECT *, orig < 50 AS gated, orig <= tgt AS already,
         CASE WHEN len(sents) = 0 THEN text ELSE array_to_string(
           list_transform(list_sort(fo.picks), lambda i: sents[i + 1]), ' ') END AS joined
       FROM w),
@@ -105,8 +129,8 @@ def _sql_keywords(e: str) -> str:
             f"lambda w: strlen(w) > 2 AND NOT list_contains({_STOP}, w)))")
 
 
-def sql_quality(ratio: float = RATIO) -> str:
-    return sql_compress(ratio) + _SQL_QUALITY_TAIL
+def sql_quality(ratio: float = RATIO, scoring: str = "heuristic") -> str:
+    return sql_compress(ratio, scoring) + _SQL_QUALITY_TAIL
 
 
 _SQL_QUALITY_TAIL = f""",
