@@ -42,8 +42,8 @@ def let(value: Column, body) -> Column:
 
 
 def line_words(line: Column) -> Column:
-    """Lower-cased words of a line."""
-    return F.filter(F.split(F.lower(line), "[\\x20\\x09-\\x0D]+"), lambda w: w != "")
+    """Lower-cased words of a line (a blank line gives one empty word)."""
+    return F.split(F.btrim(F.lower(line), F.lit(common.BLANKS)), "[\\x20\\x09-\\x0D]+")
 
 
 def identity(doc_id: str, text: str) -> tuple[Column, Column]:
@@ -52,32 +52,36 @@ def identity(doc_id: str, text: str) -> tuple[Column, Column]:
     return F.coalesce(F.col(doc_id).cast("long"), F.lit(_LAST)), F.xxhash64(text)
 
 
-def lines_of(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
-    own, text_key = identity(doc_id, text)
-    return docs.select(own.alias("id"), text_key.alias("text_key"),
-                       F.posexplode(F.split(text, "\n", -1)).alias("line_no", "line"))
-
-
 def half_keys(words: Column) -> Column:
     """Keys of the halves that a line shares with lines within one edit: for a
-    pair whose shorter line has ``m`` words, ``m // 2`` words at either end."""
+    pair whose shorter line has ``m`` words, ``m // 2`` words at either end;
+    first halves stand at even places."""
     n = F.size(words)
 
     def keys(m: Column) -> list[Column]:
         h = F.floor(m / 2).cast("int")
-        return [F.struct(F.xxhash64(F.lit(side), m, F.slice(words, F.lit(1) if side == "p" else n - h + 1, h)).alias("k"),
-                         F.lit(side == "p").alias("prefix")) for side in "ps"]
+        return [F.xxhash64(F.lit(side), m, F.slice(words, F.lit(1) if side == "p" else n - h + 1, h)) for side in "ps"]
 
     return F.array(*keys(n), *keys(n - 1))
 
 
-def classes_of(lines: DataFrame, min_words: int, min_fuzzy: int) -> DataFrame:
-    """Occurrences with two hashes of their words, and the half keys."""
-    staged = lines.select("id", "text_key", "line_no", let(line_words(F.col("line")), lambda w: F.when(
-        F.size(w) >= min_words, F.struct(
-            F.size(w).alias("n"), F.xxhash64(w).alias("h1"), F.xxhash64(F.lit(1), w).alias("h2"),
-            F.when(F.size(w) >= min_fuzzy, F.transform(half_keys(w), lambda k: k["k"])).alias("halves")))).alias("c"))
-    return staged.where("c IS NOT NULL").select("id", "text_key", "line_no", "c.n", "c.h1", "c.h2", "c.halves")
+def occurrences_of(docs: DataFrame, doc_id: str, text: str, min_words: int, min_fuzzy: int | None) -> DataFrame:
+    """(id, text_key, line_no, h1, h2 and, with ``min_fuzzy``, halves) of every
+    line of ``min_words`` words or more.  One generator does it all, so a line's
+    words are split once."""
+    own, text_key = identity(doc_id, text)
+
+    def entry(line: Column, k: Column) -> Column:
+        def fields(w: Column) -> Column:
+            cols = [k.alias("line_no"), F.xxhash64(w).alias("h1"), F.xxhash64(F.lit(1), w).alias("h2")]
+            if min_fuzzy is not None:
+                cols.append(F.when(F.size(w) >= min_fuzzy, half_keys(w)).alias("halves"))
+            return F.when(F.size(w) >= max(2, min_words), F.struct(*cols))
+
+        return let(line_words(line), fields)
+
+    found = F.filter(F.transform(F.split(text, "\n", -1), entry), lambda x: x.isNotNull())
+    return docs.select(own.alias("id"), text_key.alias("text_key"), F.inline(found))
 
 
 def chain(words: Column, backwards: bool = False) -> Column:
@@ -157,15 +161,15 @@ def duplicate_lines(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "tex
                     min_fuzzy_words: int = MIN_FUZZY_WORDS) -> DataFrame:
     """(id, text_key, removed): the line numbers (from 0, ascending) that each
     document loses; documents that lose none have no row."""
-    found = classes_of(lines_of(docs, doc_id, text), min_words, min_fuzzy_words)
-    occurrences = common.cut(found.drop("halves"))
+    found = occurrences_of(docs, doc_id, text, min_words, min_fuzzy_words)
     classes = (found.groupBy("h1", "h2").agg(F.min(F.struct("id", "line_no")).alias("first"),
                                             F.count(F.lit(1)).alias("m"), F.first("halves").alias("halves")))
     classes = common.cut(classes)
     near = near_classes(classes, docs, doc_id, text).withColumn("near", F.lit(True))
     verdict = common.cut(classes.select("h1", "h2", "first", "m").join(near, ["h1", "h2"], "left")
                          .where("near OR m > 1").select("h1", "h2", "first", F.coalesce("near", F.lit(False)).alias("near")))
-    gone = occurrences.join(verdict, ["h1", "h2"]).where(
+    # Splitting the lines again costs less than keeping all occurrences on disk.
+    gone = occurrences_of(docs, doc_id, text, min_words, None).join(verdict, ["h1", "h2"]).where(
         F.col("near") | (F.struct("id", "line_no") > F.col("first")))
     return gone.groupBy("id", "text_key").agg(F.array_sort(F.collect_set("line_no")).alias("removed"))
 
