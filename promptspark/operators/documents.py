@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..functions.text import lines, utrim
+from ..functions.text import let, lines, utrim
 from ..functions.tokens import TokenCounter, approx4
 
 VERSION = "1.0"
@@ -23,6 +23,8 @@ MULTILINE_KINDS = REFERENCE_KINDS + ("TASK",)
 ONE_LINE_KINDS = ("CONTEXT", "FOCUS", "STYLE", "FORMAT")
 LIST_KINDS = ("FOCUS", "STYLE")
 INLINE = "inline"
+# Header, directive form, expansion prefixes and token overheads of
+# the document format.
 VERSION_RE = r"^@HIERATIC\s+(v?\d+\.\d+)"
 DIRECTIVE_RE = r"^@([A-Z_]+)(\[([^\]]+)\])?:\s*(.*)$"
 EXPAND_PREFIX = {"FOCUS": "Focus on: ", "STYLE": "Style: ", "FORMAT": "Format: "}
@@ -74,7 +76,9 @@ def parse(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     one-line directive and before the first directive are ignored.  A bad
     header, an unknown directive or an unclosed bracket yields a row with
     ``error`` set (kind null)."""
-    lines_df = docs.select(F.col(id_col).alias("doc_id"), F.posexplode(lines(text_col)).alias("ln", "raw")) \
+    some = let(F.coalesce(lines(text_col), F.array().cast("array<string>")),
+               lambda ls: F.when(F.size(ls) == 0, F.array(F.lit(""))).otherwise(ls))  # an empty document has a row
+    lines_df = docs.select(F.col(id_col).alias("doc_id"), F.posexplode(some).alias("ln", "raw")) \
         .withColumn("t", utrim("raw"))
     version = lines_df.filter(F.col("ln") == 0).select(
         "doc_id", F.regexp_extract("t", VERSION_RE, 1).alias("v")) \

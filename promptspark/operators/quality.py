@@ -90,18 +90,6 @@ def structure_score(original, expanded) -> Column:
     return s
 
 
-def similarity(a, b) -> Column:
-    """V1: 1 - levenshtein(code points) / max(bytes); both empty -> 1."""
-    x, y = col(a), col(b)
-    m = F.greatest(F.octet_length(x), F.octet_length(y))
-    return F.when(m == 0, F.lit(1.0)).otherwise(
-        F.lit(1.0) - F.levenshtein(x, y).cast("double") / m)
-
-
-def normalized_similarity(a, b) -> Column:
-    return similarity(normalize_text(a), normalize_text(b))
-
-
 def subsequence_similarity(original, subsequence) -> Column:
     """When ``subsequence`` (after normalisation) is an ordered subsequence
     of ``original``, edit distance equals the length difference, so V1 is
@@ -120,28 +108,6 @@ def rating(score) -> Column:
     return expr.otherwise(F.lit(LOWEST_RATING))
 
 
-def quality_columns(original, expanded, subsequence: bool = False) -> dict[str, Column]:
-    """C11: the seven metrics, overall score, rating and acceptability."""
-    sim = subsequence_similarity(original, expanded) if subsequence \
-        else normalized_similarity(original, expanded)
-    sim = F.least(sim, F.lit(1.0))
-    found, kept = critical_counts(original, expanded)
-    crit = F.when(found > 0, kept.cast("double") / found).otherwise(F.lit(1.0))
-    ret = keyword_retention(original, expanded)
-    struct = structure_score(original, expanded)
-    overall = (sim * WEIGHTS["similarity"] + crit * WEIGHTS["critical"]
-               + ret * WEIGHTS["retention"] + struct * WEIGHTS["structure"])
-    return {
-        "semantic_similarity": sim,
-        "critical_patterns_found": found,
-        "critical_patterns_preserved": kept,
-        "critical_instruction_preservation": crit,
-        "information_retention": ret,
-        "structural_integrity": struct,
-        "overall_score": overall,
-    }
-
-
 def stage_original(df: DataFrame, original: str, prefix: str = "_q") -> DataFrame:
     """The original-text side of C11 (lower-cased text, keyword set, normal
     form); stage it before rows are multiplied (e.g. per compression level)."""

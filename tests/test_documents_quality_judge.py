@@ -7,6 +7,7 @@ from promptspark.operators import documents as dc
 from promptspark.operators import judge as jg
 from promptspark.operators import quality as q
 from promptspark.operators import patterns as pt
+from promptspark.operators import similarity as sm
 from conftest import one
 
 DOC = "@HIERATIC v1.0\n\n@ROLE[inline]\nYou are an expert.\n\n@FOCUS: performance, security\n\n@TASK\nDo something\n"
@@ -60,7 +61,7 @@ def test_subsequence_shortcut_equals_levenshtein(spark):
     from promptspark.operators import extract as ex
     c = ex.extractive_compress(docs.select("doc_id", "text"))
     r = c.select(q.subsequence_similarity("text", "task").alias("a"),
-                 q.normalized_similarity("text", "task").alias("b")).collect()
+                 sm.normalized_similarity("text", "task").alias("b")).collect()
     assert r and all(x.a == pytest.approx(x.b, abs=1e-12) for x in r)
 
 

@@ -108,3 +108,26 @@ def test_sliding_and_session_windows(spark, tmp_path):
     add([("w", "2026-01-03 00:00:00", True, 1.0)])  # passes the watermark over the sessions so far
     gaps = run("b", session_gap="1 hour", keys=("user",))
     assert sorted((r.user, r.completed, r.failed) for r in gaps.collect()) == [("u", 1, 0), ("u", 2, 1), ("v", 1, 0)]
+
+
+def test_empty_documents_fail_validation(spark):
+    from promptspark.operators import documents
+    docs = spark.createDataFrame([(1, ""), (2, None), (3, "@HIERATIC v1.0\n\n@TASK\nDo it.")], "doc_id long, text string")
+    parsed = documents.parse(docs)
+    rules = {}
+    for r in documents.violations(parsed).collect():
+        rules.setdefault(r.doc_id, []).append(r.rule)
+    assert set(rules) == {1, 2} and all(len(v) == 2 for v in rules.values())
+    lib = spark.createDataFrame([], "id string, content string")
+    got = {r.doc_id: (r.expanded, r.error) for r in documents.expand(parsed, lib).collect()}
+    assert got[3] == ("Do it.", None) and got[1][0] is None and got[1][1] and got[2][1]
+
+
+def test_scoring_modes_differ_and_fall_back(spark):
+    cfg = extract.CompressionConfig
+    text = "You must keep this. " + ". ".join(f"word{k} other{k} thing{k} plain{k}" for k in range(60)) + "."
+    df = spark.createDataFrame([(text.replace(". ", ".\n"),)], "text string")
+    tasks = {m: one(extract.extractive_compress(df, config=cfg(scoring=m, level="aggressive"))).task for m in extract.SCORINGS}
+    assert len(set(tasks.values())) > 1
+    null = cfg(scoring="semantic", level="aggressive", embed=lambda c: F.lit(None).cast("array<double>"))
+    assert one(extract.extractive_compress(df, config=null)).task == tasks["heuristic"]
