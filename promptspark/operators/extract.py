@@ -351,10 +351,10 @@ def sentence_table(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """One row per sentence: (id, idx, sentence, tokens, words, score_k...,
     density, n_context).  Narrow: posexplode after the array work."""
     with_s = df.select(id_col, sentences(text_col).alias("_s"))
-    with_s = with_s.withColumn("_ctx", context_window("_s"))
-    ex = with_s.select(id_col, F.posexplode(F.arrays_zip("_s", "_ctx")).alias("idx", "z"))
-    out = ex.select(id_col, F.col("idx").cast("int").alias("idx"),
-                    F.col("z._s").alias("sentence"), F.size("z._ctx").alias("n_context"))
+    ex = with_s.select(id_col, F.size("_s").alias("_n"), F.posexplode("_s").alias("idx", "sentence"))
+    # W1's size from place and length; the slices themselves are context_window's.
+    n_context = F.least(F.col("idx") + 2, F.col("_n") - 1) - F.greatest(F.col("idx") - 2, F.lit(0)) + 1
+    out = ex.select(id_col, F.col("idx").cast("int").alias("idx"), "sentence", n_context.cast("int").alias("n_context"))
     out = out.withColumn("tokens", counter(F.col("sentence")))
     out = out.withColumn("words", word_count("sentence"))
     for k, rs in enumerate(rules):

@@ -80,19 +80,27 @@ def summary(requests: DataFrame, input_per_1k: float | None = None,
     return out
 
 
+LATENCY_RANGE = 64  # milliseconds per block of the running count
+
+
 def latency_percentiles(requests: DataFrame, group_cols=()) -> DataFrame:
     """A8 exactly as the reference indexes the sorted successful latencies:
     p50 = sorted[n/2], p95 = sorted[min(ceil(0.95 n), n-1)] (0-based).
 
     Scalable form: latencies are first counted per distinct value (map-side
-    partial aggregation), so the ordered running count runs over distinct
-    values only, never over all requests."""
+    partial aggregation); the running count is a two-level prefix sum over
+    value ranges of ``LATENCY_RANGE``, so only the ranges' totals (their number
+    depends on the spread of the latencies, not on the requests) meet in one task."""
     g = list(group_cols)
-    counts = requests.filter("success").groupBy(*g, "latency_ms").agg(F.count(F.lit(1)).alias("c"))
-    w_all = Window.partitionBy(*g) if g else Window.partitionBy()
-    w_run = (Window.partitionBy(*g) if g else Window.partitionBy()).orderBy("latency_ms") \
-        .rowsBetween(Window.unboundedPreceding, 0)
-    ranked = counts.withColumn("n", F.sum("c").over(w_all)).withColumn("upto", F.sum("c").over(w_run))
+    counts = requests.filter("success").groupBy(*g, "latency_ms").agg(F.count(F.lit(1)).alias("c")) \
+        .withColumn("_blk", F.floor(F.col("latency_ms") / LATENCY_RANGE))
+    inside = Window.partitionBy(*g, "_blk").orderBy("latency_ms").rowsBetween(Window.unboundedPreceding, 0)
+    totals = counts.groupBy(*g, "_blk").agg(F.sum("c").alias("_c"))
+    every = Window.partitionBy(*g) if g else Window.partitionBy()
+    offsets = totals.select(*g, "_blk", F.sum("_c").over(every).alias("n"), F.coalesce(F.sum("_c").over(
+        every.orderBy("_blk").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
+    ranked = counts.withColumn("_in", F.sum("c").over(inside)).join(offsets, [*g, "_blk"]) \
+        .withColumn("upto", F.col("_in") + F.col("_before"))
     i50 = F.floor(F.col("n") / 2)
     i95 = F.least(F.ceil(F.col("n") * 0.95), F.col("n") - 1)
     # value at 0-based index i = smallest latency whose running count exceeds i

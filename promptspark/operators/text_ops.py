@@ -251,14 +251,13 @@ def occurrences(text, phrase) -> Column:
                    / F.char_length(p)).cast("int")
 
 
-def repeated_phrases(df: DataFrame, phrases: DataFrame, id_col: str = "doc_id",
+def repeated_phrases(df: DataFrame, phrases: Sequence[str], id_col: str = "doc_id",
                      text_col: str = "text") -> DataFrame:
-    """(id, phrase, occurrences) for phrases seen at least 3 times.  The phrase
-    table is caller-sized and bounded, so it is broadcast (map-side)."""
-    return (df.select(id_col, text_col).crossJoin(F.broadcast(phrases))
-            .withColumn("occurrences", occurrences(text_col, "phrase"))
-            .filter(F.col("occurrences") >= MIN_REPEATS)
-            .drop(text_col))
+    """(id, phrase, occurrences) for phrases seen at least 3 times, counted in
+    the row: a text is read once, whatever the number of phrases."""
+    found = F.filter(F.transform(F.array(*[F.lit(p) for p in phrases]), lambda p: F.struct(
+        p.alias("phrase"), occurrences(text_col, p).alias("occurrences"))), lambda x: x.occurrences >= MIN_REPEATS)
+    return df.select(id_col, F.inline(found))
 
 
 # ------------------------------------------------- P19 structured blocks

@@ -9,6 +9,7 @@ from ..operators import benchmark as bm
 from ..operators import library as lib
 from ..operators import pricing
 from ..operators.extract import LEVEL_RATIO
+from ..session import ensure_checkpoint_dir
 from ..sources.tables import table
 from . import register
 from .compress_plans import compressed_documents, sql_compress, sql_quality
@@ -89,8 +90,8 @@ st AS (SELECT CASE WHEN category IS NOT NULL THEN 'category' WHEN compression_le
        FROM ok GROUP BY GROUPING SETS ((category), (compression_level), (scoring_mode), ()))"""
 
 
-def _stats(spark, sf_dir):
-    st = bm.stats(matrix(spark, sf_dir))
+def _stats(rows):
+    st = bm.stats(rows)
     for c in st.columns:
         if c.endswith(("_mean", "_median", "_min", "_max", "_std")):
             st = st.withColumn(c, F.round(c, ROUND))
@@ -99,7 +100,7 @@ def _stats(spark, sf_dir):
 
 @register("benchmark_stats", SQL_STATS + "\nSELECT * FROM st")
 def benchmark_stats(spark, sf_dir):
-    return _stats(spark, sf_dir)
+    return _stats(matrix(spark, sf_dir))
 
 
 @register("benchmark_recommend", SQL_STATS + """,
@@ -120,8 +121,9 @@ bw AS (SELECT arg_max(doc_id, (compression_ratio, -doc_id, -config)) AS best_doc
               arg_min(config, (compression_ratio, -doc_id, -config)) AS worst_config FROM m)
 SELECT * FROM b, o, bw""")
 def benchmark_recommend(spark, sf_dir):
-    rows = matrix(spark, sf_dir)
-    rec = bm.recommend(_stats(spark, sf_dir), rows)
+    ensure_checkpoint_dir(spark)
+    rows = matrix(spark, sf_dir).checkpoint()  # narrow records, read by the statistics and the extremes
+    rec = bm.recommend(_stats(rows), rows)
     return rec.select("best_level", "best_scoring", "min_compression", "min_quality", "target_compression_low",
                       "target_compression_high", "target_quality_low",
                       F.col("best_run.doc_id").alias("best_doc"), F.col("best_run.config").alias("best_config"),

@@ -190,11 +190,17 @@ def sentence_scores(spark, sf_dir):
 
 @register("sentence_context", """
 WITH """ + SQL_SENTENCES + """
-SELECT doc_id, CAST(idx AS INTEGER) AS idx,
-       CAST(least(idx + 2, n - 1) - greatest(idx - 2, 0) + 1 AS INTEGER) AS n_context
-FROM x""")
+SELECT doc_id, CAST(i AS INTEGER) AS idx,
+       CAST(least(i + 2, len(sents) - 1) - greatest(i - 2, 0) + 1 AS INTEGER) AS n_context,
+       array_to_string(list_slice(sents, greatest(i - 2, 0) + 1, least(i + 3, len(sents))), chr(10)) AS context
+FROM (SELECT doc_id, sents, unnest(range(len(sents))) AS i FROM s)""")
 def sentence_context(spark, sf_dir):
-    return _sentence_rows(spark, sf_dir).select("doc_id", "idx", "n_context")
+    """Every sentence's window of five with its text."""
+    docs = table(spark, sf_dir, "documents", "doc_id", "text")
+    staged = docs.select("doc_id", ex.sentences("text").alias("s"))
+    windows = staged.select("doc_id", F.posexplode(ex.context_window("s")).alias("idx", "w"))
+    return windows.select("doc_id", F.col("idx").cast("int").alias("idx"), F.size("w").alias("n_context"),
+                          F.array_join("w", "\n").alias("context"))
 
 
 @register("pattern_candidates", f"""
@@ -237,8 +243,7 @@ FROM documents CROSS JOIN ph
 WHERE (length(text) - length(replace(text, phrase, ''))) / length(phrase) >= 3""")
 def repeated_phrases(spark, sf_dir):
     docs = table(spark, sf_dir, "documents", "doc_id", "text")
-    phrases = spark.createDataFrame([(p,) for p in tx.COMMON_PHRASES + DATA_PHRASES], "phrase string")
-    return tx.repeated_phrases(docs, phrases)
+    return tx.repeated_phrases(docs, tx.COMMON_PHRASES + DATA_PHRASES)
 
 
 # Prompt + page: a document's text followed by a page's markup, so the split
