@@ -8,6 +8,7 @@ from ..operators import extract as ex
 from ..operators import pricing
 from ..operators import quality as q
 from ..operators import text_ops as tx
+from ..operators import vectors as vc
 from ..sources.tables import table
 from . import register
 from .sqlsnip import norm_text, tok
@@ -24,18 +25,23 @@ def compressed_documents(spark, sf_dir, config: ex.CompressionConfig | None = No
     return ex.extractive_compress(docs, "text", config or ex.CompressionConfig(level=LEVEL))
 
 
-def _sql_semantic(e: str) -> str:
-    """Semantic score of one sentence: MD5-weighted words folded into EMBED_DIM
-    places, highest cosine to the critical phrases, density, middle position."""
-    dim = ex.EMBED_DIM
-    refs = "[" + ", ".join("[" + ", ".join(f"{x!r}::DOUBLE" for x in r) + "]" for r in ex.CompressionConfig().critical) + "]"
+def sql_cosine(e: str, dim: int) -> str:
+    """Highest cosine of a sentence to the critical phrases, words weighted by
+    their MD5 and folded into ``dim`` places (0 for a sentence without words)."""
+    refs = "[" + ", ".join("[" + ", ".join(f"{x!r}::DOUBLE" for x in vc.hash_embed_values(p, dim)) + "]"
+                           for p in q.CRITICAL_PATTERNS) + "]"
     weights = (f"list_transform(list_filter(string_split_regex(trim(lower({e}), {_WS}), '\\s+'), lambda w: w <> ''), "
                "lambda w: ((('0x' || substr(md5(w), 1, 8))::BIGINT % 10000)::DOUBLE / 10000.0::DOUBLE * 2.0 - 1.0) * 0.05::DOUBLE)")
     vec = (f"list_transform([{weights}], lambda ws: list_transform(range(0, {dim}), lambda p: "
            f"coalesce(list_sum(list_filter(ws, lambda x, k: (k - 1) % {dim} = p)), 0.0::DOUBLE)))[1]")
-    cos = (f"list_transform([{vec}], lambda v: CASE WHEN list_dot_product(v, v) > 0 THEN greatest(0.0::DOUBLE, "
-           f"list_max(list_transform({refs}, lambda r: list_dot_product(v, r))) / sqrt(list_dot_product(v, v))) "
-           "ELSE 0.0::DOUBLE END)[1]")
+    return (f"list_transform([{vec}], lambda v: CASE WHEN list_dot_product(v, v) > 0 THEN "
+            f"list_max(list_transform({refs}, lambda r: list_dot_product(v, r))) / sqrt(list_dot_product(v, v)) "
+            "ELSE 0.0::DOUBLE END)[1]")
+
+
+def _sql_semantic(e: str) -> str:
+    """Semantic score of one sentence: cosine (at least 0), density, middle position."""
+    cos = f"greatest(0.0::DOUBLE, {sql_cosine(e, ex.EMBED_DIM)})"
     return f"({cos} * 50.0 + {_sql_density(e)} * 20.0 + 0.5)"
 
 

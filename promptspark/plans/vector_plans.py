@@ -8,6 +8,8 @@ from ..operators import extract as ex
 from ..operators import vectors as vc
 from ..sources.tables import table
 from . import register
+from .compress_plans import sql_cosine
+from .text_plans import SQL_SENTENCES, _sql_density, _sql_score
 
 _DOT = "list_sum(list_transform(list_zip({a}, {b}), lambda p: p[1]::DOUBLE * p[2]::DOUBLE))"
 _NORM = "sqrt(list_sum(list_transform({a}, lambda x: x::DOUBLE * x::DOUBLE)))"
@@ -68,16 +70,26 @@ def semantic_scores(spark, sf_dir):
                     F.round(vc.semantic_score("max_cosine", F.lit(0.0), F.lit(0.5)), 9).alias("semantic_score"))
 
 
-@register("hash_embed")
+_HASH_DIM = 64
+
+
+@register("hash_embed", f"""
+WITH {SQL_SENTENCES},
+c AS (SELECT doc_id, idx, {sql_cosine('sentence', _HASH_DIM)} AS cos, {_sql_density('sentence')} AS density,
+             {_sql_score('sentence', ex.REFERENCE_RULES)} AS h FROM x)
+SELECT doc_id, CAST(idx AS INTEGER) AS idx, round(cos, 9) AS max_cosine,
+       round(cos * 50.0 + density * 20.0 + 0.5, 9) AS semantic_score,
+       round((cos * 50.0 + density * 20.0 + 0.5) * 0.7 + h * 0.3, 9) AS hybrid_score FROM c""")
 def hash_embed(spark, sf_dir):
     """V5 + V7 hybrid on document sentences: hash embeddings scored against
     the hash embeddings of the critical phrases."""
     from ..operators.quality import CRITICAL_PATTERNS
     docs = table(spark, sf_dir, "documents", "doc_id", "text")
-    sents = ex.sentence_table(docs).withColumn("vec", vc.hash_embed("sentence", 64))
+    sents = ex.sentence_table(docs).withColumn("vec", vc.hash_embed("sentence", _HASH_DIM))
     refs = spark.createDataFrame([(p,) for p in CRITICAL_PATTERNS], "phrase string") \
-        .withColumn("vec", vc.hash_embed("phrase", 64))
+        .withColumn("vec", vc.hash_embed("phrase", _HASH_DIM))
     m = vc.best_match(sents, "vec", refs, "phrase", "vec")
     sem = vc.semantic_score("max_cosine", "density", ex.position_score("n_context"))
-    return m.select("doc_id", "idx", "max_cosine", sem.alias("semantic_score"),
-                    vc.hybrid_score(sem, F.col("score_0")).alias("hybrid_score"))
+    return m.select("doc_id", "idx", F.round("max_cosine", 9).alias("max_cosine"),
+                    F.round(sem, 9).alias("semantic_score"),
+                    F.round(vc.hybrid_score(sem, F.col("score_0")), 9).alias("hybrid_score"))
