@@ -366,8 +366,8 @@ def labelled_table(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame([(s,) for s in LABELLED], "sentence string")
 
 
-def personal_data(docs: DataFrame, labelled: DataFrame, *, text: str = "text") -> DataFrame:
-    """Every row with ``pii``: array of (kind, start, end, base), offsets in code
+def personal_data(docs: DataFrame, labelled: DataFrame, *, text: str = "text", out: str = "pii") -> DataFrame:
+    """Every row with ``out`` (which replaces a column of that name): array of (kind, start, end, base), offsets in code
     points, base kinds first as listed, then the field's, each by start."""
     spark = docs.sparkSession
     rows = labelled.select("sentence").where("sentence IS NOT NULL").limit(MAX_LABELLED + 1).collect()
@@ -380,25 +380,26 @@ def personal_data(docs: DataFrame, labelled: DataFrame, *, text: str = "text") -
         f = Field(field.value.names, field.value.weights, field.value.moves)
         for batch in batches:
             texts = [t or "" for t in batch]
-            out = []
+            found = []
             for text, more in zip(texts, field_spans(texts, f)):
                 base = base_spans(text)
                 taken = sorted((a, b) for _, a, b in base)
                 extra = [(kind, a, b) for kind, a, b in more if not any(a < d and c < b for c, d in taken)]
-                out.append([{"kind": k, "start": a, "end": b, "base": True} for k, a, b in base]
+                found.append([{"kind": k, "start": a, "end": b, "base": True} for k, a, b in base]
                            + [{"kind": k, "start": a, "end": b, "base": False}
                               for k, a, b in sorted(extra, key=lambda s: (KINDS.index(s[0]), s[1]))])
-            yield pd.Series(out)
+            yield pd.Series(found)
 
-    return docs.drop(*[c for c in docs.columns if c.lower() == "pii" and c != text]).withColumn(
-        "pii", find.asNondeterministic()(F.col(text)))
+    return docs.drop(*[c for c in docs.columns if c.lower() == out.lower() and c != text]).withColumn(
+        out, find.asNondeterministic()(F.col(text)))
 
 
 def redact(docs: DataFrame, labelled: DataFrame, *, text: str = "text") -> DataFrame:
     """The documents with every span replaced by its kind in brackets; same
     columns.  Of overlapping spans the one that starts first is replaced."""
-    marked = personal_data(docs, labelled, text=text)
-    ordered = F.array_sort(F.transform("pii", lambda s: F.struct(
+    spans = common.fresh(docs, stem="pii")
+    marked = personal_data(docs, labelled, text=text, out=spans)
+    ordered = F.array_sort(F.transform(spans, lambda s: F.struct(
         s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind"))))
     zero = F.struct(F.lit("").alias("out"), F.lit(0).cast("long").alias("at"))
     body = F.aggregate(ordered, zero, lambda acc, s: F.when(s["start"] < acc["at"], acc).otherwise(F.struct(
@@ -406,7 +407,7 @@ def redact(docs: DataFrame, labelled: DataFrame, *, text: str = "text") -> DataF
                  F.lit("["), s["kind"], F.lit("]")).alias("out"), s["end"].alias("at"))),
         lambda acc: F.concat(acc["out"], F.substring(F.col(text), acc["at"].cast("int") + 1,
                                                      F.char_length(F.col(text)))))
-    return marked.withColumn(text, F.when(F.size("pii") > 0, body).otherwise(F.col(text))).select(
+    return marked.withColumn(text, F.when(F.size(spans) > 0, body).otherwise(F.col(text))).select(
         *[f"`{c}`" for c in docs.columns])
 
 

@@ -226,17 +226,17 @@ def scanner(held, window: int):
 
 
 def hits(docs: DataFrame, benchmark: DataFrame, *, text: str = "text", item_id: str = "item_id",
-         item_text: str = "text", window: int = WINDOW, block_words: int = BLOCK_WORDS) -> DataFrame:
-    """Every row of ``docs`` with a struct column ``hit``: ``n_words``, ``spans``
+         item_text: str = "text", window: int = WINDOW, block_words: int = BLOCK_WORDS,
+         out: str = "hit") -> DataFrame:
+    """Every row of ``docs`` with a struct column ``out`` (which replaces one of
+    that name): ``n_words``, ``spans``
     (array of start/end word indexes, ordered, disjoint) and ``items`` (ids as
     strings, sorted, distinct)."""
     spark = docs.sparkSession
     dealt, n_blocks = blocks_of(benchmark, item_id, item_text, window, block_words)
     if n_blocks > 1:
         dealt = common.cut(dealt)
-    out = common.fresh(docs, stem="hit")
-    if out != "hit":
-        docs, out = docs.drop("hit"), "hit"
+    docs = docs.drop(*[c for c in docs.columns if c.lower() == out.lower() and c != text])
     for block in range(n_blocks):
         rows = [(r["id"], [w.encode() for w in r["words"]])
                 for r in dealt.where(F.col("block") == block).select("id", "words").collect()]
@@ -273,26 +273,28 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, *, text: str = "text",
     are cut out of the text (from the first to the last character of the span,
     what stands between words outside spans stays); documents of which more than
     ``max_coverage`` of the words are hit are dropped."""
-    marked = hits(docs, benchmark, text=text, item_id=item_id, item_text=item_text, window=window)
-    covered = F.aggregate("hit.spans", F.lit(0).cast("long"), lambda acc, s: acc + s["end"] - s["start"])
+    out = common.fresh(docs, stem="hit")
+    marked = hits(docs, benchmark, text=text, item_id=item_id, item_text=item_text, window=window, out=out)
+    spans, n_words = F.col(out)["spans"], F.col(out)["n_words"]
+    covered = F.aggregate(spans, F.lit(0).cast("long"), lambda acc, s: acc + s["end"] - s["start"])
 
     @F.pandas_udf("string")
-    def erase(texts: pd.Series, spans: pd.Series) -> pd.Series:
-        out = []
-        for t, ranges in zip(texts, spans):
+    def erase(texts: pd.Series, gone: pd.Series) -> pd.Series:
+        rest = []
+        for t, ranges in zip(texts, gone):
             if t is None or len(ranges) == 0:
-                out.append(t)
+                rest.append(t)
                 continue
             at = [m.span() for m in re.finditer("[0-9A-Za-z\x80-\U0010ffff]+", t)]
             keep, last = [], 0
             for r in ranges:
                 keep.append(t[last:at[r["start"]][0]])
                 last = at[r["end"] - 1][1]
-            out.append("".join(keep) + t[last:])
-        return pd.Series(out, dtype=object)
+            rest.append("".join(keep) + t[last:])
+        return pd.Series(rest, dtype=object)
 
-    chosen = F.filter("hit.spans", lambda s: s["end"] - s["start"] >= min_span)
-    kept = marked.where((F.col("hit.n_words") == 0) | (covered <= F.lit(max_coverage) * F.col("hit.n_words")))
+    chosen = F.filter(spans, lambda s: s["end"] - s["start"] >= min_span)
+    kept = marked.where((n_words == 0) | (covered <= F.lit(max_coverage) * n_words))
     return kept.withColumn(text, F.when(F.size(chosen) > 0, erase(F.col(text), chosen)).otherwise(
         F.col(text))).select(*[f"`{c}`" for c in docs.columns])
 

@@ -79,9 +79,10 @@ def test_blocks_give_the_same_as_one(spark):
 def test_cleaned_text(spark):
     rows = awkward_rows()
     items = spark.createDataFrame([(1, " ".join(rows[0][1].split()[5:25]))], "item_id long, text string")
-    docs = awkward(spark).withColumnRenamed("source", "spans")
+    docs = awkward(spark).withColumnRenamed("source", "spans").withColumnRenamed("lang", "hit")
     out = M.decontaminate(docs, items)
     assert out.columns == docs.columns
+    assert dict(out.dtypes)["hit"] == "string"
     got = {r.doc_id: r.text for r in out.collect()}
     assert words(got[0]) == [w for k, w in enumerate(words(rows[0][1])) if not 5 <= k < 25]
     assert got[1] == rows[1][1] and got[24] is None
