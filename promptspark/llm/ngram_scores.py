@@ -45,9 +45,9 @@ ORACLE_SQL = None
 
 ALPHA = 0.4
 CUTOFF = 2
-BLOCK_BYTES = 5 << 20
+BLOCK_BYTES = 3 << 20
 #: Keys that one hash range should get from all blocks.
-RANGE_KEYS = 500_000
+RANGE_KEYS = 400_000
 
 _MIX = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9)]
 
