@@ -67,23 +67,27 @@ def repeated_words(words: Column, window: int = WINDOW) -> Column:
     """Number of words inside ``window``-word runs that occur twice or more in
     the array, the first occurrence included."""
     def covered(grams: Column) -> Column:
-        placed = F.array_sort(F.transform(grams, lambda h, i: F.struct(h.alias("h"), i.alias("i"))))
+        placed = F.sort_array(F.transform(grams, lambda h, i: F.struct(h.alias("h"), i.alias("i"))))
         twice = let(placed, lambda p: F.filter(p, lambda s, k: (
             (F.get(p, k - 1)["h"] == s["h"]) | (F.get(p, k + 1)["h"] == s["h"]))))
-        starts = F.array_sort(F.transform(twice, lambda s: s["i"]))
+        starts = F.sort_array(F.transform(twice, lambda s: s["i"]))
         gaps = let(starts, lambda q: F.transform(q, lambda x, k: F.least(
             F.lit(window), F.coalesce(F.get(q, k + 1) - x, F.lit(window)))))
         return F.aggregate(gaps, F.lit(0).cast("long"), lambda a, x: a + x)
 
-    grams = F.slice(F.transform(words, lambda _, i: F.xxhash64(F.slice(words, i + 1, window))),
-                    F.lit(1), F.greatest(F.size(words) - (window - 1), F.lit(0)))
+    grams = let(F.transform(words, lambda w: F.xxhash64(w)), lambda h: F.slice(
+        F.transform(h, lambda x, i: F.xxhash64(x, *[F.get(h, i + k) for k in range(1, window)])),
+        F.lit(1), F.greatest(F.size(h) - (window - 1), F.lit(0))))
     return let(grams, lambda g: F.when(F.size(F.array_distinct(g)) == F.size(g), F.lit(0).cast("long"))
                .otherwise(covered(g)))
 
 
-def without(text: Column, characters: str) -> Column:
-    """Length of the text without the characters."""
-    return F.char_length(F.translate(text, characters, ""))
+def count_of(text: Column, characters: str) -> Column:
+    """How often the (ASCII) characters occur: bytes lost when they are taken
+    out one by one, which beats a pass of ``translate``."""
+    gone = F.octet_length(text)
+    each = [gone - F.octet_length(F.replace(text, F.lit(c), F.lit(""))) for c in characters]
+    return reduce(lambda a, b: a + b, each)
 
 
 def statistics(text: str | Column) -> Column:
@@ -91,7 +95,7 @@ def statistics(text: str | Column) -> Column:
     t = F.coalesce(F.col(text) if isinstance(text, str) else text, F.lit(""))
 
     def lines(t: Column) -> Column:
-        filled = F.filter(F.split(t, "\n", -1), lambda x: F.char_length(F.translate(x, common.BLANKS, "")) > 0)
+        filled = F.filter(F.split(t, "\n", -1), lambda x: x.rlike("[^\\x20\\x09-\\x0D]"))
         return let(filled, lambda f: F.struct(
             F.size(f).cast("long").alias("n"),
             (F.size(f) - F.size(F.array_distinct(f))).cast("long").alias("dup")))
@@ -99,17 +103,14 @@ def statistics(text: str | Column) -> Column:
     counts = let(common.blank_words(t), lambda w: F.struct(
         F.size(w).cast("long").alias("n_words"), repeated_words(w).alias("n_repeat_words"),
         F.size(F.array_distinct(w)).cast("long").alias("n_new")))
-    upper = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
     raw = let(F.struct(counts.alias("c"), lines(t).alias("l")), lambda x: F.struct(
         x["c"]["n_words"].alias("n_words"),
-        without(t, common.BLANKS).cast("long").alias("word_chars"),
-        (F.char_length(t) - without(t, SYMBOLS)).cast("long").alias("n_symbols"),
+        (F.char_length(t) - count_of(t, common.BLANKS)).cast("long").alias("word_chars"),
+        count_of(t, SYMBOLS).cast("long").alias("n_symbols"),
         x["l"]["dup"].alias("n_dup_lines"), x["c"]["n_repeat_words"].alias("n_repeat_words"),
-        x["c"]["n_new"].alias("n_new"), x["l"]["n"].alias("n_lines"), F.char_length(t).alias("n_chars"),
-        (F.char_length(t) - without(t, upper)).alias("n_upper"),
-        (F.char_length(t) - without(t, "0123456789")).alias("n_digits"),
-        (F.char_length(t) - without(t, "!")).alias("n_shouts"),
-        (F.char_length(t) - without(t, "|")).alias("n_bars")))
+        x["c"]["n_new"].alias("n_new"), x["l"]["n"].alias("n_lines"),
+        F.regexp_count(t, F.lit("[A-Z]")).alias("n_upper"), F.regexp_count(t, F.lit("[0-9]")).alias("n_digits"),
+        count_of(t, "!").alias("n_shouts"), count_of(t, "|").alias("n_bars")))
 
     def share(a: Column, b: Column) -> Column:
         return F.when(b > 0, a / b).otherwise(F.lit(0.0))
@@ -128,6 +129,12 @@ def statistics(text: str | Column) -> Column:
         share(r["n_new"], r["n_words"]).alias("new_word_share")))
 
 
+def measured(docs: DataFrame, text: str, name: str) -> DataFrame:
+    """The rows with their statistics as a struct column.  A generator makes it,
+    so that neither filters nor later columns compute it a second time."""
+    return docs.select("*", F.explode(F.array(statistics(text))).alias(name))
+
+
 def base_failed(s: str) -> Column:
     return (F.col(f"{s}.n_words") < 10) | (100 * F.col(f"{s}.n_repeat_words") > 20 * F.col(f"{s}.n_words"))
 
@@ -250,19 +257,31 @@ def learn(cases: DataFrame, *, grid: dict[str, list[float]] | None = None, max_r
     return rules
 
 
-def labelled_cases(judged: DataFrame, labels: DataFrame, doc_id: str, stats: str) -> DataFrame:
-    """Training rows from documents with statistics and a label table."""
+def labelled_cases(stats: DataFrame, labels: DataFrame, doc_id: str, name: str) -> DataFrame:
+    """Training rows from measured documents and a label table (a join of narrow
+    rows; texts don't move)."""
     known = labels.where(F.col("quality").isin(0, 1)).select(F.col(doc_id), (F.col("quality") == 0).alias("bad"))
-    rows = judged.where(~base_failed(stats)).select(doc_id, *[F.col(f"{stats}.{f}").alias(f) for f in GRID])
+    rows = stats.where(~base_failed(name)).select(doc_id, *[F.col(f"{name}.{f}").alias(f) for f in GRID])
     return rows.join(known, doc_id).withColumn("prune", F.pmod(F.xxhash64(doc_id), F.lit(3)) == 0).drop(doc_id)
 
 
+def fit_measured(stats: DataFrame, labels: DataFrame, *, doc_id: str = "doc_id", name: str = "quality_stats",
+                 **options) -> list[Rule]:
+    """Learn the list from a table (doc_id, statistics struct)."""
+    return learn(labelled_cases(stats, labels, doc_id, name), **options)
+
+
 def fit(docs: DataFrame, labels: DataFrame, *, doc_id: str = "doc_id", text: str = "text", **options) -> list[Rule]:
-    """Learn the list from all labelled documents.  Labels are joined before the
-    statistics are computed, so only labelled texts are measured."""
-    known = labels.where(F.col("quality").isin(0, 1)).select(doc_id).distinct()
-    rows = docs.select(doc_id, text).join(known, doc_id, "left_semi").select(doc_id, statistics(text).alias("s"))
-    return learn(labelled_cases(rows, labels, doc_id, "s"), **options)
+    """Learn the list from all labelled documents."""
+    slim = docs.select(F.col(doc_id), F.col(text).alias("text"))
+    return fit_measured(measured(slim, "text", "quality_stats").drop("text"), labels, doc_id=doc_id, **options)
+
+
+def judge_measured(stats: DataFrame, rules: list[Rule]) -> DataFrame:
+    """Rows with ``quality_stats`` plus ``quality_rule``, ``base_failed`` and ``kept``."""
+    rule = verdict(rules, "quality_stats.")
+    return stats.withColumns({"quality_rule": rule, "base_failed": base_failed("quality_stats")}).withColumn(
+        "kept", ~F.col("base_failed") & F.col("quality_rule").isNull())
 
 
 def judge(docs: DataFrame, rules: list[Rule], *, text: str = "text") -> DataFrame:
@@ -271,10 +290,7 @@ def judge(docs: DataFrame, rules: list[Rule], *, text: str = "text") -> DataFram
     ``kept``; columns of these names are replaced."""
     own = ("quality_stats", "quality_rule", "base_failed", "kept")
     slim = docs.drop(*[c for c in docs.columns if c.lower() in own and c != text])
-    out = slim.withColumn("quality_stats", statistics(text))
-    rule = verdict(rules, "quality_stats.")
-    return out.withColumns({"quality_rule": rule, "base_failed": base_failed("quality_stats")}).withColumn(
-        "kept", ~F.col("base_failed") & F.col("quality_rule").isNull())
+    return judge_measured(measured(slim, text, "quality_stats"), rules)
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, *, doc_id: str = "doc_id", text: str = "text",
@@ -282,15 +298,17 @@ def keep_good(docs: DataFrame, labels: DataFrame, *, doc_id: str = "doc_id", tex
     """The documents that the rules keep, same columns."""
     rules = fit(train_docs if train_docs is not None else docs, labels, doc_id=doc_id, text=text, **options)
     mark = common.fresh(docs, stem="quality_mark")
-    judged = docs.withColumn(mark, statistics(text))
+    judged = measured(docs, text, mark)
     good = ~base_failed(mark) & verdict(rules, f"{mark}.").isNull()
     return judged.where(good).select(*[f"`{c}`" for c in docs.columns])
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = common.read(spark, sf_dir, "documents", "doc_id", "text")
-    rules = fit(docs, common.read(spark, sf_dir, "labels", "doc_id", "quality"))
+    # Measured once: the narrow statistics serve learning and judging.
+    stats = common.cut(measured(docs, "text", "quality_stats").drop("text"))
+    rules = fit_measured(stats, common.read(spark, sf_dir, "labels", "doc_id", "quality"))
     s = "quality_stats"
-    return judge(docs, rules).select(
+    return judge_measured(stats, rules).select(
         "doc_id", *[F.col(f"{s}.{c}").alias(c) for c in ("n_words", "word_chars", "n_symbols", "n_dup_lines",
                                                          "n_repeat_words")], "base_failed", "kept")
