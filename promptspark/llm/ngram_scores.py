@@ -45,7 +45,7 @@ ORACLE_SQL = None
 
 ALPHA = 0.4
 CUTOFF = 2
-BLOCK_BYTES = 3 << 20
+BLOCK_BYTES = 5 << 20
 #: Keys that one hash range should get from all blocks.
 RANGE_KEYS = 400_000
 
@@ -79,10 +79,11 @@ def unpack(blob: bytes) -> np.ndarray:
 
 
 class Grams:
-    """The words of a block's texts and the keys of its n-grams."""
+    """The words of a block's texts (packed by :func:`packed`) and the keys of
+    its n-grams."""
 
-    def __init__(self, texts: list[str | None]):
-        self.words, self.bounds = common.chunked_word_hashes(common.lowered(texts))
+    def __init__(self, texts: list[bytes]):
+        self.words, self.bounds = common.chunked_word_hashes([zlib.decompress(t) for t in texts])
         n = len(self.words)
         at = np.arange(n) - np.repeat(self.bounds[:-1], np.diff(self.bounds))
         self.place = at  # of each word in its text
@@ -108,6 +109,29 @@ class Grams:
         return out
 
 
+def packed(texts: list[str | None]) -> list[bytes]:
+    """The lower-cased texts, compressed for the shuffle."""
+    return [zlib.compress(t, 6) for t in common.lowered(texts)]
+
+
+def pack_counts(counts: np.ndarray) -> bytes:
+    """Counts of at least one: a bit for each that is over one, then those, byte
+    by byte of their width, which compresses far better than whole integers."""
+    more = counts > 1
+    bits = zlib.compress(np.packbits(more).tobytes(), 6)
+    large = counts[more].astype("<i8").view(np.uint8).reshape(-1, 8).T
+    return len(bits).to_bytes(4, "little") + bits + zlib.compress(large.tobytes(), 6)
+
+
+def unpack_counts(blob: bytes, n: int) -> np.ndarray:
+    cut = 4 + int.from_bytes(blob[:4], "little")
+    out = np.ones(n, dtype=np.int64)
+    more = np.unpackbits(np.frombuffer(zlib.decompress(blob[4:cut]), dtype=np.uint8), count=n).astype(bool)
+    large = np.frombuffer(zlib.decompress(blob[cut:]), dtype=np.uint8).reshape(8, -1).T
+    out[more] = np.ascontiguousarray(large).view("<i8").ravel()
+    return out
+
+
 def pairs_seen(grams: Grams, keys: np.ndarray, counts: np.ndarray, cutoff: int):
     """(word counts, pair counts below the cutoff as 0, words where a triple may
     reach the cutoff)."""
@@ -124,13 +148,13 @@ def replies_of(given: pd.DataFrame, step: int, keys: np.ndarray, ranges: int) ->
     counts = np.zeros(len(keys), dtype=np.int64)
     mine = {int(r): c for s, r, c in zip(given.step, given.range, given.counts) if s == step}
     for r, where in ranges_in(range_of(keys, ranges)):
-        counts[where] = np.frombuffer(zlib.decompress(mine[r]), dtype=np.int64)
+        counts[where] = unpack_counts(mine[r], where.stop - where.start)
     return counts
 
 
 def questions(block: int, keys: np.ndarray, ranges: int) -> pd.DataFrame:
     unique, counts = np.unique(keys, return_counts=True)
-    out = [(r, block, pack(unique[w]), zlib.compress(counts[w].astype("<u4").tobytes(), 1))
+    out = [(r, block, pack(unique[w]), pack_counts(counts[w]))
            for r, w in ranges_in(range_of(unique, ranges))]
     return pd.DataFrame(out, columns=["range", "block", "keys", "counts"])
 
@@ -139,7 +163,7 @@ def totals(batch: pd.DataFrame, step: int) -> pd.DataFrame:
     """One hash range: the corpus count of every key, joined back to its askers."""
     keys = [unpack(x) for x in batch["keys"]]
     flat = np.concatenate(keys)
-    counts = np.concatenate([np.frombuffer(zlib.decompress(x), dtype="<u4") for x in batch.counts]).astype(np.int64)
+    counts = np.concatenate([unpack_counts(x, len(k)) for x, k in zip(batch.counts, keys)])
     order = np.argsort(flat, kind="stable")
     start = np.flatnonzero(np.r_[True, flat[order][1:] != flat[order][:-1]])
     total = np.add.reduceat(counts[order], start)
@@ -147,7 +171,7 @@ def totals(batch: pd.DataFrame, step: int) -> pd.DataFrame:
     of[order] = np.repeat(np.arange(len(start)), np.diff(np.r_[start, len(flat)]))
     out, lo = [], 0
     for block, r, k in zip(batch.block, batch.range, keys):
-        out.append((block, step, r, zlib.compress(total[of[lo:lo + len(k)]].tobytes(), 1)))
+        out.append((block, step, r, pack_counts(total[of[lo:lo + len(k)]])))
         lo += len(k)
     return pd.DataFrame(out, columns=["block", "step", "range", "counts"])
 
@@ -162,7 +186,13 @@ def score(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", alpha:
     size = common.total_bytes(slim)
     blocks = max(1, -(-size // BLOCK_BYTES))
     ranges = max(1, -(-size // 6 // RANGE_KEYS))
-    placed = slim.withColumn("block", F.pmod(F.xxhash64("id", F.octet_length("text")), F.lit(blocks)))
+    dealt = slim.withColumn("block", F.pmod(F.xxhash64("id", F.octet_length("text")), F.lit(blocks)))
+
+    def pack_texts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            yield pd.DataFrame({"id": batch["id"], "block": batch["block"], "text": packed(batch["text"].tolist())})
+
+    placed = dealt.mapInPandas(pack_texts, f"id {kind}, block long, text binary")
 
     def count_words(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame({"n": [sum(len(t.encode("utf-8", "surrogatepass").split())

@@ -66,6 +66,9 @@ def test_packing():
     for keys in ([5], [1, 2, 3], [0, 2 ** 47, 2 ** 48 - 1], list(range(0, 2 ** 40, 2 ** 31))):
         k = np.array(keys, dtype=np.uint64)
         assert M.unpack(M.pack(k)).tolist() == keys
+    for counts in ([1], [1, 1, 2, 9, 1, 2 ** 40], [3] * 100):
+        c = np.array(counts, dtype=np.int64)
+        assert M.unpack_counts(M.pack_counts(c), len(c)).tolist() == counts
 
 
 def test_empty_table(spark):
