@@ -54,14 +54,16 @@ LENGTH = 50
 GRAM = 24
 #: Windows in a segment at most (the bits of an answer).
 RUN = 64
-BLOCK_BYTES = 12 << 20
+BLOCK_BYTES = 4 << 20
 #: Minimisers and segments a range's task should get.
-RANGE_MINIMISERS = 1_500_000
-RANGE_SEGMENTS = 60_000
+RANGE_MINIMISERS = 500_000
+RANGE_SEGMENTS = 20_000
 #: Segments of one minimiser beyond which its windows are sent one by one.
-HOT = 20_000
+HOT = 5_000
 #: Bytes that one numpy pass takes.
-PASS = 1 << 20
+PASS = 1 << 19
+#: Segments whose bytes are unfolded at once.
+STEP = 10_000
 _BASES = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD1342543DE82EF95))
 ALL = np.uint64(2 ** 64 - 1)
 
@@ -134,7 +136,8 @@ def _runs(pieces: list, length: int, gram: int):
         windows = np.minimum(windows - nth * RUN, RUN)
     text = np.array([k for k, _, _ in pieces])[owner]
     start = first - offset[owner] + np.array([a for _, a, _ in pieces])[owner]
-    return m[first], text, start, windows
+    # Smallest hashes crowd at the low end; mixed again they spread over the ranges.
+    return common.mix(m[first]) >> np.uint64(16), text, start, windows
 
 
 def all_runs(texts: list[bytes], length: int, gram: int):
@@ -214,8 +217,8 @@ class Block:
         self.flat = np.frombuffer(b"".join(self.texts), dtype=np.uint8)
         n = len(key)
         h1, h2 = np.empty(n, np.uint64), np.empty(n, np.uint64)
-        for lo in range(0, n, 50_000):
-            part = slice(lo, lo + 50_000)
+        for lo in range(0, n, STEP):
+            part = slice(lo, lo + STEP)
             size = self.s_windows[part] + length - 1
             data, first = gather(self.flat, base[self.s_text[part]] + self.s_start[part], size)
             h1[part], h2[part] = piece_hashes(data, first, size)
@@ -257,9 +260,10 @@ def suffix_words(data: np.ndarray, at: np.ndarray, size: np.ndarray, n_words: in
     """The suffixes' bytes as big-endian words of eight, zero beyond ``size``."""
     pad = np.zeros(len(data) + 8 * n_words + 8, dtype=np.uint64)
     pad[:len(data)] = data
-    two = pad[:-1] << np.uint64(8) | pad[1:]
-    four = two[:-2] << np.uint64(16) | two[2:]
-    eight = four[:-4] << np.uint64(32) | four[4:]
+    eight = pad[:-1] << np.uint64(8) | pad[1:]
+    del pad
+    for half in (2, 4):
+        eight = eight[:-half] << np.uint64(8 * half) | eight[half:]
     out = []
     for w in range(n_words):
         left = np.clip(size - 8 * w, 0, 8)
@@ -483,11 +487,11 @@ def covered_bytes(block: Block, replies: pd.DataFrame, ranges: int, dealt: int,
     bits, windows = bits[some], block.s_windows[some]
     first = block.base[block.s_text[some]] + block.s_start[some]
     change = np.zeros(len(block.flat) + 1, dtype=np.int32)
-    for lo in range(0, len(some), 50_000):
-        b, w = bits[lo:lo + 50_000], windows[lo:lo + 50_000]
+    for lo in range(0, len(some), STEP):
+        b, w = bits[lo:lo + STEP], windows[lo:lo + STEP]
         nth = np.arange(int(w.sum())) - np.repeat(np.cumsum(w) - w, w)
         hit = (np.repeat(b, w) >> nth.astype(np.uint64) & np.uint64(1)).astype(bool)
-        at = (np.repeat(first[lo:lo + 50_000], w) + nth)[hit]
+        at = (np.repeat(first[lo:lo + STEP], w) + nth)[hit]
         np.add.at(change, at, 1)
         np.add.at(change, at + length, -1)
     inside = np.cumsum(change[:-1]) > 0
