@@ -132,10 +132,12 @@ def near_classes(classes: DataFrame, docs: DataFrame, doc_id: str, text: str) ->
     lines = common.cut(picked.join(chosen, ["h1", "h2", "first"]).dropDuplicates(["h1", "h2"]))
     emitted = lines.select("h1", "h2", "first", F.explode(variants(F.col("w"), F.col("prefix"), F.col("suffix")))
                            .alias("v")).select("h1", "h2", "first", "v.key", "v.place", "v.whole")
-    earliest = common.cut(emitted.groupBy("key").agg(
-        F.min(F.struct("first", "whole", "h1", "h2")).alias("e"), F.count(F.lit(1)).alias("m"))
-        .where("m > 1").select("key", "e"))
-    pairs = (emitted.join(earliest, "key").where(F.col("e.first") < F.col("first"))
+    # Most keys stand alone: count them first (two longs a row), so that only
+    # shared keys are carried on with their lines.
+    shared = common.cut(emitted.groupBy("key").agg(F.count(F.lit(1)).alias("m")).where("m > 1").select("key"))
+    meeting = common.cut(emitted.join(shared, "key"))
+    earliest = common.cut(meeting.groupBy("key").agg(F.min(F.struct("first", "whole", "h1", "h2")).alias("e")))
+    pairs = (meeting.join(earliest, "key").where(F.col("e.first") < F.col("first"))
              .groupBy("h1", "h2").agg(F.min(F.struct(
                  F.col("e.first").alias("first"), F.col("e.h1").alias("h1"), F.col("e.h2").alias("h2"),
                  "place", "whole", F.col("e.whole").alias("other_whole"))).alias("p")))
