@@ -61,6 +61,8 @@ LOWER = {0x1C89: 0x1C8A, 0xA7CB: 0x264, 0xA7CC: 0xA7CD, 0xA7CE: 0xA7CF, 0xA7D2:
          0xA7DC: 0x19B, **{c: c + 0x20 for c in range(0x10D50, 0x10D66)}, **{c: c + 0x1B for c in range(0x16EA0, 0x16EB9)}}
 #: Words whose ids a task keeps between batches; beyond it the store is emptied.
 WORDS_KEPT = 300_000
+#: Ids and decoded text that a task gathers before it hands them on.
+OUT_BYTES = 2 << 20
 #: The vocabulary goes to every executor; larger files are refused.
 MAX_VOCABULARY = 1_000_000
 
@@ -277,30 +279,34 @@ def load(path: str) -> Codec:
 
 
 def bpe(docs: DataFrame, path: str, text: str = "text", digest: bool = False) -> DataFrame:
-    """Add ``n_tokens`` and, unless ``digest``, ``ids`` (array of long) and
+    """Add ``n_tokens`` and, unless ``digest``, ``ids`` (array of int) and
     ``decoded`` (string); with ``digest`` their SHA-256 instead, so that the
     tokens themselves never leave the task.  Existing columns with these names
     are replaced."""
     codec = docs.sparkSession.sparkContext.broadcast(load(path))
+    fields = ["n_tokens", "ids_sha256", "decoded_sha256"] if digest else ["n_tokens", "ids", "decoded"]
     kind = ("n_tokens long, ids_sha256 string, decoded_sha256 string" if digest
-            else "n_tokens long, ids array<long>, decoded string")
+            else "n_tokens long, ids array<int>, decoded string")
 
     @F.pandas_udf(kind)
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         c = codec.value.ready()
         for texts in batches:
-            rows = []
+            rows, weight = [], 0
             for ids, decoded in c.encode_batch([t or "" for t in texts]):
                 if digest:
                     rows.append((len(ids) // 4, common.sha(ids),
                                  common.sha(decoded.encode("utf-8", "surrogatepass"))))
                 else:
-                    rows.append((len(ids) // 4, np.frombuffer(ids, "<u4").astype(np.int64), decoded))
-            yield pd.DataFrame(rows, columns=["n_tokens", "ids_sha256", "decoded_sha256"] if digest
-                               else ["n_tokens", "ids", "decoded"])
+                    rows.append((len(ids) // 4, np.frombuffer(ids, "<u4").astype(np.int32), decoded))
+                    weight += len(ids) + len(decoded)
+                if weight > OUT_BYTES:
+                    yield pd.DataFrame(rows, columns=fields)
+                    rows, weight = [], 0
+            if rows:
+                yield pd.DataFrame(rows, columns=fields)
 
     out = common.fresh(docs, stem="bpe_out")
-    fields = ["n_tokens", "ids_sha256", "decoded_sha256"] if digest else ["n_tokens", "ids", "decoded"]
     keep = [f"`{c}`" for c in docs.columns if c.lower() not in fields]
     return docs.withColumn(out, run.asNondeterministic()(F.col(text))).select(
         *keep, *[F.col(out)[f].alias(f) for f in fields])
