@@ -7,7 +7,7 @@ keeps its ``k`` smallest ones.  Steps, all Spark jobs over rows:
    signature of the set, partial aggregation first); only class representatives
    go on, so a hot group of exact copies costs one row.
 2. Inverted lists of retained values.  Two sets over the threshold share at
-   least ``need`` of their retained values (all but a ``1e-9`` share of pairs;
+   least ``need`` of their retained values (all but a ``1e-8`` share of pairs;
    sets of at most ``k`` shingles: always), so in rare-first order one shared
    value lies before a document's last ``need - 1`` ones.  Values of passages
    that many documents share come last and drop out by themselves: no cap.
@@ -49,7 +49,7 @@ SHINGLE = 5
 THRESHOLD = 75  # per cent
 K = 64
 #: Of the ``K`` smallest values of a union, a pair over 75 % shares fewer than
-#: this many with a probability below 1e-9; also the filter's lowest estimate.
+#: this many with a probability below 1e-8 (6e-9 for large sets at 75 %); also the filter's lowest estimate.
 NEED = 27
 LIST = 64
 BLOCK = 256
@@ -58,6 +58,7 @@ CHUNK = 4 << 20
 
 _MIX = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9,
                                0x27D4EB2F165667C5, 0xD6E8FEB86659FD93)]
+_TOP = np.uint64(1 << 63)
 
 
 def shingle_sets(texts: list[str | None], size: int = SHINGLE) -> Iterator[np.ndarray]:
@@ -94,7 +95,9 @@ def _hash_chunk(texts: list[bytes], size: int) -> Iterator[np.ndarray]:
 
 
 def sketches(docs: DataFrame, doc_id: str, text: str, size: int, k: int) -> DataFrame:
-    """(id, n, sig1, sig2, sketch) of every row."""
+    """(id, n, sig1, sig2, sketch) of every row.  The values of a sketch have
+    their top bit flipped, so that Spark's signed order is the order in which the
+    sketch was cut."""
     kind = docs.schema[doc_id].dataType.simpleString()
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -103,7 +106,7 @@ def sketches(docs: DataFrame, doc_id: str, text: str, size: int, k: int) -> Data
             for key, s in zip(batch.iloc[:, 0], shingle_sets(batch.iloc[:, 1].tolist(), size)):
                 rows.append((key, len(s), common.mix(s).sum().astype(np.int64),
                              np.bitwise_xor.reduce(common.mix(s + _MIX[1]), initial=np.uint64(0)).astype(np.int64),
-                             s[:k].view(np.int64)))
+                             (s[:k] ^ _TOP).view(np.int64)))
             yield pd.DataFrame(rows, columns=["id", "n", "sig1", "sig2", "sketch"])
 
     return docs.select(doc_id, text).mapInPandas(

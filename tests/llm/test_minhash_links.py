@@ -63,6 +63,30 @@ def test_query_on_awkward_tables(spark, tmp_path):
     assert digest(M.query(spark, d)) == brute(rows)
 
 
+def test_contained_texts_that_outgrow_their_sketches(spark):
+    rng = random.Random(12)
+    rows = []
+    for p in range(1500):
+        longer = rng.choice([100, 120, 160])
+        w = [f"p{p}w{j}" for j in range(longer + 4)]
+        rng.shuffle(w)
+        rows += [(2 * p, " ".join(w)), (2 * p + 1, " ".join(w[:longer * 3 // 4 + 4]))]  # exactly 75 %
+    got = M.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert [r.doc_id for r in got if r.component_id != r.doc_id // 2 * 2] == []
+
+
+def test_union_sketch_is_ordered_as_the_sketch(spark):
+    from pyspark.sql import functions as F
+    w = [[f"{p}w{j}" for j in range(124)] for p in range(2000)]
+    rows = [(p, " ".join(x), " ".join(x[:94])) for p, x in enumerate(w)]
+    docs = spark.createDataFrame(rows, "id long, long string, short string")
+    a, b = (M.sketches(docs, "id", c, 5, M.K).select("id", F.col("n").alias(f"n_{c}"), F.col("sketch").alias(c))
+            for c in ("long", "short"))
+    passed = a.join(b, "id").where(M.estimate_passes(F.col("long"), F.col("short"), F.col("n_long"), F.col("n_short"),
+                                                     M.K, M.NEED, M.THRESHOLD))
+    assert passed.count() == len(rows)
+
+
 def test_components(spark):
     rng = random.Random(1)
     edges = [(i, i + 1) for i in range(0, 60)] + [(rng.randrange(100, 160), rng.randrange(100, 160)) for _ in range(40)]
