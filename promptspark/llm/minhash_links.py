@@ -5,7 +5,8 @@ keeps its ``k`` smallest ones.  Steps, all Spark jobs over rows:
 
 1. Documents with equal shingle sets fall into one class (grouped by a 128-bit
    signature of the set, partial aggregation first); only class representatives
-   go on, so a hot group of exact copies costs one row.
+   go on, so a hot group of exact copies costs one row.  A class goes by a number
+   of its own until step 5, so texts that share an id all keep their links.
 2. Inverted lists of retained values.  Two sets over the threshold share at
    least ``need`` of their retained values (all but a ``1e-8`` share of pairs;
    sets of at most ``k`` shingles: always), so in rare-first order one shared
@@ -95,7 +96,7 @@ def _hash_chunk(texts: list[bytes], size: int) -> Iterator[np.ndarray]:
 
 
 def sketches(docs: DataFrame, doc_id: str, text: str, size: int, k: int) -> DataFrame:
-    """(id, n, sig1, sig2, sketch) of every row.  The values of a sketch have
+    """(id, text_key, n, sig1, sig2, sketch) of every row.  The values of a sketch have
     their top bit flipped, so that Spark's signed order is the order in which the
     sketch was cut."""
     kind = docs.schema[doc_id].dataType.simpleString()
@@ -103,14 +104,15 @@ def sketches(docs: DataFrame, doc_id: str, text: str, size: int, k: int) -> Data
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             rows = []
-            for key, s in zip(batch.iloc[:, 0], shingle_sets(batch.iloc[:, 1].tolist(), size)):
-                rows.append((key, len(s), common.mix(s).sum().astype(np.int64),
+            for key, text_key, s in zip(batch.iloc[:, 0], batch.iloc[:, 2],
+                                        shingle_sets(batch.iloc[:, 1].tolist(), size)):
+                rows.append((key, text_key, len(s), common.mix(s).sum().astype(np.int64),
                              np.bitwise_xor.reduce(common.mix(s + _MIX[1]), initial=np.uint64(0)).astype(np.int64),
                              (s[:k] ^ _TOP).view(np.int64)))
-            yield pd.DataFrame(rows, columns=["id", "n", "sig1", "sig2", "sketch"])
+            yield pd.DataFrame(rows, columns=["id", "text_key", "n", "sig1", "sig2", "sketch"])
 
-    return docs.select(doc_id, text).mapInPandas(
-        run, f"id {kind}, n long, sig1 long, sig2 long, sketch array<long>")
+    return docs.select(doc_id, text, F.xxhash64(text).alias("text_key")).mapInPandas(
+        run, f"id {kind}, text_key long, n long, sig1 long, sig2 long, sketch array<long>")
 
 
 def full_sets(docs: DataFrame, doc_id: str, text: str, size: int) -> DataFrame:
@@ -148,8 +150,9 @@ def estimate_passes(a, b, na, nb, k: int, need: int, threshold: int):
 
 def links(reps: DataFrame, docs: DataFrame, *, doc_id: str, text: str, size: int, threshold: int,
           k: int, need: int, list_limit: int, block: int) -> DataFrame:
-    """(a, b) links between class representatives, enough to give their
-    components; ``reps`` is (id, n, sketch)."""
+    """(a, b) links between classes, enough to give their components; ``reps`` is
+    (id, n, sketch, first), where ``first`` (id, text_key) is the document that
+    stands for the class ``id``."""
     prefix = common.cut(inverted_lists(reps, k, need, threshold))
     sizes = prefix.groupBy("v").agg(F.count(F.lit(1)).alias("m"), F.min("id").alias("first")).where("m > 1")
     small = prefix.join(sizes.where(F.col("m") <= list_limit).select("v"), "v")
@@ -164,8 +167,10 @@ def links(reps: DataFrame, docs: DataFrame, *, doc_id: str, text: str, size: int
              .select("a", "b", F.lit(False).alias("of_family")))
     todo = common.cut(rated.unionByName(family.where("a <> b").withColumn("of_family", F.lit(True))))
     wanted = todo.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-    chosen = docs.join(wanted.withColumnRenamed("id", doc_id), doc_id, "left_semi")
-    sets = common.cut(full_sets(chosen, doc_id, text, size).dropDuplicates(["id"]))
+    wanted = reps.join(wanted, "id").select("id", F.col("first.id").alias("doc"), F.col("first.text_key").alias("text_key"))
+    chosen = docs.select(F.col(doc_id).alias("doc"), F.xxhash64(text).alias("text_key"), F.col(text).alias("text")).join(
+        wanted, ["doc", "text_key"])
+    sets = common.cut(full_sets(chosen, "id", "text", size).dropDuplicates(["id"]))
     verified = (todo.join(sets.select(F.col("id").alias("a"), F.col("s").alias("sa")), "a")
                 .join(sets.select(F.col("id").alias("b"), F.col("s").alias("sb")), "b")
                 .withColumn("inter", F.size(F.array_intersect("sa", "sb")).cast("long"))
@@ -291,11 +296,18 @@ def near_duplicates(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "tex
     slim = docs.select(F.col(doc_id).alias("id"), F.col(text).alias("text"))
     every = common.cut(sketches(slim, "id", "text", size, k))
     ranked = every.where("id IS NOT NULL AND n > 0")
-    classes = ranked.groupBy("n", "sig1", "sig2").agg(F.min("id").alias("class"), F.first("sketch").alias("sketch"))
-    classes = common.cut(classes)
-    reps = classes.select(F.col("class").alias("id"), "n", "sketch").dropDuplicates(["id"])
-    edges = links(reps, slim, doc_id="id", text="text", size=size, threshold=threshold, k=k, need=need,
+    classes = ranked.groupBy("n", "sig1", "sig2").agg(F.min(F.struct("id", "text_key")).alias("first"),
+                                                      F.first("sketch").alias("sketch"))
+    # Numbered as they are written, so the numbers stay when a task is run again.
+    classes = common.cut(classes.select("*", F.col("first.id").alias("class"),
+                                        F.monotonically_increasing_id().alias("number")))
+    reps = classes.select(F.col("number").alias("id"), "n", "sketch", "first")
+    numbered = links(reps, slim, doc_id="id", text="text", size=size, threshold=threshold, k=k, need=need,
                   list_limit=list_limit, block=block)
+    ids = classes.select("number", "class")
+    edges = (numbered.join(ids.select(F.col("number").alias("a"), F.col("class").alias("x")), "a")
+             .join(ids.select(F.col("number").alias("b"), F.col("class").alias("y")), "b")
+             .select(F.col("x").alias("a"), F.col("y").alias("b")))
     # Rows that share an id tie their classes together.
     member = ranked.join(classes.select("n", "sig1", "sig2", "class"), ["n", "sig1", "sig2"])
     tied = member.where(F.col("id") != F.col("class")).select(F.col("id").alias("a"), F.col("class").alias("b"))

@@ -87,6 +87,17 @@ def test_union_sketch_is_ordered_as_the_sketch(spark):
     assert passed.count() == len(rows)
 
 
+def test_every_text_of_a_shared_id_keeps_its_links(spark):
+    rows = []
+    for g in range(20):  # id 100 g + 1 holds two texts, each with a near copy elsewhere
+        for half, other in enumerate((100 * g + 2, 100 * g + 3)):
+            w = [f"g{g}h{half}w{j}" for j in range(80)]
+            rows += [(100 * g + 1, " ".join(w)), (other, " ".join(w[:-4]))]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert digest(M.near_duplicates(df)) == brute(rows)
+    assert digest(M.near_duplicates(df, list_limit=1, block=2)) == brute(rows)
+
+
 def test_components(spark):
     rng = random.Random(1)
     edges = [(i, i + 1) for i in range(0, 60)] + [(rng.randrange(100, 160), rng.randrange(100, 160)) for _ in range(40)]
