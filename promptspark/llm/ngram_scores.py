@@ -3,14 +3,15 @@
 A word's score is the relative frequency of the longest n-gram (up to three
 words) that ends in it and stands in the count tables, times ``ALPHA`` for every
 order backed off.  Tables hold all words, and longer n-grams that occur at least
-``CUTOFF`` times.
+``CUTOFF`` times; at 1 they are complete.
 
 The counts are a relation partitioned by hash.  Documents are dealt to blocks of
 bounded size; a block explodes its n-grams, adds up equal ones, and sends
 each hash range its keys and counts (sorted, packed, one row a range).  A range
 sums the counts of a key over all blocks and joins the totals back to the blocks
-that asked.  Words and pairs go first; of the triples only those go whose two
-pairs both reached the cutoff, since no other triple can.  At last the blocks sum
+that asked.  With complete tables all n-grams go at once; with a higher cutoff
+words and pairs go first, and of the triples only those whose two pairs both
+reached it, since no other triple can.  At last the blocks sum
 the scores per document.  A very common n-gram is one key a block, so no range
 gets more than that of it.  The texts are shuffled once and that shuffle is
 reused by all steps; recomputed tasks give the same rows.
@@ -44,7 +45,8 @@ NAME = "op7_ngram_scores"
 ORACLE_SQL = None
 
 ALPHA = 0.4
-CUTOFF = 2
+#: Occurrences from which an n-gram counts; a higher cutoff is an option.
+CUTOFF = 1
 BLOCK_BYTES = 5 << 20
 #: Keys that one hash range should get from all blocks.
 RANGE_KEYS = 400_000
@@ -102,6 +104,9 @@ class Grams:
         """All keys of words and pairs in the block."""
         return np.concatenate([self.keys[0], self.keys[1][self.has(2)]])
 
+    def every(self) -> np.ndarray:
+        return np.concatenate([self.short(), self.keys[2][self.has(3)]])
+
     def look_up(self, order: int, mask: np.ndarray, keys: np.ndarray, counts: np.ndarray) -> np.ndarray:
         """Corpus count of the n-gram that ends at each word (0 where masked)."""
         out = np.zeros(len(self.words), dtype=np.int64)
@@ -185,7 +190,8 @@ def score(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", alpha:
     slim = docs.select(F.col(doc_id).alias("id"), F.col(text).alias("text"))
     size = common.total_bytes(slim)
     blocks = max(1, -(-size // BLOCK_BYTES))
-    ranges = max(1, -(-size // 6 // RANGE_KEYS))
+    complete = cutoff <= 1
+    ranges = max(1, -(-size // 6 * (2 if complete else 1) // RANGE_KEYS))
     dealt = slim.withColumn("block", F.pmod(F.xxhash64("id", F.octet_length("text")), F.lit(blocks)))
 
     def pack_texts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -201,7 +207,8 @@ def score(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", alpha:
     corpus = int(slim.select("text").mapInPandas(count_words, "n long").agg(F.sum("n")).first()[0] or 0)
 
     def ask_short(key, batch: pd.DataFrame) -> pd.DataFrame:
-        return questions(key[0], Grams(batch["text"].tolist()).short(), ranges)
+        grams = Grams(batch["text"].tolist())
+        return questions(key[0], grams.every() if complete else grams.short(), ranges)
 
     def ask_triples(key, batch: pd.DataFrame, given: pd.DataFrame) -> pd.DataFrame:
         grams = Grams(batch["text"].tolist())
@@ -211,10 +218,13 @@ def score(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", alpha:
 
     def finish(key, batch: pd.DataFrame, given: pd.DataFrame) -> pd.DataFrame:
         grams = Grams(batch["text"].tolist())
-        keys = np.unique(grams.short())
-        one, two, may = pairs_seen(grams, keys, replies_of(given, 1, keys, ranges), cutoff)
-        keys = np.unique(grams.keys[2][may])
-        three = grams.look_up(3, may, keys, replies_of(given, 2, keys, ranges))
+        keys = np.unique(grams.every() if complete else grams.short())
+        counts = replies_of(given, 1, keys, ranges)
+        one, two, may = pairs_seen(grams, keys, counts, cutoff)
+        if not complete:
+            keys = np.unique(grams.keys[2][may])
+            counts = replies_of(given, 2, keys, ranges)
+        three = grams.look_up(3, may, keys, counts)
         three[three < cutoff] = 0
         before_one, before_two = np.r_[1, one[:-1]], np.r_[1, two[:-1]]
         if not len(one):
@@ -251,9 +261,10 @@ def score(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", alpha:
         return totals(batch, 2)
 
     told = placed.groupBy("block").applyInPandas(ask_short, row).groupBy("range").applyInPandas(first_totals, reply)
-    triples = (placed.groupBy("block").cogroup(told.groupBy("block")).applyInPandas(ask_triples, row)
-               .groupBy("range").applyInPandas(triple_totals, reply))
-    return (placed.groupBy("block").cogroup(told.unionByName(triples).groupBy("block")).applyInPandas(
+    if not complete:
+        told = told.unionByName(placed.groupBy("block").cogroup(told.groupBy("block")).applyInPandas(ask_triples, row)
+                                .groupBy("range").applyInPandas(triple_totals, reply))
+    return (placed.groupBy("block").cogroup(told.groupBy("block")).applyInPandas(
         finish, f"id {kind}, n_words long, log_score double, mean_log_score double, n_triples long, n_pairs long, "
                 "n_singles long").withColumnRenamed("id", doc_id))
 

@@ -55,6 +55,24 @@ def test_many_blocks_and_ranges(spark, monkeypatch):
     same(digest(M.score(docs)), brute([tuple(r) for r in docs.collect()]))
 
 
+def test_query_counts_all_ngrams(spark, tmp_path):
+    rows = [(1, "a b c d"), (2, "a b e"), (3, "x y z"), (4, "b"), (5, None)]
+    d = sf_dir_with(spark, tmp_path, documents=spark.createDataFrame(rows, "doc_id long, text string"))
+    got = digest(M.query(spark, d))
+    same(got, brute(rows, cutoff=1))
+    assert {g[0]: g[3] for g in got} == {"1": 2, "2": 1, "3": 1, "4": 0, "5": 0}
+
+
+def test_small_blocks_with_and_without_a_cutoff(spark, monkeypatch):
+    monkeypatch.setattr(M, "BLOCK_BYTES", 20_000)
+    monkeypatch.setattr(M, "RANGE_KEYS", 2000)
+    docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text")
+    rows = [tuple(r) for r in docs.collect()]
+    for cutoff in (1, 2, 3):
+        same(digest(M.score(docs, cutoff=cutoff)), brute(rows, cutoff=cutoff))
+    same(digest(M.score(docs)), brute(rows, cutoff=1))
+
+
 def test_mean_is_null_without_words(spark):
     rows = spark.createDataFrame([(1, ""), (2, None), (3, "a a a")], "doc_id long, text string")
     got = {r.doc_id: r for r in M.score(rows).collect()}
