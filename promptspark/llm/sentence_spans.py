@@ -1,8 +1,9 @@
 """Substring deduplication over sliding sentence spans.
 
-Every run of consecutive sentences is hashed: from each sentence the shortest
-run of at least ``sentences`` sentences and ``min_words`` words, or of fewer
-sentences with ``long_words`` words.  Equal runs meet in one grouping over the
+A run is at least ``sentences`` consecutive sentences of ``min_words`` words, or
+fewer sentences with ``long_words`` words.  The shortest run from each sentence
+and the shortest one up to each sentence are hashed: whatever longer run is
+repeated, its shortest ones are too, and together they cover it.  Equal runs meet in one grouping over the
 corpus, which keeps for each repeated hash the earliest place (document id, then
 sentence number); a join marks all other places, and the sentences that a marked
 run covers are removed.
@@ -25,6 +26,7 @@ import re
 import struct
 import sys
 from collections.abc import Iterator
+from itertools import accumulate
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -37,7 +39,7 @@ common.by_value(sys.modules[__name__])
 NAME = "op3_sentence_spans"
 ORACLE_SQL = None
 
-SENTENCES = 3
+SENTENCES = 2
 MIN_WORDS = 12
 LONG_WORDS = 40
 SHORT_WORDS = 8
@@ -63,25 +65,37 @@ def sentences_of(text: str | None) -> list[tuple[int, int]]:
 
 def runs_of(text: str | None, sentences: int, min_words: int, long_words: int,
             short_words: int) -> Iterator[tuple[int, int, bytes]]:
-    """(first sentence, sentences, 16-byte hash) of every run."""
+    """(first sentence, sentences, 16-byte hash) of the shortest runs."""
     words = [text[a:b].encode("utf-8", "surrogatepass").translate(WORD).split() for a, b in sentences_of(text)]
     filled = [k for k, w in enumerate(words) if w]
-    emitted = False
-    end = total = 0
-    for k, first in enumerate(filled):
-        if end < k:
-            end, total = k, 0
-        while end < len(filled) and not (total >= long_words or (end - k >= sentences and total >= min_words)):
-            total += len(words[filled[end]])
+    n = len(filled)
+    upto = [0, *accumulate(len(words[i]) for i in filled)]
+
+    def enough(k: int, end: int) -> bool:
+        total = upto[end] - upto[k]
+        return total >= long_words or (end - k >= sentences and total >= min_words)
+
+    ends: list[int] = []  # of the shortest run from each start that has one; never falling
+    end = 0
+    for k in range(n):
+        end = max(end, k)
+        while end < n and not enough(k, end):
             end += 1
-        if total >= long_words or (end - k >= sentences and total >= min_words):
-            emitted = True
-            body = b"\n".join(b" ".join(words[i]) for i in filled[k:end])
-            yield first, filled[end - 1] - first + 1, hashlib.blake2b(body, digest_size=16).digest()
-        total -= len(words[first])
-    if filled and not emitted and sum(map(len, words)) >= short_words:
-        body = b"\n".join(b" ".join(words[i]) for i in filled)
-        yield filled[0], filled[-1] - filled[0] + 1, hashlib.blake2b(body, digest_size=16).digest()
+        if not enough(k, end):
+            break
+        ends.append(end)
+    runs = list(enumerate(ends))
+    k = -1
+    for end in range(1, n + 1):
+        while k + 1 < len(ends) and ends[k + 1] <= end:
+            k += 1
+        if k >= 0 and ends[k] != end:
+            runs.append((k, end))
+    if filled and not runs and upto[n] >= short_words:
+        runs.append((0, n))
+    for k, end in runs:
+        body = b"\n".join(b" ".join(words[i]) for i in filled[k:end])
+        yield filled[k], filled[end - 1] - filled[k] + 1, hashlib.blake2b(body, digest_size=16).digest()
 
 
 def identity(doc_id: str, text: str):
