@@ -15,8 +15,9 @@ within one edit of it, where an edit inserts, deletes or replaces one word.
 4. The earliest partner of each line is compared word by word (the verification
    of the distance), and the line's class is marked.
 
-Defined results: blank lines and lines under ``min_words`` words stay; lines
-under ``min_fuzzy_words`` go only when equal; null text has no lines; ids compare
+Defined results: blank lines stay; lines under ``min_fuzzy_words`` go only when
+equal (from four words on an edit is at most a quarter of a line); lines under
+``min_words`` stay, an option that is off at one word; null text has no lines; ids compare
 as longs, a null id comes after all others; equal places (rows that share an id)
 never remove each other; a document may lose all its lines and stays as a row
 with an empty text.
@@ -32,8 +33,8 @@ from . import common
 NAME = "op8_line_dedup"
 ORACLE_SQL = None
 
-MIN_WORDS = 4
-MIN_FUZZY_WORDS = 8
+MIN_WORDS = 1
+MIN_FUZZY_WORDS = 4
 _LAST = 2 ** 63 - 1
 
 
@@ -76,7 +77,7 @@ def occurrences_of(docs: DataFrame, doc_id: str, text: str, min_words: int, min_
             cols = [k.alias("line_no"), F.xxhash64(w).alias("h1"), F.xxhash64(F.lit(1), w).alias("h2")]
             if min_fuzzy is not None:
                 cols.append(F.when(F.size(w) >= min_fuzzy, half_keys(w)).alias("halves"))
-            return F.when(F.size(w) >= max(2, min_words), F.struct(*cols))
+            return F.when((F.size(w) >= min_words) & (F.get(w, F.lit(0)) != ""), F.struct(*cols))
 
         return let(line_words(line), fields)
 

@@ -97,6 +97,33 @@ def test_cleaned_texts(spark):
         1: f"{line}\nkeep this one", 2: "another line of its own here", 3: None, 4: "", 5: "short\nshort"}
 
 
+def test_short_lines(spark):
+    rows = [(1, "Yes\ntwo words\n\none two three\nfour words stand here\nfive words stand over there"),
+            (2, "yes\n \nno\nTwo  words\none two four\nfour words sit here\nwords stand over there"),
+            (3, "\nNO\none two three\nfive words stand there\ntwo\n\nfour other words here now")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {r.doc_id: r.text for r in M.dedup_lines(docs).collect()} == {
+        1: rows[0][1], 2: " \nno\none two four", 3: "\ntwo\n\nfour other words here now"}
+    kept = {r.doc_id: r.text for r in M.dedup_lines(docs, min_words=4, min_fuzzy_words=8).collect()}
+    assert kept == dict(rows)
+
+
+def test_short_random_lines(spark, tmp_path):
+    rng = random.Random(3)
+    rows = [(i, "\n".join(" ".join(rng.choice("abcdefghij") for _ in range(rng.randint(0, 6)))
+                          for _ in range(rng.randint(0, 6)))) for i in range(400)]
+    lines = [(i, k, tuple(x.split())) for i, t in rows for k, x in enumerate(t.split("\n")) if x]
+    gone = {i: [] for i, _ in rows}
+    seen = []
+    for i, k, w in lines:
+        if any(v == w or (min(len(v), len(w)) >= 4 and one_edit(v, w)) for v in seen):
+            gone[i].append(k)
+        seen.append(w)
+    d = sf_dir_with(spark, tmp_path, documents=spark.createDataFrame(rows, "doc_id long, text string"))
+    want = {i: (len(g), hashlib.sha256(",".join(map(str, g)).encode()).hexdigest()) for i, g in gone.items()}
+    assert {r.doc_id: (r.n_removed, r.removed_sha256) for r in M.query(spark, d).collect()} == want
+
+
 def test_empty_table(spark):
     assert M.dedup_lines(empty(spark)).count() == 0
 
