@@ -38,13 +38,16 @@ BASE = ("assign", "access", "hex")
 #: Weak parts: an identifier, a secret and an endpoint; patterns with whole-match
 #: group 1.  Words are bounded by what may not continue them.
 WEAK = {
-    "identifier": "(?<![A-Za-z0-9_])((?i:(?:access|client|account|user|key)_?(?:key_?)?id)[\"']?\\x20*[:=]\\x20*[\"']?"
+    "identifier": "(?<![A-Za-z0-9_])([A-Za-z0-9_]*(?i:(?:access|client|account|user|key)_?(?:key_?)?id)[\"']?\\x20*[:=]\\x20*[\"']?"
                   "[A-Za-z0-9_.@-]{4,64})",
-    "key": "(?<![A-Za-z0-9+/=_-])([A-Za-z0-9+/_-]{40,64}={0,2})(?![A-Za-z0-9+/=_-])",
+    "key": "(?<![A-Za-z0-9+/=_-])((?=[+/_-]*[A-Za-z0-9])[A-Za-z0-9+/_-]{20,}={0,2})(?![A-Za-z0-9+/=_-])",
     "endpoint": "((?i:https?|postgres|mysql|mongodb|redis|amqp|s3)://[A-Za-z0-9.:@/_%-]{4,256})",
 }
 #: What each base kind is for its neighbours.
 ROLE = {"assign": "key", "access": "identifier", "hex": "key"}
+#: Least length of a secret inside an identifier or endpoint, whose own words
+#: and paths are often 20 characters long.
+INNER = 40
 SCOPE = 300
 
 _SPAN = "array<struct<start:bigint,end:bigint>>"
@@ -92,7 +95,15 @@ def base_spans(text: Column) -> Column:
 
 
 def weak_spans(text: Column) -> Column:
-    return F.concat(*[tagged(kind, spans(text, pattern, 1, 1), False) for kind, pattern in WEAK.items()])
+    """Weak parts; a short secret inside another weak part belongs to that part."""
+    found = {kind: tagged(kind, spans(text, pattern, 1, 1), False) for kind, pattern in WEAK.items()}
+
+    def standing(around: Column) -> Column:
+        keys = F.filter(found["key"], lambda s: (s["end"] - s["start"] >= INNER) | ~F.exists(
+            around, lambda o: (o["start"] < s["end"]) & (s["start"] < o["end"])))
+        return F.concat(keys, around)
+
+    return let(F.concat(found["identifier"], found["endpoint"]), standing)
 
 
 def linked_parts(parts: DataFrame, scope: int) -> DataFrame:

@@ -55,6 +55,24 @@ def test_weak_parts_need_a_partner(spark):
     assert got[8] == [("assign", 0, 48)]
 
 
+def test_prefixed_names_and_keys_of_any_length(spark):
+    short, storage = "a1B2" * 5, "Zx9+" * 21 + "Qw=="
+    rows = [(1, f"aws_access_key_id=abcdefgh {short}"), (2, "AZURE_CLIENT_ID=abcdefgh https://api.example.com"),
+            (3, 'github_client_id: "user1" https://api.example.com'), (4, f"https://store.example.com {storage} x"),
+            (5, f"account_id=abcdefgh {'x7' * 15}"), (6, f"{short} only"), (7, f"{storage} only"),
+            (8, f"https://example.com/{short}/{short[:8]} alone"), (9, f"my_user_id={short} alone"),
+            (10, f"client_id=abcdefgh {'-' * 30} {short[:19]}"), (11, "awsAccessKeyId=abcdefgh https://api.example.com")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: [(s.kind, s.start, s.end) for s in r.secrets] for r in M.scan(docs).collect()}
+    assert got[1] == [("identifier", 0, 26), ("key", 27, 47)]
+    assert got[2] == [("identifier", 0, 24), ("endpoint", 25, 48)]
+    assert got[3] == [("identifier", 0, 24), ("endpoint", 26, 49)]
+    assert got[4] == [("endpoint", 0, 25), ("key", 26, 26 + 88)]
+    assert got[5] == [("identifier", 0, 19), ("key", 20, 50)]
+    assert got[11] == [("identifier", 0, 23), ("endpoint", 24, 47)]
+    assert got[6] == got[7] == got[8] == got[9] == got[10] == []
+
+
 def test_linked_parts_against_all_pairs(spark):
     rng = random.Random(6)
     rows = []
