@@ -107,6 +107,29 @@ class Grams:
     def every(self) -> np.ndarray:
         return np.concatenate([self.short(), self.keys[2][self.has(3)]])
 
+    def distinct(self) -> tuple[np.ndarray, np.ndarray]:
+        """(distinct keys of all n-grams, sorted; where each of :meth:`every` is
+        among them)."""
+        keys = self.every()
+        order = np.argsort(keys)
+        sorted_keys = keys[order]
+        new = np.r_[True, sorted_keys[1:] != sorted_keys[:-1]] if len(keys) else np.zeros(0, bool)
+        of = np.empty(len(keys), np.int64)
+        of[order] = np.cumsum(new) - 1
+        return sorted_keys[new], of
+
+    def dealt(self, counts: np.ndarray) -> list[np.ndarray]:
+        """Counts of :meth:`every` as one array an order (0 where there is none)."""
+        out, lo = [], 0
+        for order in (1, 2, 3):
+            mask = self.has(order)
+            mine = np.zeros(len(self.words), dtype=np.int64)
+            hi = lo + int(mask.sum())
+            mine[mask] = counts[lo:hi]
+            out.append(mine)
+            lo = hi
+        return out
+
     def look_up(self, order: int, mask: np.ndarray, keys: np.ndarray, counts: np.ndarray) -> np.ndarray:
         """Corpus count of the n-gram that ends at each word (0 where masked)."""
         out = np.zeros(len(self.words), dtype=np.int64)
@@ -218,13 +241,14 @@ def score(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", alpha:
 
     def finish(key, batch: pd.DataFrame, given: pd.DataFrame) -> pd.DataFrame:
         grams = Grams(batch["text"].tolist())
-        keys = np.unique(grams.every() if complete else grams.short())
-        counts = replies_of(given, 1, keys, ranges)
-        one, two, may = pairs_seen(grams, keys, counts, cutoff)
-        if not complete:
+        if complete:
+            keys, of = grams.distinct()
+            one, two, three = grams.dealt(replies_of(given, 1, keys, ranges)[of])
+        else:
+            keys = np.unique(grams.short())
+            one, two, may = pairs_seen(grams, keys, replies_of(given, 1, keys, ranges), cutoff)
             keys = np.unique(grams.keys[2][may])
-            counts = replies_of(given, 2, keys, ranges)
-        three = grams.look_up(3, may, keys, counts)
+            three = grams.look_up(3, may, keys, replies_of(given, 2, keys, ranges))
         three[three < cutoff] = 0
         before_one, before_two = np.r_[1, one[:-1]], np.r_[1, two[:-1]]
         if not len(one):
