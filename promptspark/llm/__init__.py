@@ -10,12 +10,13 @@ from __future__ import annotations
 
 
 def _modules():
-    from . import (bpe_codec, conditional_field_pii, credential_links, decision_lists, line_dedup,
+    from . import (bpe_codec, conditional_field_pii, credential_links, decision_lists, html_extraction, line_dedup,
                    maximal_repeats, minhash_links, ngram_scores, periodic_runs, rtree_negatives, sentence_spans,
                    suffix_automaton)
 
     return (suffix_automaton, maximal_repeats, sentence_spans, credential_links, decision_lists, bpe_codec,
-            ngram_scores, line_dedup, conditional_field_pii, minhash_links, rtree_negatives, periodic_runs)
+            ngram_scores, line_dedup, conditional_field_pii, minhash_links, rtree_negatives, periodic_runs,
+            html_extraction)
 
 
 def queries() -> dict:

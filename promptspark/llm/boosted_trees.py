@@ -7,12 +7,13 @@ import numpy as np
 
 class BoostedTrees:
     """Softmax boosting: each round fits one tree of ``depth`` levels per class to the
-    gradients, on features cut into at most ``bins`` quantile bins."""
+    gradients of a random ``share`` of the rows (a fixed seed), on features cut into at
+    most ``bins`` quantile bins."""
 
-    def __init__(self, classes: int, rounds: int = 30, depth: int = 4, rate: float = 0.25, bins: int = 24,
-                 least: float = 4.0, ridge: float = 1.0):
+    def __init__(self, classes: int, rounds: int = 45, depth: int = 5, rate: float = 0.25, bins: int = 24,
+                 least: float = 4.0, ridge: float = 1.0, share: float = 0.25):
         self.classes, self.rounds, self.depth, self.rate = classes, rounds, depth, rate
-        self.bins, self.least, self.ridge = bins, least, ridge
+        self.bins, self.least, self.ridge, self.share = bins, least, ridge, share
 
     def cells(self, x: np.ndarray) -> np.ndarray:
         """Bin of each value."""
@@ -29,15 +30,25 @@ class BoostedTrees:
         self.limits = np.full(self.features.shape, 255, np.uint8)
         self.leaves = np.zeros((self.rounds, self.classes, 2 ** self.depth))
         spread = cells + np.arange(cells.shape[1]) * self.bins  # a histogram slot by feature and bin
+        rng = np.random.default_rng(1)
         for r in range(self.rounds):
             p = softmax(score)
+            some = rng.random(len(y)) < self.share if len(y) * self.share > 1000 else np.ones(len(y), bool)
             for c in range(self.classes):
-                g, h = p[:, c] - wanted[:, c], np.maximum(p[:, c] * (1 - p[:, c]), 1e-6)
-                at = self._grow(r, c, cells, spread, g, h)
-                score[:, c] += self.leaves[r, c, at]
+                g, h = p[some, c] - wanted[some, c], np.maximum(p[some, c] * (1 - p[some, c]), 1e-6)
+                self._grow(r, c, cells[some], spread[some], g, h)
+                score[:, c] += self.leaves[r, c, self.leaf(r, c, cells)]
         return self
 
-    def _grow(self, r, c, cells, spread, g, h) -> np.ndarray:
+    def leaf(self, r: int, c: int, cells: np.ndarray) -> np.ndarray:
+        """Leaf of each row in one tree."""
+        at, rows = np.zeros(len(cells), np.int64), np.arange(len(cells))
+        for level in range(self.depth):
+            node = 2 ** level - 1 + at
+            at = 2 * at + (cells[rows, self.features[r, c, node]] > self.limits[r, c, node])
+        return at
+
+    def _grow(self, r, c, cells, spread, g, h) -> None:
         at = np.zeros(len(g), np.int64)
         width = cells.shape[1] * self.bins
         for level in range(self.depth):
@@ -58,19 +69,14 @@ class BoostedTrees:
         size = 2 ** self.depth
         g_sum, h_sum = np.bincount(at, g, size), np.bincount(at, h, size)
         self.leaves[r, c] = -self.rate * g_sum / (h_sum + self.ridge)
-        return at
 
     def log_shares(self, x: np.ndarray) -> np.ndarray:
         """Logarithms of the classes' probabilities."""
-        cells, rows = self.cells(x), np.arange(len(x))
+        cells = self.cells(x)
         score = np.tile(self.base, (len(x), 1))
         for r in range(self.rounds):
             for c in range(self.classes):
-                at = np.zeros(len(x), np.int64)
-                for level in range(self.depth):
-                    node = 2 ** level - 1 + at
-                    at = 2 * at + (cells[rows, self.features[r, c, node]] > self.limits[r, c, node])
-                score[:, c] += self.leaves[r, c, at]
+                score[:, c] += self.leaves[r, c, self.leaf(r, c, cells)]
         return np.log(np.maximum(softmax(score), 1e-9))
 
 

@@ -40,7 +40,7 @@ NAME = "op13_html_extraction"
 ORACLE_SQL = None
 
 #: Labelled pages that the trees are trained on, and the seed of their rules.
-PAGES, SEED = 700, 11
+PAGES, SEED = 1500, 11
 #: Characters of html that are worked on at once.
 BATCH_CHARS = 2 << 20
 MIXED, MAIN, OTHER = 0, 1, 2
