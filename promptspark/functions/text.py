@@ -67,11 +67,7 @@ def ascii_only(c) -> Column:
     return col(c).rlike(r"^[\x00-\x7F]*$")
 
 
-def max_char_bytes(df, c) -> int:
-    """Widest UTF-8 character (1-4 bytes) in a text column: one scalar
-    aggregate, used to tighten the exact similarity bounds."""
-    width = (F.when(col(c).rlike("[\\x{10000}-\\x{10FFFF}]"), 4)
-             .when(col(c).rlike("[\\x{800}-\\x{FFFF}]"), 3)
-             .when(col(c).rlike("[^\\x00-\\x7F]"), 2).otherwise(1))
-    row = df.agg(F.max(width).alias("m")).first()
-    return int(row["m"] or 1)
+def char_width(c) -> Column:
+    """Bytes of a text's widest UTF-8 character (1-4)."""
+    return (F.when(col(c).rlike("[\\x{10000}-\\x{10FFFF}]"), 4).when(col(c).rlike("[\\x{800}-\\x{FFFF}]"), 3)
+            .when(col(c).rlike("[^\\x00-\\x7F]"), 2).otherwise(1))

@@ -9,13 +9,15 @@ they are joined (broadcast where the size is checked) like any table.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import functools
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
-from ..functions.text import normalize_text, words
+from ..functions.text import char_width, col, let, normalize_text, words
 from ..functions.tokens import TokenCounter, approx4
-from .similarity import QS, best_window, edit_bound, leader_clusters, similarity_join
+from ..session import ensure_checkpoint_dir
+from .similarity import best_window, grams_at, leader_clusters, segment_size, similar_pairs, similarity_join
 from .text_ops import candidates as text_candidates
 from .text_ops import categorize
 
@@ -28,39 +30,55 @@ MIN_TOKENS, MAX_TOKENS = 20, 500
 
 def mine_patterns(prompts: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                   tau: float = MIN_SIMILARITY, min_frequency: int = MIN_FREQUENCY,
-                  counter: TokenCounter = approx4, max_char_bytes: int = 4) -> DataFrame:
+                  min_tokens: int = MIN_TOKENS, max_tokens: int = MAX_TOKENS,
+                  counter: TokenCounter = approx4) -> DataFrame:
     """E5 at corpus scale.  Candidates in (prompt, order) sequence are
     collapsed exactly on their normal form (R2), near-duplicates found with
     the exact blocking join (R3), grouped by greedy leader clustering (R5),
-    then filtered (size >= min_frequency, 20..500 tokens) and numbered."""
-    cands = text_candidates(prompts, id_col, text_col)
-    # total order of candidates = the reference's scan order
-    cands = cands.withColumn("ord", F.struct(F.col(id_col), F.col("kind"), F.col("i")))
-    distinct = (cands.groupBy("normalized")
-                .agg(F.min("ord").alias("first"))
-                .withColumn("node", F.xxhash64("normalized")))
-    pairs = similarity_join(distinct.select("node", "normalized"), distinct.select("node", "normalized"),
-                            tau, "node", "node", "normalized", "normalized",
-                            max_char_bytes=max_char_bytes)
-    edges = pairs.filter(F.col("lid") != F.col("rid")).select(F.col("lid").alias("a"), F.col("rid").alias("b"))
-    clusters = leader_clusters(distinct.select("node", F.col("first").alias("ord")), edges)
-    members = cands.join(distinct.select("normalized", "node"), "normalized") \
-        .join(clusters, "node") \
-        .withColumn("bytes", F.octet_length("content"))
+    then filtered (F3: size >= ``min_frequency``, ``min_tokens`` to
+    ``max_tokens`` tokens) and numbered (W3).  ``frequency`` counts candidates,
+    ``n_prompts`` their prompts."""
+    ensure_checkpoint_dir(prompts.sparkSession)
+    # a normal form is known by its SHA-256; the total order of candidates is the scan order
+    cands = text_candidates(prompts, id_col, text_col) \
+        .withColumn("ord", F.struct(F.col(id_col), F.col("kind"), F.col("i"))) \
+        .withColumn("form", F.sha2("normalized", 256))
+    distinct = cands.groupBy("form").agg(F.min(F.struct("ord", "form")).alias("ord"), F.min("normalized").alias("normalized")) \
+        .withColumn("node", F.monotonically_increasing_id()).checkpoint()
+    edges = similar_pairs(distinct.select("node", "normalized"), tau, "node", "normalized").select("a", "b")
+    clusters = leader_clusters(distinct.select("node", "ord"), edges)
+    members = cands.join(distinct.select("form", "node"), "form").join(clusters, "node")
     # canonical = longest member; on equal length the last in scan order
     groups = members.groupBy("leader").agg(
         F.count(F.lit(1)).alias("frequency"),
         F.countDistinct(id_col).alias("n_prompts"),
-        F.max(F.struct("bytes", "ord", "content")).alias("canon"),
+        F.max(F.struct(F.octet_length("content").alias("bytes"), "ord", "content")).alias("canon"),
         F.min("ord").alias("first"))
     kept = (groups.filter(F.col("frequency") >= min_frequency)
             .withColumn("content", F.col("canon.content"))
             .withColumn("avg_tokens", counter(F.col("content")))
-            .filter(F.col("avg_tokens").between(MIN_TOKENS, MAX_TOKENS))
+            .filter(F.col("avg_tokens").between(min_tokens, max_tokens))
             .withColumn("category", categorize("content")))
-    numbered = kept.withColumn("n", F.row_number().over(Window.orderBy("first")))
-    return numbered.select(F.format_string("%s_%03d", "category", "n").alias("id"), "content",
-                           "frequency", "avg_tokens", "category", "n_prompts")
+    return numbered(kept, "first", "n").select(
+        F.format_string("%s_%03d", "category", "n").alias("id"), "content", "frequency", "avg_tokens", "category",
+        "n_prompts")
+
+
+def numbered(df: DataFrame, by: str, out: str) -> DataFrame:
+    """Number the rows 1, 2, ... in the order of ``by``, without sending them
+    through one task: ranges are sorted on their own, and a range's numbers
+    begin after the counts of those before it."""
+    ensure_checkpoint_dir(df.sparkSession)
+    ranges = df.repartitionByRange(by).sortWithinPartitions(by) \
+        .withColumn("_at", F.monotonically_increasing_id()).checkpoint()
+    part, place = F.shiftrightunsigned("_at", 33), F.col("_at").bitwiseAND(F.lit((1 << 33) - 1))
+    counts = ranges.groupBy(part.alias("part")).count().orderBy("part").collect()  # one row per range
+    begins, total = [], 0
+    for r in counts:
+        begins += [F.lit(r["part"]), F.lit(total)]
+        total += r["count"]
+    begin = F.element_at(F.create_map(*begins), part) if begins else F.lit(0)
+    return ranges.withColumn(out, begin + place + 1).drop("_at")
 
 
 # ------------------------------------------------------- library upkeep
@@ -94,88 +112,118 @@ def sort_by_frequency(lib: DataFrame) -> DataFrame:
 
 
 def similar_patterns(lib: DataFrame, texts: DataFrame, tau: float = MIN_SIMILARITY,
-                     text_id: str = "text_id", text_col: str = "text", max_char_bytes: int = 4) -> DataFrame:
+                     text_id: str = "text_id", text_col: str = "text") -> DataFrame:
     """For every text, the library patterns with normalised similarity
     >= tau.  (text_id, id, similarity)."""
     a = texts.select(F.col(text_id).alias("lid"), normalize_text(text_col).alias("n"))
     b = lib.select(F.col("id").alias("rid"), normalize_text("content").alias("n"))
-    return similarity_join(a, b, tau, "lid", "rid", "n", "n", max_char_bytes=max_char_bytes) \
+    return similarity_join(a, b, tau, "lid", "rid", "n", "n") \
         .select(F.col("lid").alias(text_id), F.col("rid").alias("id"), "similarity")
 
 
 # ------------------------------------------------------ J5 fuzzy matches
 
+#: Segments of a library that are broadcast at most (some 30 MB); beyond it they are shuffled.
+BROADCAST_SEGMENTS = 200_000
+#: Largest segment: shorter ones meet more often, but more of them must be found together.
+LARGEST = 4
+#: Parts that a common gram's rows are split into when segments are shuffled.
+SPLITS = 16
+#: Characters of a bucket of window starts, and words whose windows are verified together.
+BUCKET, CHUNK = 64, 128
+
+
+def _window_bound(nbytes, tau: float, width: int) -> Column:
+    """Largest edit distance of a pattern of ``nbytes`` bytes to a window whose
+    characters have at most ``width`` bytes, at similarity > tau."""
+    slack = 1.0 - (1.0 - tau) * width
+    if slack <= 0:
+        raise ValueError("threshold too low for exact matching in texts with characters of so many bytes")
+    return F.floor(col(nbytes).cast("double") * (1.0 - tau) / slack + 1e-9).cast("int")
+
+
 def pattern_matches(docs: DataFrame, lib: DataFrame, id_col: str = "doc_id", text_col: str = "text",
-                    tau: float = MIN_SIMILARITY, max_char_bytes: int = 4) -> DataFrame:
+                    tau: float = MIN_SIMILARITY) -> DataFrame:
     """For every (prompt, pattern) the best window of the pattern's word
     count whose similarity is strictly above tau (earliest on ties), as word
     offsets in the prompt's normal form.
 
     Exact q-gram count filter: a window within similarity tau is within k
-    edits of the pattern (``similarity.edit_bound``), so at least
-    ``floor(L/q) - k`` of the pattern's disjoint q-gram segments occur
-    verbatim in the prompt on diagonals (position - offset) within k of the
-    window's start.  Diagonals are bucketed by k+1, so those hits share one
-    window of three consecutive buckets.  Segments (bounded by the library)
-    are broadcast against the prompts' q-grams; only bucket windows reaching
-    the count are turned into candidate start words and verified with a
-    banded (thresholded) ``levenshtein``.  q goes down to 1, so every
-    non-empty pattern qualifies when ``max_char_bytes <= 3`` (pass the
-    corpus' real width, ``functions.text.max_char_bytes``)."""
+    edits of the pattern, so at least ``floor(L/q) - k`` of the pattern's
+    disjoint segments occur verbatim in the prompt on diagonals (position -
+    offset) within k of the window's start.  k depends on the widest character
+    of the prompt, so patterns are cut once per width (1 to 4 bytes) that
+    prompts have, and each prompt meets the cut for its own.  Diagonals are
+    bucketed by k+1, so those hits share one window of three consecutive
+    buckets; only bucket windows reaching the count are turned into candidate
+    start words and verified with a banded (thresholded) ``levenshtein``.
+
+    The segments are the library's index.  They are broadcast while they are
+    few (``BROADCAST_SEGMENTS``, counted); a larger index is dealt by gram,
+    with every gram's rows split into ``SPLITS`` parts by prompt, so that a
+    common gram is no single task."""
+    ensure_checkpoint_dir(docs.sparkSession)
     pat = lib.select(F.col("id").alias("pid"), normalize_text("content").alias("needle")) \
-        .withColumn("nw", words("needle")).withColumn("n", F.size("nw")).filter(F.col("n") > 0) \
-        .withColumn("L", F.char_length("needle")) \
-        .withColumn("k", edit_bound(F.octet_length("needle"), tau, max_char_bytes))
-    # each edit destroys at most one of the floor(L/q) disjoint segments
-    q = None
-    for size in reversed(QS):
-        ok = F.floor(F.col("L") / size) >= F.col("k") + 1
-        q = F.when(ok, F.lit(size)) if q is None else F.when(ok, F.lit(size)).otherwise(q)
-    pat = pat.withColumn("q", F.coalesce(q, F.lit(1))) \
-        .withColumn("need", F.greatest(F.floor(F.col("L") / F.col("q")).cast("int") - F.col("k"), F.lit(1))) \
-        .cache()
-
+        .withColumn("n", F.size(words("needle"))).filter(F.col("n") > 0) \
+        .withColumn("L", F.char_length("needle"))
     hay = docs.select(F.col(id_col).alias("did"), normalize_text(text_col).alias("h")) \
-        .withColumn("hw", words("h")).withColumn("W", F.size("hw")).withColumn("hL", F.char_length("h"))
-    used = sorted(r["q"] for r in pat.select("q").distinct().collect())  # <= 4 values
+        .withColumn("width", char_width("h")).withColumn("hL", F.char_length("h"))
+    widths = [r["width"] for r in hay.select("width").distinct().collect()]  # of 1 to 4
+    cut = [pat.withColumn("width", F.lit(w)).withColumn("k", _window_bound(F.octet_length("needle"), tau, w))
+           for w in widths]
+    if not cut:
+        cut = [pat.where("false").withColumn("width", F.lit(1)).withColumn("k", F.lit(0))]
+    cut = functools.reduce(DataFrame.unionByName, cut).withColumn("q", F.coalesce(segment_size("L", "k", LARGEST), F.lit(1))) \
+        .withColumn("need", F.greatest(F.floor(F.col("L") / F.col("q")).cast("int") - F.col("k"), F.lit(1))).checkpoint()
+    places = F.transform(F.sequence(F.lit(0), F.floor(F.col("L") / F.col("q")).cast("int") - 1), lambda j: j * F.col("q"))
+    index = cut.select("pid", "width", "q", "k", F.posexplode(grams_at(F.split("needle", ""), places, "q")).alias("j", "gram")) \
+        .withColumn("off", F.col("j") * F.col("q"))
+
     grams = None
-    for size in used:
-        # the gram array is built inside the row; exploded rows carry only (pos, gram)
-        g = hay.filter(F.col("hL") >= size).select("did", F.lit(size).alias("q"), F.posexplode(F.transform(
-            F.sequence(F.lit(0), F.col("hL") - size), lambda p: F.substring(F.col("h"), p + 1, size)))
-            .alias("pos", "gram"))
+    for r in cut.select("width", "q").distinct().collect():  # at most 4 x len(QS)
+        g = hay.where((F.col("width") == r["width"]) & (F.col("hL") >= r["q"])).select(
+            "did", "width", F.lit(r["q"]).alias("q"), F.posexplode(grams_at(
+                F.split("h", ""), F.sequence(F.lit(0), F.col("hL") - r["q"]), r["q"])).alias("pos", "gram"))
         grams = g if grams is None else grams.unionByName(g)
-
-    seg = pat.select("pid", "q", "k", "needle",
-                     F.explode(F.sequence(F.lit(0), F.floor(F.col("L") / F.col("q")).cast("int") - 1)).alias("j")) \
-        .withColumn("off", F.col("j") * F.col("q")) \
-        .select("pid", "q", "k", "j", "off", F.substring("needle", F.col("off") + 1, F.col("q")).alias("gram"))
-    hits = grams.join(F.broadcast(seg), ["q", "gram"]) \
-        .withColumn("b", F.floor((F.col("pos") - F.col("off")) / (F.col("k") + 1)).cast("long"))
-    windows = hits.select("did", "pid", "j", "k", F.explode(F.array(F.col("b"), F.col("b") + 1, F.col("b") + 2))
+    if grams is None:
+        grams = hay.select("did", "width", F.lit(1).alias("q"), F.lit(0).alias("pos"), F.col("h").alias("gram")).where("false")
+    keys = ["width", "q", "gram"]
+    if index.count() <= BROADCAST_SEGMENTS:
+        hits = grams.join(F.broadcast(index), keys)
+    else:
+        parts = F.explode(F.sequence(F.lit(0), F.lit(SPLITS - 1))).alias("part")
+        hits = grams.withColumn("part", F.pmod(F.xxhash64("did"), F.lit(SPLITS)).cast("int")) \
+            .join(index.select("*", parts), [*keys, "part"])
+    hits = hits.withColumn("b", F.floor((F.col("pos") - F.col("off")) / (F.col("k") + 1)).cast("long"))
+    # three buckets in a row hold all hits of a window; segments are counted once each
+    windows = hits.select("did", "pid", "width", "j", "k", F.explode(F.array(F.col("b"), F.col("b") + 1, F.col("b") + 2))
                           .alias("wb")) \
-        .groupBy("did", "pid", "wb", "k").agg(F.size(F.collect_set("j")).alias("segs"))
-    regions = windows.join(pat.select("pid", "need"), "pid").filter(F.col("segs") >= F.col("need")) \
-        .select("did", "pid", ((F.col("wb") - 2) * (F.col("k") + 1) - F.col("k")).alias("lo"),
-                ((F.col("wb") + 1) * (F.col("k") + 1) - 1 + F.col("k")).alias("hi"))
-    # window starts whose first character lies in [lo, hi]
-    starts = hay.select("did", "W", F.transform("hw", lambda w: F.char_length(w) + 1).alias("wl"))
-    starts = starts.withColumn("ws_char", F.aggregate(
-        "wl", F.struct(F.lit(0).alias("p"), F.array().cast("array<int>").alias("o")),
-        lambda acc, x: F.struct((acc.p + x).alias("p"), F.concat(acc.o, F.array(acc.p)).alias("o"))).o)
-    cands = regions.join(starts.select("did", "W", "ws_char"), "did").join(pat.select("pid", "n"), "pid") \
-        .filter(F.col("W") >= F.col("n")) \
-        .withColumn("starts", F.filter(F.sequence(F.lit(0), F.col("W") - F.col("n")),
-                                       lambda i: (F.element_at("ws_char", i + 1) >= F.col("lo"))
-                                       & (F.element_at("ws_char", i + 1) <= F.col("hi")))) \
-        .filter(F.size("starts") > 0) \
-        .groupBy("did", "pid").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("starts")))).alias("starts"))
-    verified = cands.join(pat.select("pid", "needle", "n"), "pid").join(hay.select("did", "hw"), "did") \
-        .withColumn("m", best_window("needle", "n", "hw", tau, "starts")) \
-        .filter(F.col("m").isNotNull())
-    return verified.select(F.col("did").alias(id_col), F.col("pid").alias("id"),
-                           F.col("m.start").alias("start_word"), F.col("m.end").alias("end_word"),
-                           F.col("m.similarity").alias("similarity"))
+        .groupBy("did", "pid", "width", "wb", "k").agg(F.countDistinct("j").alias("found"))
+    regions = windows.join(cut.select("pid", "width", "need", "n"), ["pid", "width"]).filter("found >= need") \
+        .select("did", "pid", "n", ((F.col("wb") - 2) * (F.col("k") + 1) - F.col("k")).alias("lo"),
+                ((F.col("wb") + 1) * (F.col("k") + 1) - 1 + F.col("k")).alias("hi")).checkpoint()
+    # words whose first character lies in a region, found by buckets of places
+    with_any = hay.join(regions.select("did").distinct(), "did", "left_semi").withColumn("hw", words("h"))
+    begins = with_any.select("did", F.size("hw").alias("W"), F.posexplode(F.concat(F.array(F.lit(0)), let(
+        F.split("h", ""), lambda c: F.filter(F.transform(c, lambda x, i: F.when(x == " ", i + 1)),
+                                             lambda i: i.isNotNull())))).alias("word", "at")) \
+        .withColumn("bucket", F.floor(F.col("at") / BUCKET))
+    reach = regions.withColumn("bucket", F.explode(F.sequence(
+        F.floor(F.greatest("lo", F.lit(0)) / BUCKET), F.floor(F.greatest("hi", F.lit(0)) / BUCKET))))
+    found = reach.join(begins, ["did", "bucket"]).where("at between lo and hi and word + n <= W") \
+        .groupBy("did", "pid", F.floor(F.col("word") / CHUNK).cast("int").alias("chunk")) \
+        .agg(F.collect_set("word").alias("starts"))  # at most CHUNK of them
+    tasks = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    # few rows but much work in each: spread them by number, not by bytes
+    spread = found.join(pat.select("pid", "needle", "n"), "pid").join(with_any.select("did", "hw"), "did") \
+        .select("did", "pid", "needle", "n", "chunk", F.transform("starts", lambda s: s - F.col("chunk") * CHUNK).alias("starts"),
+                F.slice("hw", F.col("chunk") * CHUNK + 1, F.col("n") + CHUNK).alias("part")) \
+        .repartition(tasks, "did", "pid", "chunk")
+    best = spread.withColumn("m", best_window("needle", "n", "part", tau, "starts")).filter(F.col("m").isNotNull()) \
+        .groupBy("did", "pid").agg(F.max(F.struct("m.similarity", (-F.col("m.start") - F.col("chunk") * CHUNK).alias("back"), "n")).alias("m"))
+    start = -F.col("m.back")
+    return best.select(F.col("did").alias(id_col), F.col("pid").alias("id"), start.alias("start_word"),
+                       (start + F.col("m.n")).alias("end_word"), F.col("m.similarity").alias("similarity"))
 
 
 def substitute(matches: DataFrame, lib: DataFrame, id_col: str = "doc_id",

@@ -3,26 +3,28 @@
 Similarity of two texts is ``1 - levenshtein / max(bytes)`` on their normal
 forms (distance in code points, denominator in bytes, as the reference).
 
-Fuzzy joins never enumerate all pairs.  :func:`similarity_join` is the exact
-pigeonhole blocking of SURVEY R3: with ``m`` the largest UTF-8 width of a
-character, any partner Y of X at similarity >= tau is within
-``k_X = floor((1-tau) * bytes(X) / (1 - (1-tau) * m))`` edits, so if X is cut
-into disjoint q-grams, any ``k_X + 1`` of them contain one that survives
-verbatim in Y, shifted by at most ``k_X``.  We keep X's ``k_X + 1`` rarest
-segments, equi-join them with every q-gram of Y on (q, gram), filter by the
-shift band and by the length band, and verify each surviving pair with
-Spark's thresholded ``levenshtein``.
+Fuzzy joins never enumerate all pairs.  :func:`similarity_join` is exact pigeonhole
+blocking.  Let X be the text of a pair with more bytes: at similarity >= tau the other
+text Y is within ``k = floor((1 - tau) * bytes(X))`` edits, whatever its characters.  X is
+cut into disjoint segments of q characters, q being the largest that gives more than
+``k`` of them.  An edit destroys one segment at most, so at least ``segments - k`` stand
+in Y, each no further from its place than the edits on its left and right allow.  Segments
+meet Y's q-grams in an equi-join on (q, gram, class of length); a pair whose surviving
+segments are too few is dropped, and the rest is verified with Spark's thresholded
+``levenshtein``.
 """
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from ..functions.text import col, let, normalize_text, words
 
-QS = (4, 3, 2, 1)  # q-gram sizes tried, largest first
+QS = (8, 7, 6, 5, 4, 3, 2, 1)  # segment sizes tried, largest first
+CLASS = 0.18  # lengths of one class differ by less than this in their logarithms
 
 
 def similarity(a, b) -> Column:
@@ -67,105 +69,103 @@ def word_cosine(pairs: DataFrame, key: str, a: str, b: str) -> DataFrame:
 
 # ----------------------------------------------------------- R3 blocking
 
-def edit_bound(nbytes, tau: float, max_char_bytes: int = 4) -> Column:
-    """Largest edit distance a partner at similarity >= tau can have."""
-    slack = 1.0 - (1.0 - tau) * max_char_bytes
-    if slack <= 0:
-        raise ValueError("threshold too low for exact blocking; use a smaller max_char_bytes")
-    return F.floor(col(nbytes).cast("double") * (1.0 - tau) / slack).cast("int")
+def edit_bound(nbytes, tau: float) -> Column:
+    """Largest edit distance from a text of ``nbytes`` bytes to one of no more bytes
+    at similarity >= tau."""
+    return F.floor(col(nbytes).cast("double") * (1.0 - tau) + 1e-9).cast("int")
 
 
-def _profile(df: DataFrame, id_col: str, text_col: str, tau: float, m: int) -> DataFrame:
-    """(id, t, L chars, B bytes, k, q): q = largest size leaving k+1 segments,
-    or null when no q works (tiny texts go to the length-band path)."""
-    p = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("t")) \
-        .withColumn("L", F.char_length("t")).withColumn("B", F.octet_length("t")) \
-        .withColumn("k", edit_bound("B", tau, m))
-    q = None
-    for size in reversed(QS):
-        ok = F.floor(F.col("L") / size) >= F.col("k") + 1
-        q = F.when(ok, F.lit(size)) if q is None else F.when(ok, F.lit(size)).otherwise(q)
-    return p.withColumn("q", q)
+def segment_size(chars, k, largest: int = QS[0]) -> Column:
+    """Largest segment size up to ``largest`` that leaves more than ``k`` disjoint
+    segments (null: none)."""
+    q = F.lit(None).cast("int")
+    for size in (s for s in reversed(QS) if s <= largest):
+        q = F.when(F.floor(col(chars) / size) >= col(k) + 1, F.lit(size)).otherwise(q)
+    return q
+
 
+def grams_at(chars, offsets, q) -> Column:
+    """The q characters from each offset; ``chars`` is the text's array of characters,
+    as cutting a string by position costs as much as the position."""
+    size = F.lit(q) if isinstance(q, int) else col(q)
+    return let(chars, lambda c: F.transform(offsets, lambda o: F.array_join(F.slice(c, o + 1, size), "")))
 
-def _all_grams(prof: DataFrame, sizes=QS) -> DataFrame:
-    """Every q-gram of every text, for each q in ``sizes``: (id, q, pos, gram)."""
-    out = None
-    for size in sizes:
-        g = prof.filter(F.col("L") >= size).select("id", F.lit(size).alias("q"), F.posexplode(F.transform(
-            F.sequence(F.lit(0), F.col("L") - size), lambda p: F.substring(F.col("t"), p + 1, size)))
-            .alias("pos", "gram"))
-        out = g if out is None else out.unionByName(g)
-    return out
+
+def length_class(chars) -> Column:
+    return F.floor(F.log(F.greatest(col(chars), F.lit(1)).cast("double")) / CLASS).cast("int")
+
+
+def _profile(df: DataFrame, id_col: str, text_col: str, tau: float) -> DataFrame:
+    """(id, t, L chars, B bytes, k, q); texts without a q are only compared by length."""
+    p = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("t")) \
+        .withColumn("L", F.char_length("t")).withColumn("B", F.octet_length("t")) \
+        .withColumn("k", edit_bound("B", tau))
+    return p.withColumn("q", segment_size("L", "k"))
+
+
+def _candidates(xs: DataFrame, ys: DataFrame, order: Column) -> DataFrame:
+    """(xid, yid) of the pairs that may be similar, among those that ``order`` lets
+    through (over xid, xB, yid, yB); X has no fewer bytes than Y."""
+    used = sorted(r["q"] for r in xs.select("q").distinct().collect() if r["q"] is not None)  # of QS
+    near = (order & (F.abs(F.col("pos") - F.col("off"))
+                     + F.abs((F.col("xL") - F.col("off")) - (F.col("yL") - F.col("pos"))) <= F.col("k")))
+    pairs = []
+    for size in used:
+        places = F.transform(F.sequence(F.lit(0), F.floor(F.col("L") / size).cast("int") - 1), lambda j: j * size)
+        segments = xs.where(F.col("q") == size).select(
+            F.col("id").alias("xid"), F.col("L").alias("xL"), F.col("B").alias("xB"), "k",
+            F.posexplode(grams_at(F.split("t", ""), places, size)).alias("j", "gram"))
+        segments = segments.select(
+            "xid", "xL", "xB", "k", "j", (F.col("j") * size).alias("off"), "gram", F.explode(F.sequence(
+                length_class(F.col("xL") - F.col("k")), length_class(F.col("xL") + F.col("k")))).alias("class"))
+        grams = ys.where(F.col("L") >= size).select(
+            F.col("id").alias("yid"), F.col("L").alias("yL"), F.col("B").alias("yB"), length_class("L").alias("class"),
+            F.posexplode(grams_at(F.split("t", ""), F.sequence(F.lit(0), F.col("L") - size), size)).alias("pos", "gram"))
+        hits = segments.join(grams, ["gram", "class"]).where(near)
+        pairs.append(hits.groupBy("xid", "yid", (F.floor(F.col("xL") / size) - F.col("k")).alias("need"))
+                     .agg(F.countDistinct("j").alias("found")).where("found >= need").select("xid", "yid"))
+    # texts with k >= L (the empty one, or a low tau): equi-join on the lengths they allow
+    x = xs.where(F.col("q").isNull()).select(F.col("id").alias("xid"), F.col("B").alias("xB"), F.explode(
+        F.sequence(F.greatest(F.col("L") - F.col("k"), F.lit(0)), F.col("L") + F.col("k"))).alias("yL"))
+    y = ys.select(F.col("id").alias("yid"), F.col("B").alias("yB"), F.col("L").alias("yL"))
+    pairs.append(x.join(y, "yL").where(order).select("xid", "yid"))
+    return functools.reduce(DataFrame.unionByName, pairs)
+
+
+def _verified(pairs: DataFrame, xs: DataFrame, ys: DataFrame, tau: float, strict: bool) -> DataFrame:
+    """(xid, yid, similarity) of the pairs that reach tau."""
+    a = xs.select(F.col("id").alias("xid"), F.col("t").alias("tx"), F.col("B").alias("xB"), "k")
+    b = ys.select(F.col("id").alias("yid"), F.col("t").alias("ty"))
+    # thresholded distance (banded DP; -1 beyond the bound); the Python
+    # helper only takes a literal threshold, the SQL function takes a column
+    v = pairs.join(a, "xid").join(b, "yid").withColumn("d", F.call_function("levenshtein", "tx", "ty", "k"))
+    sim = F.when(F.col("xB") == 0, F.lit(1.0)).otherwise(F.lit(1.0) - F.col("d").cast("double") / F.col("xB"))
+    v = v.where("d >= 0").select("xid", "yid", sim.alias("similarity"))
+    return v.where(F.col("similarity") > tau if strict else F.col("similarity") >= tau)
 
 
 def similarity_join(left: DataFrame, right: DataFrame, tau: float, left_id: str = "id",
                     right_id: str = "id", left_text: str = "text", right_text: str = "text",
-                    strict: bool = False, max_char_bytes: int = 4) -> DataFrame:
+                    strict: bool = False) -> DataFrame:
     """All pairs (lid, rid, similarity) with similarity >= tau (> tau when
     ``strict``) over the *given* texts (normalise them first for normalised
-    similarity).  Exact; see the module docstring.  ``max_char_bytes`` may be
-    lowered to the corpus' real maximum (2 for Latin scripts) for tighter
-    bounds."""
-    m = max_char_bytes
-    lp = _profile(left, left_id, left_text, tau, m).cache()
-    rp = _profile(right, right_id, right_text, tau, m).cache()
-    # q sizes in use (at most len(QS) values) decide which grams to explode
-    used = sorted({r["q"] for p in (lp, rp) for r in p.select("q").distinct().collect()
-                   if r["q"] is not None}) or [QS[-1]]
-
-    def directed(xs: DataFrame, ys: DataFrame, x_is_left: bool) -> DataFrame:
-        # X = the side with fewer characters (ties handled by both directions)
-        seg = xs.filter(F.col("q").isNotNull()).select(
-            "id", "q", "k", "L", F.explode(F.sequence(F.lit(0), F.floor(F.col("L") / F.col("q")).cast("int") - 1))
-            .alias("j"), "t").select(
-            "id", "q", "k", "L", (F.col("j") * F.col("q")).alias("off"),
-            F.substring("t", F.col("j") * F.col("q") + 1, F.col("q")).alias("gram"))
-        # rarity: keep the k+1 segments whose gram is least frequent in Y
-        freq = _all_grams(ys, used).groupBy("q", "gram").agg(F.count(F.lit(1)).alias("df"))
-        ranked = seg.join(freq, ["q", "gram"], "left").fillna({"df": 0})
-        w = Window.partitionBy("id").orderBy("df", "off")
-        chosen = ranked.withColumn("r", F.row_number().over(w)).filter(F.col("r") <= F.col("k") + 1) \
-            .filter(F.col("df") > 0)
-        ygrams = _all_grams(ys, used).join(ys.select(F.col("id").alias("yid"), F.col("L").alias("yL")),
-                                     F.col("id") == F.col("yid")).drop("id")
-        hits = chosen.select(F.col("id").alias("xid"), "q", "gram", "off", "k", F.col("L").alias("xL")) \
-            .join(ygrams.select("yid", "yL", "q", "gram", "pos"), ["q", "gram"]) \
-            .filter((F.abs(F.col("pos") - F.col("off")) <= F.col("k"))
-                    & (F.col("yL") >= F.col("xL")) & (F.col("yL") - F.col("xL") <= F.col("k")))
-        pairs = hits.select("xid", "yid").distinct()
-        if x_is_left:
-            return pairs.select(F.col("xid").alias("lid"), F.col("yid").alias("rid"))
-        return pairs.select(F.col("yid").alias("lid"), F.col("xid").alias("rid"))
-
-    def tiny(xs: DataFrame, ys: DataFrame, x_is_left: bool) -> DataFrame:
-        # only texts with k >= L land here (empty, or wide 4-byte scripts
-        # with max_char_bytes=4): equi-join on the few lengths they allow
-        x = xs.filter(F.col("q").isNull()).select(
-            F.col("id").alias("xid"), F.explode(F.sequence(F.col("L"), F.col("L") + F.col("k"))).alias("yL"))
-        y = ys.select(F.col("id").alias("yid"), F.col("L").alias("yL"))
-        pairs = x.join(y, "yL").select("xid", "yid")
-        if x_is_left:
-            return pairs.select(F.col("xid").alias("lid"), F.col("yid").alias("rid"))
-        return pairs.select(F.col("yid").alias("lid"), F.col("xid").alias("rid"))
-
-    cand = (directed(lp, rp, True).unionByName(directed(rp, lp, False))
-            .unionByName(tiny(lp, rp, True)).unionByName(tiny(rp, lp, False)).distinct())
-    a = lp.select(F.col("id").alias("lid"), F.col("t").alias("ta"), F.col("B").alias("ba"),
-                  F.col("k").alias("ka"))
-    b = rp.select(F.col("id").alias("rid"), F.col("t").alias("tb"), F.col("B").alias("bb"),
-                  F.col("k").alias("kb"))
-    v = cand.join(a, "lid").join(b, "rid")
-    # thresholded distance (banded DP; -1 beyond the bound); the Python
-    # helper only takes a literal threshold, the SQL function takes a column
-    dist = F.call_function("levenshtein", F.col("ta"), F.col("tb"), F.greatest("ka", "kb"))
-    mx = F.greatest("ba", "bb")
-    sim = F.when(mx == 0, F.lit(1.0)).otherwise(F.lit(1.0) - dist.cast("double") / mx)
-    v = v.filter(dist >= 0).withColumn("similarity", sim)
-    keep = F.col("similarity") > tau if strict else F.col("similarity") >= tau
-    return v.filter(keep).select(F.col("lid").alias(left_id if left_id != right_id else "lid"),
-                                 F.col("rid").alias(right_id if left_id != right_id else "rid"),
-                                 "similarity")
+    similarity).  Exact; see the module docstring.  Ids must be unique."""
+    lp, rp = (_profile(*side, tau).cache() for side in ((left, left_id, left_text), (right, right_id, right_text)))
+    names = (left_id, right_id) if left_id != right_id else ("lid", "rid")
+    more, less = F.col("yB") <= F.col("xB"), F.col("yB") < F.col("xB")
+    one = _verified(_candidates(lp, rp, more), lp, rp, tau, strict)
+    other = _verified(_candidates(rp, lp, less), rp, lp, tau, strict)
+    return one.select(F.col("xid").alias(names[0]), F.col("yid").alias(names[1]), "similarity").unionByName(
+        other.select(F.col("yid").alias(names[0]), F.col("xid").alias(names[1]), "similarity"))
+
+
+def similar_pairs(texts: DataFrame, tau: float, id_col: str = "id", text_col: str = "text",
+                  strict: bool = False) -> DataFrame:
+    """Every pair (a, b, similarity) of different rows of one table once."""
+    p = _profile(texts, id_col, text_col, tau).cache()
+    once = (F.col("yB") < F.col("xB")) | ((F.col("yB") == F.col("xB")) & (F.col("xid") < F.col("yid")))
+    return _verified(_candidates(p, p, once), p, p, tau, strict).select(
+        F.col("xid").alias("a"), F.col("yid").alias("b"), "similarity")
 
 
 # ------------------------------------------------------- R5 leader rounds

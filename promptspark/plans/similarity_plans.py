@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions.text import max_char_bytes, normalize_text
 from ..functions.tokens import approx4
 from ..operators import patterns as pt
 from ..operators import similarity as sm
@@ -103,7 +102,7 @@ def similar_patterns(spark, sf_dir):
     key = F.struct("doc_id", "idx")
     sents = ex.sentence_table(docs).select(key.alias("text_id"), F.col("sentence").alias("text"))
     lib = benchmark_library(spark, sf_dir)
-    m = pt.similar_patterns(lib, sents, TAU, max_char_bytes=max_char_bytes(docs, "text"))
+    m = pt.similar_patterns(lib, sents, TAU)
     return m.select(F.col("text_id.doc_id").cast("long").alias("doc_id"),
                     F.col("text_id.idx").cast("int").alias("idx"), "id", "similarity")
 
@@ -114,16 +113,15 @@ def pattern_match(spark, sf_dir):
     reference each kept match becomes after overlap resolution."""
     docs = table(spark, sf_dir, "documents", "doc_id", "text")
     lib = benchmark_library(spark, sf_dir).drop("item_id")
-    m = max_char_bytes(docs, "text")
-    matches = pt.pattern_matches(docs, lib, tau=TAU, max_char_bytes=m)
+    matches = pt.pattern_matches(docs, lib, tau=TAU).checkpoint()
     refs = pt.substitute(matches, lib)
     return refs.join(matches.select("doc_id", "id", "similarity"), ["doc_id", "id"])
 
 
+@register("mine_patterns")
 def mine_patterns(spark, sf_dir):
     """E5: the pattern library mined from the whole document corpus."""
-    docs = table(spark, sf_dir, "documents", "doc_id", "text")
-    return pt.mine_patterns(docs, max_char_bytes=max_char_bytes(docs, "text"))
+    return pt.mine_patterns(table(spark, sf_dir, "documents", "doc_id", "text"))
 
 
 @register("library_ops", """

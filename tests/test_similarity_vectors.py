@@ -69,7 +69,7 @@ def _fixture_texts(spark, n=250):
 def test_similarity_join_equals_brute_force(spark):
     texts = _fixture_texts(spark)
     df = spark.createDataFrame(list(enumerate(texts)), "id long, text string")
-    got = {(r.lid, r.rid) for r in sm.similarity_join(df, df, 0.85, max_char_bytes=2).collect()
+    got = {(r.lid, r.rid) for r in sm.similarity_join(df, df, 0.85).collect()
            if r.lid != r.rid}
     want = {(i, j) for i, a in enumerate(texts) for j, b in enumerate(texts) if i != j and sim(a, b) >= 0.85}
     assert want and got == want
@@ -109,7 +109,7 @@ def test_pattern_matches_equal_all_windows(spark):
         .orderBy("doc_id").limit(60)
     lib = benchmark_library(spark, "/root/testdata/sf0.001").drop("item_id")
     got = {(r.doc_id, r.id, r.start_word, round(r.similarity, 12))
-           for r in pt.pattern_matches(docs, lib, max_char_bytes=2).collect()}
+           for r in pt.pattern_matches(docs, lib).collect()}
     hay = docs.select("doc_id", words(normalize_text("text")).alias("hw"))
     pat = lib.select("id", normalize_text("content").alias("nd")).withColumn("n", F.size(words("nd")))
     allw = hay.crossJoin(pat).filter(F.size("hw") >= F.col("n")).withColumn(
