@@ -145,29 +145,56 @@ def context_window(sents, radius: int = 2) -> Column:
 
 # ------------------------------------------------------------ W4 budget
 
+#: Units that one step of the budget walk takes: its state is copied once a step.
+WALK_STEP = 128
+
+
+def first_of_equal(items) -> Column:
+    """X4 before the walk: of units (array<struct<idx, tokens, same>> in walk order)
+    with the same normal form only the first stays, with the number of its
+    ``copies``; neighbours are compared after sorting by normal form.  An equal
+    unit has the same tokens, so one that comes after a unit which did not fit
+    would not fit either."""
+    def grouped(g):
+        at = F.filter(F.transform(g, lambda x, i: F.when(
+            (i == 0) | (x.same != F.get(g, i - 1).same), i)), lambda i: i.isNotNull())
+        return let(at, lambda f: F.transform(f, lambda i, j: F.struct(
+            F.get(g, i).place.alias("place"), F.get(g, i).idx.alias("idx"), F.get(g, i).tokens.alias("tokens"),
+            (F.coalesce(F.get(f, j + 1), F.size(g)) - i).alias("copies"))))
+
+    by_form = F.array_sort(F.transform(col(items), lambda x, i: F.struct(
+        x.same.alias("same"), i.alias("place"), x.idx.alias("idx"), x.tokens.alias("tokens"))))
+    return F.transform(F.array_sort(let(by_form, grouped)), lambda x: F.struct(
+        x.idx.alias("idx"), x.tokens.alias("tokens"), x.copies.alias("copies")))
+
+
 def select_within_budget(items, target) -> Column:
-    """W4 + X4 as one left fold over ``items`` (array<struct<idx, tokens, h>>)
-    already in walk order.  A unit whose normal-form hash ``h`` equals a
-    taken one is counted as redundant and skipped; otherwise it is taken if it
-    still fits, and the first unit is always taken.  The accumulator keeps
-    only ints/longs, never text.  Returns struct<picks, total, dups>."""
-    init = F.struct(F.array().cast("array<int>").alias("picks"),
-                    F.array().cast("array<bigint>").alias("hs"),
-                    F.lit(0).cast("bigint").alias("total"), F.lit(0).alias("dups"))
-
-    def step(acc, x):
-        dup = F.array_contains(acc.hs, x.h)
-        fits = (acc.total + x.tokens <= target) | (F.size(acc.picks) == 0)
-        return (F.when(dup, F.struct(acc.picks.alias("picks"), acc.hs.alias("hs"),
-                                     acc.total.alias("total"), (acc.dups + 1).alias("dups")))
-                .when(fits, F.struct(F.concat(acc.picks, F.array(x.idx)).alias("picks"),
-                                     F.concat(acc.hs, F.array(x.h)).alias("hs"),
-                                     (acc.total + x.tokens).alias("total"), acc.dups.alias("dups")))
-                .otherwise(acc))
-
-    return F.aggregate(col(items), init, step,
-                       lambda acc: F.struct(F.array_sort(acc.picks).alias("picks"),
-                                            acc.total.alias("total"), acc.dups.alias("dups")))
+    """W4 over ``items`` (array<struct<idx, tokens, copies>>) already in walk
+    order: a unit is taken if it still fits, and the first one always; the other
+    copies of a taken unit are redundant.  The walk goes by steps of
+    ``WALK_STEP`` units, each with a state of its own, so that the picks so far
+    are copied once a step and not once a unit.  Returns struct<picks, total,
+    dups>."""
+    none = F.array().cast("array<int>")
+
+    def take(acc, x):
+        fits = (acc.total + x.tokens <= target) | ~acc.some
+        return F.when(fits, F.struct(
+            F.concat(acc.picks, F.array(x.idx)).alias("picks"), (acc.total + x.tokens).alias("total"),
+            (acc.dups + x.copies - 1).alias("dups"), F.lit(True).alias("some"))).otherwise(acc)
+
+    def step(acc, part):
+        start = F.struct(none.alias("picks"), acc.total.alias("total"), acc.dups.alias("dups"), acc.some.alias("some"))
+        return let(F.aggregate(part, start, take), lambda r: F.struct(
+            F.concat(acc.picks, r.picks).alias("picks"), r.total.alias("total"), r.dups.alias("dups"),
+            r.some.alias("some")))
+
+    parts = let(items, lambda it: F.when(F.size(it) == 0, F.array(it)).otherwise(F.transform(
+        F.sequence(F.lit(1), F.size(it), F.lit(WALK_STEP)), lambda k: F.slice(it, k, WALK_STEP))))
+    empty = F.struct(none.alias("picks"), F.lit(0).cast("bigint").alias("total"), F.lit(0).alias("dups"),
+                     F.lit(False).alias("some"))
+    return F.aggregate(parts, empty, step, lambda acc: F.struct(
+        F.array_sort(acc.picks).alias("picks"), acc.total.alias("total"), acc.dups.alias("dups")))
 
 
 # ------------------------------------------------------------ C1 / C3
@@ -211,18 +238,28 @@ class CompressionConfig:
         return self.target_ratio if self.target_ratio is not None else LEVEL_RATIO[self.level]
 
 
-def sentence_score(sentence, scoring: str, config: CompressionConfig) -> Column:
-    """A sentence's score.  A null embedding counts as no semantic score:
-    semantic falls back to the rules, hybrid takes 0 for its part."""
-    from .vectors import HYBRID_WEIGHTS, SEMANTIC_WEIGHTS, max_cosine
-    h = heuristic_score(sentence, config.rules)
-    if scoring == "heuristic":
-        return h
+def semantic_part(sentence, config: CompressionConfig) -> Column:
+    """What a semantic score is made of; null without an embedding."""
+    from .vectors import SEMANTIC_WEIGHTS, max_cosine
     cos = max_cosine(config.embed(col(sentence)), config.critical)
-    sem = cos * SEMANTIC_WEIGHTS[0] + information_density(sentence) * SEMANTIC_WEIGHTS[1] + F.lit(0.5)
+    return cos * SEMANTIC_WEIGHTS[0] + information_density(sentence) * SEMANTIC_WEIGHTS[1] + F.lit(0.5)
+
+
+def combined_score(rule_score, semantic, scoring: str) -> Column:
+    """A sentence's score from its two parts.  A null embedding counts as no
+    semantic score: semantic falls back to the rules, hybrid takes 0 for its part."""
+    from .vectors import HYBRID_WEIGHTS
+    if scoring == "heuristic":
+        return rule_score
     if scoring == "semantic":
-        return F.round(F.coalesce(sem, h), SCORE_DECIMALS)
-    return F.round(F.coalesce(sem, F.lit(0.0)) * HYBRID_WEIGHTS[0] + h * HYBRID_WEIGHTS[1], SCORE_DECIMALS)
+        return F.round(F.coalesce(semantic, rule_score), SCORE_DECIMALS)
+    return F.round(F.coalesce(semantic, F.lit(0.0)) * HYBRID_WEIGHTS[0] + rule_score * HYBRID_WEIGHTS[1], SCORE_DECIMALS)
+
+
+def sentence_score(sentence, scoring: str, config: CompressionConfig) -> Column:
+    """A sentence's score."""
+    return combined_score(heuristic_score(sentence, config.rules),
+                          None if scoring == "heuristic" else semantic_part(sentence, config), scoring)
 
 
 def target_tokens(original_tokens, ratio) -> Column:
@@ -244,30 +281,37 @@ def stage_sentence_items(df: DataFrame, text_col: str, prefix: str,
     element.  ``scores_col`` may supply an array<double> aligned with the
     sentences (any other scorer); ``config`` chooses the mode; ``scorings``
     multiplies the rows by modes (``scoring_mode``) after segmentation."""
-    s, it = f"{prefix}__s", f"{prefix}__it"
+    s, it, parts = f"{prefix}__s", f"{prefix}__it", f"{prefix}__parts"
     staged = df.withColumn(s, sentences(text_col))
 
-    def items(mode: str) -> Column:
-        return F.transform(s, lambda x, i: F.struct(
-            (-sentence_score(x, mode, config)).alias("k"), i.alias("idx"), counter(x).alias("tokens"),
-            F.xxhash64(F.lower(x)).alias("h")))
+    def unit(x, i, score):
+        return F.struct((-score).alias("k"), i.alias("idx"), counter(x).alias("tokens"), F.lower(x).alias("same"))
 
     if scorings:
+        # both parts of a score once per sentence, before rows are multiplied by modes
+        semantic = any(m != "heuristic" for m in scorings)
+        staged = staged.withColumn(parts, F.transform(s, lambda x, i: F.struct(
+            heuristic_score(x, config.rules).alias("rule"),
+            (semantic_part(x, config) if semantic else F.lit(None).cast("double")).alias("semantic"),
+            i.alias("idx"), counter(x).alias("tokens"), F.lower(x).alias("same"))))
         staged = staged.withColumn("scoring_mode", F.explode(F.array(*[F.lit(x) for x in scorings])))
-        scored = F.coalesce(*[F.when(F.col("scoring_mode") == m, items(m)) for m in scorings])
+
+        def by_mode(mode):
+            return F.when(F.col("scoring_mode") == mode, F.transform(parts, lambda p: F.struct(
+                (-combined_score(p.rule, p.semantic, mode)).alias("k"), p.idx.alias("idx"), p.tokens.alias("tokens"),
+                p.same.alias("same"))))
+
+        scored = F.coalesce(*[by_mode(m) for m in scorings])
     elif config is not None and not scores_col:
-        scored = items(config.scoring)
+        scored = F.transform(s, lambda x, i: unit(x, i, sentence_score(x, config.scoring, config)))
     elif scores_col:
         scored = F.transform(F.arrays_zip(F.col(s).alias("x"), F.col(scores_col).alias("v")),
-                             lambda z, i: F.struct((-z.v).alias("k"), i.alias("idx"),
-                                                   counter(z.x).alias("tokens"),
-                                                   F.xxhash64(F.lower(z.x)).alias("h")))
+                             lambda z, i: unit(z.x, i, z.v))
     else:
-        scored = F.transform(s, lambda x, i: F.struct(
-            (-heuristic_score(x, rules)).alias("k"), i.alias("idx"), counter(x).alias("tokens"),
-            F.xxhash64(F.lower(x)).alias("h")))
-    return staged.withColumn(it, F.transform(F.array_sort(scored), lambda x: F.struct(
-        x.idx.alias("idx"), x.tokens.alias("tokens"), x.h.alias("h"))))
+        scored = F.transform(s, lambda x, i: unit(x, i, heuristic_score(x, rules)))
+    in_order = F.transform(F.array_sort(scored), lambda x: F.struct(
+        x.idx.alias("idx"), x.tokens.alias("tokens"), x.same.alias("same")))
+    return staged.withColumn(it, first_of_equal(in_order)).drop(parts)
 
 
 def pick_within_budget(df: DataFrame, text_col: str, target_col: str, prefix: str, out: str) -> DataFrame:
@@ -365,10 +409,11 @@ def sentence_table(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 # ------------------------------------------------------ C2 structured mode
 
 def line_offsets(ls) -> Column:
-    """0-based start offset of every line (running sum of length + 1)."""
-    return F.aggregate(col(ls), F.struct(F.lit(0).alias("pos"), F.array().cast("array<int>").alias("out")),
-                       lambda acc, l: F.struct((acc.pos + F.char_length(l) + 1).alias("pos"),
-                                               F.concat(acc.out, F.array(acc.pos)).alias("out"))).out
+    """0-based start offset of every line (running sum of length + 1): the places
+    after the breaks of the lines' own join."""
+    breaks = F.transform(F.split(F.array_join(col(ls), "\n"), ""), lambda c, i: F.when(c == "\n", i + 1))
+    return F.when(F.size(ls) == 0, F.array().cast("array<int>")).otherwise(
+        F.concat(F.array(F.lit(0)), F.filter(breaks, lambda i: i.isNotNull())))
 
 
 def segments(text, blocks) -> Column:
@@ -416,14 +461,13 @@ def compress_structured(text, target, rules: RuleSet = REFERENCE_RULES,
     de-duplication in this mode), re-joined with newlines in document order
     (deviation M13).  struct<text, n_segments, n_selected, selected_tokens>."""
     from .text_ops import structured_blocks
-    segs = segments(text, structured_blocks(text))
-    items = F.array_sort(F.transform(segs, lambda s, i: F.struct(
-        (-segment_score(s, rules)).alias("k"), i.alias("idx"), counter(s).alias("tokens"),
-        i.cast("bigint").alias("h"))))
-    walk = F.transform(items, lambda x: F.struct(x.idx.alias("idx"), x.tokens.alias("tokens"),
-                                                 x.h.alias("h")))
-    picked = select_within_budget(walk, target)
-    return F.struct(
-        F.array_join(F.transform(picked.picks, lambda i: F.element_at(segs, i + 1)), "\n").alias("text"),
-        F.size(segs).alias("n_segments"), F.size(picked.picks).alias("n_selected"),
-        picked.total.alias("selected_tokens"))
+    def picked_of(segs):
+        items = F.transform(F.array_sort(F.transform(segs, lambda s, i: F.struct(
+            (-segment_score(s, rules)).alias("k"), i.alias("idx"), counter(s).alias("tokens")))),
+            lambda x: F.struct(x.idx.alias("idx"), x.tokens.alias("tokens"), F.lit(1).alias("copies")))
+        return let(select_within_budget(items, target), lambda picked: F.struct(
+            F.array_join(F.transform(picked.picks, lambda i: F.element_at(segs, i + 1)), "\n").alias("text"),
+            F.size(segs).alias("n_segments"), F.size(picked.picks).alias("n_selected"),
+            picked.total.alias("selected_tokens")))
+
+    return let(segments(text, structured_blocks(text)), picked_of)

@@ -49,7 +49,7 @@ def keywords(text) -> Column:
     # one pass over the text: lower-case, drop every character that is neither
     # a letter/digit nor whitespace, then split (same words as cleaning each)
     cleaned = words(F.regexp_replace(F.lower(col(text)), r"(?U)[^\p{IsAlphabetic}\p{N}\s]", ""))
-    return F.array_distinct(F.filter(cleaned, lambda w: (F.octet_length(w) > 2) & ~F.array_contains(stop, w)))
+    return F.array_except(F.filter(cleaned, lambda w: F.octet_length(w) > 2), stop)  # distinct, too
 
 
 def keyword_retention(original, expanded) -> Column:

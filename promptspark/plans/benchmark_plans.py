@@ -19,7 +19,7 @@ ROUND = 6
 
 
 def matrix(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents", "doc_id", "text", "lang")
+    docs = table(spark, sf_dir, "documents", "doc_id", "text", "lang", busy=True)
     return bm.run_matrix(docs.withColumnRenamed("lang", "category"))
 
 
@@ -139,7 +139,7 @@ FROM documents d FULL OUTER JOIN (SELECT * FROM z WHERE n_sentences > 0) z ON d.
 def prompt_diff(spark, sf_dir):
     """Each document against its compressed task (present only for the
     documents that were actually compressed), priced with gpt-4 input."""
-    docs = table(spark, sf_dir, "documents", "doc_id", "text")
+    docs = table(spark, sf_dir, "documents", "doc_id", "text", busy=True)
     a = docs.select("doc_id", approx4(F.col("text")).alias("tokens"))
     c = compressed_documents(spark, sf_dir).filter(F.col("n_sentences") > 0)
     b = c.select("doc_id", approx4(F.col("task")).alias("tokens"))
@@ -162,7 +162,7 @@ def insights_json(spark, sf_dir):
     """The library profile as one JSON document (totals, histogram,
     top 10, over-limit count, duplicate groups)."""
     from .library_plans import CONTEXT_LIMIT, MONTHLY_INVOCATIONS, TOP_N
-    docs = table(spark, sf_dir, "documents", "doc_id", "text")
+    docs = table(spark, sf_dir, "documents", "doc_id", "text", busy=True)
     priced = pricing.prompt_costs(docs, spark).select("doc_id", "tokens", "total_cost")
     totals = lib.library_totals(priced, MONTHLY_INVOCATIONS)
     hist = lib.token_histogram(priced).agg(F.array_sort(F.collect_list(
@@ -197,7 +197,7 @@ def pricing_override(spark, sf_dir):
     overrides = [("openai", "gpt-4", 0.02, 0.04), ("openai", "gpt-4o", 0.005, 0.015)]
     models = pricing.models_table(spark, overrides)
     names = ["gpt-4", "openai/gpt-4", "gpt-4o", "openai/gpt-4o", "gemini-flash"]
-    docs = table(spark, sf_dir, "documents", "doc_id", "text", "source")
+    docs = table(spark, sf_dir, "documents", "doc_id", "text", "source", busy=True)
     idx = F.pmod(F.regexp_extract("source", r"(\d+)", 1).cast("int"), F.lit(len(names)))
     rows = docs.select("doc_id", F.element_at(F.array(*[F.lit(n) for n in names]), idx + 1).alias("model"),
                        approx4(F.col("text")).alias("tokens"))

@@ -21,7 +21,7 @@ MONTHLY_INVOCATIONS = 1000
 
 
 def compressed_documents(spark, sf_dir, config: ex.CompressionConfig | None = None):
-    docs = table(spark, sf_dir, "documents", "doc_id", "text")
+    docs = table(spark, sf_dir, "documents", "doc_id", "text", busy=True)
     return ex.extractive_compress(docs, "text", config or ex.CompressionConfig(level=LEVEL))
 
 
@@ -201,7 +201,7 @@ def quality(spark, sf_dir):
 @register("structured_compress")
 def structured_compress(spark, sf_dir):
     """C2 on page text (markup stripped, so the whole page is instructions)."""
-    pages = table(spark, sf_dir, "pages", "page_id", "html")
+    pages = table(spark, sf_dir, "pages", "page_id", "html", busy=True)
     t = pages.select("page_id", tx.strip_tags("html").alias("t"))
     orig = ex.approx4(F.col("t"))
     comp = ex.compress_structured("t", ex.target_tokens(orig, RATIO))

@@ -30,7 +30,7 @@ sp2 AS (SELECT conv_id, turn, text, n - retain AS summary_tokens, retain AS rece
 WITH {SQL_SPLIT}
 SELECT conv_id, turn, summary, recent, summary_tokens, recent_tokens FROM sp2""")
 def summary_recent_split(spark, sf_dir):
-    conv = table(spark, sf_dir, "conversations", "conv_id", "turn", "text")
+    conv = table(spark, sf_dir, "conversations", "conv_id", "turn", "text", busy=True)
     return conv.select("conv_id", "turn", cv.split_summary_recent("text", R).alias("p")) \
         .select("conv_id", "turn", "p.summary", "p.recent", "p.summary_tokens", "p.recent_tokens")
 
@@ -64,6 +64,6 @@ SELECT *, anchor_tokens_total + recent_tokens AS compressed_tokens,
             ELSE 0.0 END AS compression_ratio
 FROM t""")
 def incremental_rollup(spark, sf_dir):
-    conv = table(spark, sf_dir, "conversations", "conv_id", "turn", "text")
+    conv = table(spark, sf_dir, "conversations", "conv_id", "turn", "text", busy=True)
     out = cv.incremental_rollup(conv)
     return out.withColumn("n_anchors", F.col("n_anchors").cast("long"))

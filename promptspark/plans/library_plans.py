@@ -31,7 +31,7 @@ _EXPECTED_PRICES = """(SELECT model, inp::DOUBLE AS inp, outp::DOUBLE AS outp FR
 
 
 def _priced_docs(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents", "doc_id", "text")
+    docs = table(spark, sf_dir, "documents", "doc_id", "text", busy=True)
     return pricing.prompt_costs(docs, spark, model="gpt-4")
 
 
@@ -59,7 +59,7 @@ def library_summary(spark, sf_dir):
 SELECT doc_id, CAST(length(text) AS BIGINT) AS n_chars, {tok('text')} AS tokens FROM documents""")
 def token_count(spark, sf_dir):
     from ..functions.tokens import approx4
-    docs = table(spark, sf_dir, "documents", "doc_id", "text")
+    docs = table(spark, sf_dir, "documents", "doc_id", "text", busy=True)
     return docs.select("doc_id", F.char_length("text").cast("long").alias("n_chars"),
                        approx4(F.col("text")).alias("tokens"))
 
@@ -94,7 +94,7 @@ SELECT doc_id, tokens, tokens - {CONTEXT_LIMIT} AS excess
 FROM (SELECT doc_id, {tok('text')} AS tokens FROM documents) WHERE tokens > {CONTEXT_LIMIT}""")
 def over_limit(spark, sf_dir):
     from ..functions.tokens import approx4
-    docs = table(spark, sf_dir, "documents", "doc_id", "text")
+    docs = table(spark, sf_dir, "documents", "doc_id", "text", busy=True)
     return lib.over_limit(docs.select("doc_id", approx4(F.col("text")).alias("tokens")),
                           CONTEXT_LIMIT)
 
@@ -106,7 +106,7 @@ g AS (SELECT norm, count(*) AS group_size, min(doc_id) AS group_id FROM k
 SELECT k.doc_id, g.group_id, CAST(g.group_size AS BIGINT) AS group_size
 FROM k JOIN g ON k.norm = g.norm""")
 def exact_duplicates(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents", "doc_id", "text")
+    docs = table(spark, sf_dir, "documents", "doc_id", "text", busy=True)
     return lib.exact_duplicates(docs)
 
 
@@ -131,7 +131,7 @@ SELECT d.doc_id, d.model, d.tokens,
 FROM d LEFT JOIN {_EXPECTED_PRICES} ON d.model = p.model""")
 def prompt_cost(spark, sf_dir):
     from ..functions.tokens import approx4
-    docs = table(spark, sf_dir, "documents", "doc_id", "text", "source")
+    docs = table(spark, sf_dir, "documents", "doc_id", "text", "source", busy=True)
     rows = docs.select("doc_id", _model_of_source().alias("model"),
                        approx4(F.col("text")).alias("tokens"))
     return pricing.estimate_costs(rows, spark, "model", "tokens")
@@ -144,7 +144,7 @@ SELECT d.doc_id, p.model, d.tokens,
        d.tokens::DOUBLE / 1000.0 * p.outp AS output_cost
 FROM d CROSS JOIN {_EXPECTED_PRICES}""")
 def model_compare(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents", "doc_id", "text")
+    docs = table(spark, sf_dir, "documents", "doc_id", "text", busy=True)
     return pricing.compare_models(docs, spark, MODEL_CYCLE).drop("text")
 
 
@@ -156,5 +156,5 @@ SELECT conv_id,
   CAST(sum({tok('text')}) AS BIGINT) AS total
 FROM conversations GROUP BY conv_id""")
 def role_breakdown(spark, sf_dir):
-    conv = table(spark, sf_dir, "conversations", "conv_id", "role", "text")
+    conv = table(spark, sf_dir, "conversations", "conv_id", "role", "text", busy=True)
     return lib.role_breakdown(conv)

@@ -98,7 +98,7 @@ def similar_patterns(spark, sf_dir):
     """Every document sentence with the library patterns (benchmark
     passages) at normalised similarity >= 0.85, by the exact blocking join."""
     from ..operators import extract as ex
-    docs = table(spark, sf_dir, "documents", "doc_id", "text")
+    docs = table(spark, sf_dir, "documents", "doc_id", "text", busy=True)
     key = F.struct("doc_id", "idx")
     sents = ex.sentence_table(docs).select(key.alias("text_id"), F.col("sentence").alias("text"))
     lib = benchmark_library(spark, sf_dir)
@@ -111,7 +111,7 @@ def similar_patterns(spark, sf_dir):
 def pattern_match(spark, sf_dir):
     """J5 + C4: benchmark passages found (fuzzily) inside documents, with the
     reference each kept match becomes after overlap resolution."""
-    docs = table(spark, sf_dir, "documents", "doc_id", "text")
+    docs = table(spark, sf_dir, "documents", "doc_id", "text", busy=True)
     lib = benchmark_library(spark, sf_dir).drop("item_id")
     matches = pt.pattern_matches(docs, lib, tau=TAU).checkpoint()
     refs = pt.substitute(matches, lib)
@@ -121,7 +121,7 @@ def pattern_match(spark, sf_dir):
 @register("mine_patterns")
 def mine_patterns(spark, sf_dir):
     """E5: the pattern library mined from the whole document corpus."""
-    return pt.mine_patterns(table(spark, sf_dir, "documents", "doc_id", "text"))
+    return pt.mine_patterns(table(spark, sf_dir, "documents", "doc_id", "text", busy=True))
 
 
 @register("library_ops", """

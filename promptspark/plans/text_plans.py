@@ -88,7 +88,7 @@ def _sql_density(e: str) -> str:
 SELECT doc_id, {norm_text('text')} AS normalized,
        CAST({_sql_words('text')} AS INTEGER) AS words FROM documents""")
 def text_normalize(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents", "doc_id", "text")
+    docs = table(spark, sf_dir, "documents", "doc_id", "text", busy=True)
     return docs.select("doc_id", normalize_text("text").alias("normalized"),
                        word_count("text").alias("words"))
 
@@ -107,9 +107,9 @@ SELECT kind, fmt, CAST(count(*) AS BIGINT) AS n FROM (
         FROM conversations GROUP BY conv_id))
 GROUP BY kind, fmt""")
 def format_profile(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents", "text").select(
+    docs = table(spark, sf_dir, "documents", "text", busy=True).select(
         F.lit("documents").alias("kind"), tx.detect_format("text").alias("fmt"))
-    pages = table(spark, sf_dir, "pages", "html").select(
+    pages = table(spark, sf_dir, "pages", "html", busy=True).select(
         F.lit("pages").alias("kind"), tx.detect_format("html").alias("fmt"))
     conv = _conversation_json(spark, sf_dir).select(
         F.lit("conversation_json").alias("kind"), tx.detect_format("j").alias("fmt"))
@@ -120,7 +120,7 @@ def format_profile(spark, sf_dir):
 def _conversation_json(spark, sf_dir):
     """Each conversation serialised as a chat-JSON document (one group per
     conversation; a conversation is one prompt, bounded by its turns)."""
-    conv = table(spark, sf_dir, "conversations", "conv_id", "turn", "role", "text")
+    conv = table(spark, sf_dir, "conversations", "conv_id", "turn", "role", "text", busy=True)
     return conv.groupBy("conv_id").agg(F.to_json(F.transform(
         F.array_sort(F.collect_list(F.struct("turn", "role", "text"))),
         lambda m: F.struct(m.role.alias("role"), m.text.alias("content")))).alias("j"))
@@ -136,7 +136,7 @@ SELECT 'document', doc_id, 0, 'user', CAST(length(text) AS BIGINT) FROM document
 def chat_json_roundtrip(spark, sf_dir):
     conv = _conversation_json(spark, sf_dir).select(
         F.lit("conversation").alias("kind"), F.col("conv_id").alias("id"), F.col("j").alias("raw"))
-    docs = table(spark, sf_dir, "documents", "doc_id", "text").select(
+    docs = table(spark, sf_dir, "documents", "doc_id", "text", busy=True).select(
         F.lit("document").alias("kind"), F.col("doc_id").alias("id"), F.col("text").alias("raw"))
     both = conv.unionByName(docs)
     msgs = both.select("kind", "id", F.posexplode(tx.parse_messages("raw")).alias("pos", "m"))
@@ -156,7 +156,7 @@ SELECT page_id, plain, CAST(greatest(strlen(html) - strlen(plain), 0) AS BIGINT)
        {tok('plain')} AS tokens
 FROM s""")
 def strip_markup(spark, sf_dir):
-    pages = table(spark, sf_dir, "pages", "page_id", "html")
+    pages = table(spark, sf_dir, "pages", "page_id", "html", busy=True)
     s = pages.withColumn("plain", tx.strip_markup("html"))
     saved = tx.chars_saved("html", "plain").cast("long")
     return s.select("page_id", "plain", saved.alias("chars_saved"),
@@ -165,7 +165,7 @@ def strip_markup(spark, sf_dir):
 
 
 def _sentence_rows(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents", "doc_id", "text")
+    docs = table(spark, sf_dir, "documents", "doc_id", "text", busy=True)
     return ex.sentence_table(docs, rules=(ex.REFERENCE_RULES, DATA_RULES))
 
 
@@ -196,7 +196,7 @@ SELECT doc_id, CAST(i AS INTEGER) AS idx,
 FROM (SELECT doc_id, sents, unnest(range(len(sents))) AS i FROM s)""")
 def sentence_context(spark, sf_dir):
     """Every sentence's window of five with its text."""
-    docs = table(spark, sf_dir, "documents", "doc_id", "text")
+    docs = table(spark, sf_dir, "documents", "doc_id", "text", busy=True)
     staged = docs.select("doc_id", ex.sentences("text").alias("s"))
     windows = staged.select("doc_id", F.posexplode(ex.context_window("s")).alias("idx", "w"))
     return windows.select("doc_id", F.col("idx").cast("int").alias("idx"), F.size("w").alias("n_context"),
@@ -223,7 +223,7 @@ SELECT doc_id, kind, CAST(i AS INTEGER) AS i, content, normalized,
 FROM r WHERE (kind = 0 AND {_sql_words('normalized')} >= 10)
           OR (kind = 1 AND {_sql_words('normalized')} BETWEEN 5 AND 50)""")
 def pattern_candidates(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents", "doc_id", "text")
+    docs = table(spark, sf_dir, "documents", "doc_id", "text", busy=True)
     c = tx.candidates(docs)
     return c.select("doc_id", "kind", F.col("i").cast("int").alias("i"), "content", "normalized",
                     "category")
@@ -242,7 +242,7 @@ SELECT doc_id, phrase, CAST(((length(text) - length(replace(text, phrase, '')))
 FROM documents CROSS JOIN ph
 WHERE (length(text) - length(replace(text, phrase, ''))) / length(phrase) >= 3""")
 def repeated_phrases(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents", "doc_id", "text")
+    docs = table(spark, sf_dir, "documents", "doc_id", "text", busy=True)
     return tx.repeated_phrases(docs, tx.COMMON_PHRASES + DATA_PHRASES)
 
 
@@ -264,8 +264,8 @@ SELECT doc_id,
   CAST(length(t) AS BIGINT) AS total_chars
 FROM f""")
 def instruction_payload_split(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents", "doc_id", "text")
-    pages = table(spark, sf_dir, "pages", "page_id", "html")
+    docs = table(spark, sf_dir, "documents", "doc_id", "text", busy=True)
+    pages = table(spark, sf_dir, "pages", "page_id", "html", busy=True)
     c = docs.join(pages, docs.doc_id == pages.page_id, "full").select(
         F.coalesce("doc_id", "page_id").alias("doc_id"),
         F.concat(F.coalesce("text", F.lit("")), F.lit("\n"), F.coalesce("html", F.lit(""))).alias("t"))
@@ -277,7 +277,7 @@ def instruction_payload_split(spark, sf_dir):
 
 def _fenced_documents(spark, sf_dir):
     """Markdown files built from documents: every line fenced as a block."""
-    docs = table(spark, sf_dir, "documents", "doc_id", "text")
+    docs = table(spark, sf_dir, "documents", "doc_id", "text", busy=True)
     from ..functions.text import lines
     return docs.select("doc_id", F.array_join(F.transform(
         lines("text"), lambda l: F.concat(F.lit("```text\n"), l, F.lit("\n```"))), "\n")
@@ -309,7 +309,7 @@ def harvest_prompts(spark, sf_dir):
 def structured_blocks(spark, sf_dir):
     """P19 on a page bundle: the raw page, its text in a code fence and a
     page-JSON record (whole texts), one row per bracket / table / fence block."""
-    pages = table(spark, sf_dir, "pages", "page_id", "url", "html")
+    pages = table(spark, sf_dir, "pages", "page_id", "url", "html", busy=True)
     bundle = pages.select("page_id", F.concat_ws(
         "\n", "html", F.lit("```"), tx.strip_tags("html"), F.lit("```"),
         F.to_json(F.struct(F.col("url").alias("content"), F.col("page_id").alias("page")))).alias("t"))

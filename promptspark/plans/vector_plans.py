@@ -84,7 +84,7 @@ def hash_embed(spark, sf_dir):
     """V5 + V7 hybrid on document sentences: hash embeddings scored against
     the hash embeddings of the critical phrases."""
     from ..operators.quality import CRITICAL_PATTERNS
-    docs = table(spark, sf_dir, "documents", "doc_id", "text")
+    docs = table(spark, sf_dir, "documents", "doc_id", "text", busy=True)
     sents = ex.sentence_table(docs).withColumn("vec", vc.hash_embed("sentence", _HASH_DIM))
     refs = spark.createDataFrame([(p,) for p in CRITICAL_PATTERNS], "phrase string") \
         .withColumn("vec", vc.hash_embed("phrase", _HASH_DIM))
