@@ -78,7 +78,7 @@ def parse(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     ``error`` set (kind null)."""
     some = let(F.coalesce(lines(text_col), F.array().cast("array<string>")),
                lambda ls: F.when(F.size(ls) == 0, F.array(F.lit(""))).otherwise(ls))  # an empty document has a row
-    lines_df = docs.select(F.col(id_col).alias("doc_id"), F.posexplode(some).alias("ln", "raw")) \
+    lines_df = docs.select(F.col(id_col).alias("doc_id"), F.posexplode_outer(some).alias("ln", "raw")) \
         .withColumn("t", utrim("raw"))
     version = lines_df.filter(F.col("ln") == 0).select(
         "doc_id", F.regexp_extract("t", VERSION_RE, 1).alias("v")) \

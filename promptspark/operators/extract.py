@@ -395,7 +395,8 @@ def sentence_table(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """One row per sentence: (id, idx, sentence, tokens, words, score_k...,
     density, n_context).  Narrow: posexplode after the array work."""
     with_s = df.select(id_col, sentences(text_col).alias("_s"))
-    ex = with_s.select(id_col, F.size("_s").alias("_n"), F.posexplode("_s").alias("idx", "sentence"))
+    ex = with_s.select(id_col, F.size("_s").alias("_n"), F.posexplode_outer("_s").alias("idx", "sentence")) \
+        .where(F.col("sentence").isNotNull())  # a plain posexplode adds a filter that computes the array once more
     # W1's size from place and length; the slices themselves are context_window's.
     n_context = F.least(F.col("idx") + 2, F.col("_n") - 1) - F.greatest(F.col("idx") - 2, F.lit(0)) + 1
     out = ex.select(id_col, F.col("idx").cast("int").alias("idx"), "sentence", n_context.cast("int").alias("n_context"))

@@ -176,13 +176,13 @@ def pattern_matches(docs: DataFrame, lib: DataFrame, id_col: str = "doc_id", tex
     cut = functools.reduce(DataFrame.unionByName, cut).withColumn("q", F.coalesce(segment_size("L", "k", LARGEST), F.lit(1))) \
         .withColumn("need", F.greatest(F.floor(F.col("L") / F.col("q")).cast("int") - F.col("k"), F.lit(1))).checkpoint()
     places = F.transform(F.sequence(F.lit(0), F.floor(F.col("L") / F.col("q")).cast("int") - 1), lambda j: j * F.col("q"))
-    index = cut.select("pid", "width", "q", "k", F.posexplode(grams_at(F.split("needle", ""), places, "q")).alias("j", "gram")) \
+    index = cut.select("pid", "width", "q", "k", F.posexplode_outer(grams_at(F.split("needle", ""), places, "q")).alias("j", "gram")) \
         .withColumn("off", F.col("j") * F.col("q"))
 
     grams = None
     for r in cut.select("width", "q").distinct().collect():  # at most 4 x len(QS)
         g = hay.where((F.col("width") == r["width"]) & (F.col("hL") >= r["q"])).select(
-            "did", "width", F.lit(r["q"]).alias("q"), F.posexplode(grams_at(
+            "did", "width", F.lit(r["q"]).alias("q"), F.posexplode_outer(grams_at(
                 F.split("h", ""), F.sequence(F.lit(0), F.col("hL") - r["q"]), r["q"])).alias("pos", "gram"))
         grams = g if grams is None else grams.unionByName(g)
     if grams is None:
@@ -204,7 +204,7 @@ def pattern_matches(docs: DataFrame, lib: DataFrame, id_col: str = "doc_id", tex
                 ((F.col("wb") + 1) * (F.col("k") + 1) - 1 + F.col("k")).alias("hi")).checkpoint()
     # words whose first character lies in a region, found by buckets of places
     with_any = hay.join(regions.select("did").distinct(), "did", "left_semi").withColumn("hw", words("h"))
-    begins = with_any.select("did", F.size("hw").alias("W"), F.posexplode(F.concat(F.array(F.lit(0)), let(
+    begins = with_any.select("did", F.size("hw").alias("W"), F.posexplode_outer(F.concat(F.array(F.lit(0)), let(
         F.split("h", ""), lambda c: F.filter(F.transform(c, lambda x, i: F.when(x == " ", i + 1)),
                                              lambda i: i.isNotNull())))).alias("word", "at")) \
         .withColumn("bucket", F.floor(F.col("at") / BUCKET))

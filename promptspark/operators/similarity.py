@@ -114,13 +114,13 @@ def _candidates(xs: DataFrame, ys: DataFrame, order: Column) -> DataFrame:
         places = F.transform(F.sequence(F.lit(0), F.floor(F.col("L") / size).cast("int") - 1), lambda j: j * size)
         segments = xs.where(F.col("q") == size).select(
             F.col("id").alias("xid"), F.col("L").alias("xL"), F.col("B").alias("xB"), "k",
-            F.posexplode(grams_at(F.split("t", ""), places, size)).alias("j", "gram"))
+            F.posexplode_outer(grams_at(F.split("t", ""), places, size)).alias("j", "gram"))
         segments = segments.select(
             "xid", "xL", "xB", "k", "j", (F.col("j") * size).alias("off"), "gram", F.explode(F.sequence(
                 length_class(F.col("xL") - F.col("k")), length_class(F.col("xL") + F.col("k")))).alias("class"))
         grams = ys.where(F.col("L") >= size).select(
             F.col("id").alias("yid"), F.col("L").alias("yL"), F.col("B").alias("yB"), length_class("L").alias("class"),
-            F.posexplode(grams_at(F.split("t", ""), F.sequence(F.lit(0), F.col("L") - size), size)).alias("pos", "gram"))
+            F.posexplode_outer(grams_at(F.split("t", ""), F.sequence(F.lit(0), F.col("L") - size), size)).alias("pos", "gram"))
         hits = segments.join(grams, ["gram", "class"]).where(near)
         pairs.append(hits.groupBy("xid", "yid", (F.floor(F.col("xL") / size) - F.col("k")).alias("need"))
                      .agg(F.countDistinct("j").alias("found")).where("found >= need").select("xid", "yid"))

@@ -217,12 +217,12 @@ def candidates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     ``.``-pieces of 5-50 words.  One row per candidate with its order in the
     prompt (paragraphs first), content, normal form and category."""
     t = F.col(text_col)
-    paras = df.select(id_col, F.posexplode(F.split(t, "\n\n")).alias("i", "raw")) \
+    paras = df.select(id_col, F.posexplode_outer(F.split(t, "\n\n")).alias("i", "raw")) \
         .filter(utrim("raw") != "") \
         .select(id_col, F.lit(0).alias("kind"), "i", utrim("raw").alias("content"),
                 normalize_text("raw").alias("normalized")) \
         .filter(F.size(words("normalized")) >= PARAGRAPH_MIN_WORDS)
-    sents = df.select(id_col, F.posexplode(F.split(t, r"\.")).alias("i", "raw")) \
+    sents = df.select(id_col, F.posexplode_outer(F.split(t, r"\.")).alias("i", "raw")) \
         .select(id_col, F.lit(1).alias("kind"), "i", utrim("raw").alias("content")) \
         .filter(F.col("content") != "") \
         .withColumn("normalized", normalize_text("content")) \

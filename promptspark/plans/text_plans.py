@@ -198,7 +198,7 @@ def sentence_context(spark, sf_dir):
     """Every sentence's window of five with its text."""
     docs = table(spark, sf_dir, "documents", "doc_id", "text", busy=True)
     staged = docs.select("doc_id", ex.sentences("text").alias("s"))
-    windows = staged.select("doc_id", F.posexplode(ex.context_window("s")).alias("idx", "w"))
+    windows = staged.select("doc_id", F.posexplode_outer(ex.context_window("s")).alias("idx", "w")).where(F.col("w").isNotNull())
     return windows.select("doc_id", F.col("idx").cast("int").alias("idx"), F.size("w").alias("n_context"),
                           F.array_join("w", "\n").alias("context"))
 
