@@ -18,7 +18,7 @@ from ..functions.tokens import TokenCounter, approx4
 
 VERSION = "1.0"
 # Section kinds and their roles.
-REFERENCE_KINDS = ("ROLE", "EXAMPLES", "CONSTRAINTS")
+REFERENCE_KINDS = ("ROLE", "EXAMPLES", "CONSTRAINTS", "GENERAL")  # GENERAL: deviation M16, patterns of no other category
 MULTILINE_KINDS = REFERENCE_KINDS + ("TASK",)
 ONE_LINE_KINDS = ("CONTEXT", "FOCUS", "STYLE", "FORMAT")
 LIST_KINDS = ("FOCUS", "STYLE")

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions.tokens import approx4
+from ..operators import compress as cp
 from ..operators import patterns as pt
 from ..operators import similarity as sm
 from ..operators.text_ops import categorize
@@ -124,6 +125,20 @@ def mine_patterns(spark, sf_dir):
     return pt.mine_patterns(table(spark, sf_dir, "documents", "doc_id", "text", busy=True))
 
 
+@register("compress_pipeline")
+def compress_pipeline(spark, sf_dir):
+    """C1 with C4 and C5: documents compressed with the benchmark passages as the
+    library.  ``restored``: the instructions come back exactly from the text with
+    markers and the marks."""
+    docs = table(spark, sf_dir, "documents", "doc_id", "text", busy=True)
+    out = cp.compress_with_library(docs, benchmark_library(spark, sf_dir).drop("item_id"))
+    return out.select(
+        "doc_id", "original_tokens", "target_tokens", F.transform("marks", lambda m: F.struct(
+            m["id"].alias("id"), m["at"].alias("at"), m["matched"].alias("matched"), m["tokens_saved"].alias("tokens_saved")))
+        .alias("references"), F.startswith("text", cp.restore_windows("substituted", "marks")).alias("restored"),
+        "document", "compressed_tokens", "tokens_saved", "compression_ratio")
+
+
 @register("library_ops", """
 WITH lib AS (
   SELECT CASE WHEN contains(lower(text), 'you are') OR contains(lower(text), 'your role')
