@@ -232,19 +232,33 @@ def _sql_prompt(a: str, b: str, c: str, d: str) -> str:
 
 def _judge_inputs_sql():
     from .compress_plans import SQL_COMPRESS
-    p = _sql_prompt("text", "''", "task", "''")
-    return ("WITH " + SQL_COMPRESS + f"""
+    from .text_plans import sql_sentences
+    p = _sql_prompt("text", "first_original", "task", "first_compressed")
+
+    def first(column: str) -> str:
+        return (f"(WITH src AS (SELECT doc_id, {column} AS text FROM z), {sql_sentences('src')} "
+                "SELECT doc_id, coalesce(sents[1], '') AS first FROM s)")
+
+    return ("WITH " + SQL_COMPRESS + f""",
+j AS (SELECT z.doc_id, z.text, z.task, a.first AS first_original, b.first AS first_compressed
+      FROM z JOIN {first('text')} a ON a.doc_id = z.doc_id JOIN {first('task')} b ON b.doc_id = z.doc_id)
 SELECT doc_id, CAST(ceil(length({p})::DOUBLE / 4.0) AS BIGINT) AS prompt_tokens,
-       CAST(length({p}) AS BIGINT) AS prompt_chars FROM z""")
+       CAST(length({p}) AS BIGINT) AS prompt_chars FROM j""")
 
 
 @register("judge_inputs", _judge_inputs_sql())
 def judge_inputs(spark, sf_dir):
     """Judge prompts for every document against its compression (the
     two model outputs are stood in by the texts' first sentences)."""
+    from ..operators.extract import sentences
     from .compress_plans import compressed_documents
+
+    def first(text):
+        return F.coalesce(F.get(sentences(text), F.lit(0)), F.lit(""))
+
     c = compressed_documents(spark, sf_dir).select("doc_id", "text", "task")
-    prompt = jg.evaluation_prompt("text", F.lit(""), "task", F.lit(""))
+    c = c.withColumn("first_original", first("text")).withColumn("first_compressed", first("task"))
+    prompt = jg.evaluation_prompt("text", "first_original", "task", "first_compressed")
     return c.select("doc_id", approx4(prompt).alias("prompt_tokens"),
                     F.char_length(prompt).cast("long").alias("prompt_chars"))
 

@@ -9,7 +9,7 @@ from ..operators import compress as cp
 from ..operators import patterns as pt
 from ..operators import similarity as sm
 from ..operators.text_ops import categorize
-from ..sources.tables import table
+from ..sources.tables import spread, table
 from . import register
 from .sqlsnip import norm_text
 
@@ -47,16 +47,16 @@ def benchmark_library(spark, sf_dir):
 
 
 @register("pair_similarity", f"""
-WITH p AS (SELECT a.item_id, a.text AS ta, b.text AS tb FROM benchmark a
-           JOIN benchmark b ON b.item_id = a.item_id + 1),
-w AS (SELECT item_id, ta, tb, p2.w, p2.side FROM p,
+WITH r AS (SELECT doc_id, text, row_number() OVER (ORDER BY doc_id) AS n FROM documents),
+p AS (SELECT a.doc_id, a.text AS ta, b.text AS tb FROM r a JOIN r b ON b.n = a.n + 1),
+w AS (SELECT doc_id, ta, tb, p2.w, p2.side FROM p,
         LATERAL (SELECT unnest(string_split_regex({norm_text('ta')}, ' ')) AS w, 0 AS side
                  UNION ALL SELECT unnest(string_split_regex({norm_text('tb')}, ' ')), 1) p2),
-tf AS (SELECT item_id, w, sum(CASE WHEN side = 0 THEN 1 ELSE 0 END) AS ca,
-              sum(CASE WHEN side = 1 THEN 1 ELSE 0 END) AS cb FROM w WHERE w <> '' GROUP BY item_id, w),
-cs AS (SELECT item_id, sum(ca * cb)::DOUBLE AS dot, sum(ca * ca)::DOUBLE AS na,
-              sum(cb * cb)::DOUBLE AS nb FROM tf GROUP BY item_id)
-SELECT p.item_id, {_sql_sim('ta', 'tb')} AS similarity,
+tf AS (SELECT doc_id, w, sum(CASE WHEN side = 0 THEN 1 ELSE 0 END) AS ca,
+              sum(CASE WHEN side = 1 THEN 1 ELSE 0 END) AS cb FROM w WHERE w <> '' GROUP BY doc_id, w),
+cs AS (SELECT doc_id, sum(ca * cb)::DOUBLE AS dot, sum(ca * ca)::DOUBLE AS na,
+              sum(cb * cb)::DOUBLE AS nb FROM tf GROUP BY doc_id)
+SELECT p.doc_id, {_sql_sim('ta', 'tb')} AS similarity,
        {_sql_sim(norm_text('ta'), norm_text('tb'))} AS normalized_similarity,
        CASE WHEN len({_sql_wordset('ta')}) = 0 AND len({_sql_wordset('tb')}) = 0 THEN 1.0
             ELSE len(list_intersect({_sql_wordset('ta')}, {_sql_wordset('tb')}))::DOUBLE
@@ -64,16 +64,20 @@ SELECT p.item_id, {_sql_sim('ta', 'tb')} AS similarity,
          AS word_jaccard,
        CASE WHEN coalesce(cs.na, 0) = 0 OR coalesce(cs.nb, 0) = 0 THEN 0.0
             ELSE cs.dot / (sqrt(cs.na) * sqrt(cs.nb)) END AS word_cosine
-FROM p LEFT JOIN cs ON p.item_id = cs.item_id""")
+FROM p LEFT JOIN cs ON p.doc_id = cs.doc_id""")
 def pair_similarity(spark, sf_dir):
-    b = table(spark, sf_dir, "benchmark", "item_id", "text")
-    nxt = b.select((F.col("item_id") - 1).alias("item_id"), F.col("text").alias("tb"))
-    pairs = b.select("item_id", F.col("text").alias("ta")).join(nxt, "item_id")
-    cos = sm.word_cosine(pairs, "item_id", "ta", "tb")
-    return pairs.select("item_id", sm.similarity("ta", "tb").alias("similarity"),
+    """V1, V2 and X2 of each document and the next one by id."""
+    docs = table(spark, sf_dir, "documents", "doc_id", "text")
+    ranked = pt.numbered(docs, "doc_id", "n")
+    pairs = ranked.select("doc_id", F.col("text").alias("ta"), "n").join(
+        ranked.select((F.col("n") - 1).alias("n"), F.col("text").alias("tb")), "n").drop("n")
+    # edit distances of whole texts: few rows but much work in each
+    pairs = spread(pairs).checkpoint()
+    cos = sm.word_cosine(pairs, "doc_id", "ta", "tb")
+    return pairs.select("doc_id", sm.similarity("ta", "tb").alias("similarity"),
                         sm.normalized_similarity("ta", "tb").alias("normalized_similarity"),
                         sm.word_jaccard("ta", "tb").alias("word_jaccard")) \
-        .join(cos, "item_id")
+        .join(cos, "doc_id")
 
 
 def _similar_patterns_sql() -> str:

@@ -55,19 +55,28 @@ WITH c AS (SELECT label, d, avg(embedding[d]::DOUBLE) AS m FROM embeddings, rang
 cv AS (SELECT label, list(m ORDER BY d) AS v FROM c GROUP BY label),
 s AS (SELECT e.vec_id, cv.label AS ref, {_sql_cos('e.embedding', 'cv.v')} AS cos
       FROM embeddings e CROSS JOIN cv),
-b AS (SELECT vec_id, max(cos) AS max_cosine, arg_max(ref, (cos, ref)) AS best_ref FROM s GROUP BY vec_id)
+b AS (SELECT vec_id, max(cos) AS max_cosine, arg_max(ref, (cos, ref)) AS best_ref FROM s GROUP BY vec_id),
+t AS (WITH {SQL_SENTENCES} SELECT doc_id, {_sql_density('sentence')} AS density, least(n - 1, 2) + 1 AS n_context
+      FROM x WHERE idx = 0)
 SELECT vec_id, round(max_cosine, 9) AS max_cosine, best_ref,
-       round(max_cosine * 50.0 + 0.5, 9) AS semantic_score FROM b""")
+       round(max_cosine * 50.0 + coalesce(density, 0.0) * 20.0
+             + CASE WHEN coalesce(n_context, 0) = 0 THEN 1.0 ELSE 0.5 END, 9) AS semantic_score
+FROM b LEFT JOIN t ON t.doc_id = b.vec_id""")
 def semantic_scores(spark, sf_dir):
     """J11 + V7 on embeddings: the label centroids (V6) play the critical
-    patterns; the score adds the middle-position 0.5 (these vectors carry no
-    text, so the density term is zero)."""
+    patterns; a vector's text is the first sentence of the document with its id,
+    which gives the density and the position (no such text: no density, and the
+    position of a sentence without context)."""
     e = table(spark, sf_dir, "embeddings", "vec_id", "label", "embedding")
     cents = vc.pooled_vectors(vc.mean_pool(e, "label", "embedding"), "label")
     m = vc.best_match(e.select("vec_id", "embedding"), "embedding", cents, "label", "vector")
+    first = ex.sentence_table(table(spark, sf_dir, "documents", "doc_id", "text", busy=True)).where("idx = 0").select(
+        F.col("doc_id").alias("vec_id"), "density", "n_context")
+    m = m.join(first, "vec_id", "left")
+    score = vc.semantic_score("max_cosine", F.coalesce("density", F.lit(0.0)),
+                              ex.position_score(F.coalesce("n_context", F.lit(0))))
     return m.select("vec_id", F.round("max_cosine", 9).alias("max_cosine"),
-                    F.col("best_ref").alias("best_ref"),
-                    F.round(vc.semantic_score("max_cosine", F.lit(0.0), F.lit(0.5)), 9).alias("semantic_score"))
+                    F.col("best_ref").alias("best_ref"), F.round(score, 9).alias("semantic_score"))
 
 
 _HASH_DIM = 64
