@@ -3,7 +3,9 @@
 A word's score is the relative frequency of the longest n-gram (up to three
 words) that ends in it and stands in the count tables, times ``ALPHA`` for every
 order backed off.  Tables hold all words, and longer n-grams that occur at least
-``CUTOFF`` times; at 1 they are complete.
+``CUTOFF`` times; at 1 they are complete.  A text is scored by the counts of all
+other rows (``leave_out``): its own n-grams are taken off the totals, as they would
+tell each text that it is likely, junk the most.
 
 The counts are a relation partitioned by hash.  Documents are dealt to blocks of
 bounded size; a block explodes its n-grams, adds up equal ones, and sends
@@ -21,8 +23,9 @@ add their counts; expected for one pair in 10^14).
 
 Defined results: words are separated by blanks and compared without case (A-Z);
 a null or blank text has no words, score 0.0 and a null mean; the first word of a
-text has no history and is scored by its frequency without a penalty; repeated
-rows count and are scored as often as they stand.
+text has no history and is scored by its frequency without a penalty; a word that
+no other row has counts as one occurrence, an order further backed off; repeated
+rows count and are scored as often as they stand, each by the others.
 """
 
 from __future__ import annotations
@@ -89,6 +92,7 @@ class Grams:
         n = len(self.words)
         at = np.arange(n) - np.repeat(self.bounds[:-1], np.diff(self.bounds))
         self.place = at  # of each word in its text
+        self.text = np.repeat(np.arange(len(texts)), np.diff(self.bounds))
         self.keys = [self.words >> np.uint64(16)]
         for order in (2, 3):  # the n-gram that ends at each word, where there is one
             total = np.full(n, order, dtype=np.uint64)
@@ -100,6 +104,19 @@ class Grams:
     def has(self, order: int) -> np.ndarray:
         return self.place >= order - 1
 
+    def own(self, order: int) -> np.ndarray:
+        """How often each word's n-gram stands in its own text (0 where there is none)."""
+        out, mask = np.zeros(len(self.words), dtype=np.int64), self.has(order)
+        keys, text = self.keys[order - 1][mask], self.text[mask]
+        by = np.lexsort((keys, text))
+        new = np.r_[True, (keys[by][1:] != keys[by][:-1]) | (text[by][1:] != text[by][:-1])] if len(by) else np.zeros(0, bool)
+        start = np.flatnonzero(new)
+        sizes = np.diff(np.r_[start, len(by)])
+        mine = np.empty(len(by), np.int64)
+        mine[by] = np.repeat(sizes, sizes)
+        out[mask] = mine
+        return out
+
     def short(self) -> np.ndarray:
         """All keys of words and pairs in the block."""
         return np.concatenate([self.keys[0], self.keys[1][self.has(2)]])
@@ -205,10 +222,10 @@ def totals(batch: pd.DataFrame, step: int) -> pd.DataFrame:
 
 
 def score(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", alpha: float = ALPHA,
-          cutoff: int = CUTOFF) -> DataFrame:
+          cutoff: int = CUTOFF, leave_out: bool = True) -> DataFrame:
     """One row per row of ``docs``: (doc_id, n_words, log_score, mean_log_score,
     n_triples, n_pairs, n_singles); logarithms to base 10, the last three say
-    which order scored how many words."""
+    which order scored how many words.  ``leave_out``: by the other rows' counts."""
     kind = docs.schema[doc_id].dataType.simpleString()
     slim = docs.select(F.col(doc_id).alias("id"), F.col(text).alias("text"))
     size = common.total_bytes(slim)
@@ -249,6 +266,12 @@ def score(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", alpha:
             one, two, may = pairs_seen(grams, keys, replies_of(given, 1, keys, ranges), cutoff)
             keys = np.unique(grams.keys[2][may])
             three = grams.look_up(3, may, keys, replies_of(given, 2, keys, ranges))
+        others = np.full(len(one), corpus)
+        if leave_out:
+            one, two, three = (np.maximum(total - grams.own(order), 0)
+                               for order, total in ((1, one), (2, two), (3, three)))
+            others = corpus - np.diff(grams.bounds)[grams.text]
+            two[two < cutoff] = 0
         three[three < cutoff] = 0
         before_one, before_two = np.r_[1, one[:-1]], np.r_[1, two[:-1]]
         if not len(one):
@@ -259,7 +282,8 @@ def score(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", alpha:
         value = np.zeros(len(one))
         value[by3] = np.log10(three[by3] / before_two[by3])
         value[by2] = np.log10(two[by2] / before_one[by2]) + (orders[by2] - 1) * np.log10(alpha)
-        value[by1] = np.log10(one[by1] / corpus) + orders[by1] * np.log10(alpha)
+        value[by1] = (np.log10(np.maximum(one, 1)[by1] / np.maximum(others, 1)[by1])
+                      + (orders + (one == 0))[by1] * np.log10(alpha))
         first = grams.bounds[:-1]
 
         def per_text(x: np.ndarray) -> np.ndarray:

@@ -1,5 +1,6 @@
 import collections
 import math
+import random
 
 import pytest
 from llm_cases import SF, awkward, awkward_rows, empty, sf_dir_with
@@ -7,26 +8,31 @@ from llm_cases import SF, awkward, awkward_rows, empty, sf_dir_with
 from promptspark.llm import ngram_scores as M
 
 
-def brute(rows, alpha=0.4, cutoff=2):
+def brute(rows, alpha=0.4, cutoff=1, leave_out=True):
     count = [collections.Counter() for _ in range(4)]
     texts = [(t or "").encode().lower().split() for _, t in rows]
-    for w in texts:
+    grams = [[collections.Counter(tuple(w[j:j + n]) for j in range(len(w) - n + 1)) for n in range(4)] for w in texts]
+    for mine in grams:
         for n in (1, 2, 3):
-            count[n].update(tuple(w[j:j + n]) for j in range(len(w) - n + 1))
-    total = sum(count[1].values())
+            count[n].update(mine[n])
     out = []
-    for (i, _), w in zip(rows, texts):
+    for (i, _), w, mine in zip(rows, texts, grams):
+        def seen(n, gram):
+            return count[n][gram] - (mine[n][gram] if leave_out else 0)
+
+        total = sum(count[1].values()) - (len(w) if leave_out else 0)
         s, by = 0.0, [0, 0, 0, 0]
         for j in range(len(w)):
             three, two, one = tuple(w[j - 2:j + 1]), tuple(w[j - 1:j + 1]), (w[j],)
-            if j >= 2 and count[3][three] >= cutoff:
-                s += math.log10(count[3][three] / count[2][three[:2]])
+            if j >= 2 and seen(3, three) >= cutoff:
+                s += math.log10(seen(3, three) / seen(2, three[:2]))
                 by[3] += 1
-            elif j >= 1 and count[2][two] >= cutoff:
-                s += math.log10(count[2][two] / count[1][two[:1]]) + (math.log10(alpha) if j >= 2 else 0)
+            elif j >= 1 and seen(2, two) >= cutoff:
+                s += math.log10(seen(2, two) / seen(1, two[:1])) + (math.log10(alpha) if j >= 2 else 0)
                 by[2] += 1
             else:
-                s += math.log10(count[1][one] / total) + math.log10(alpha) * min(j, 2)
+                n = seen(1, one)
+                s += math.log10(max(n, 1) / max(total, 1)) + math.log10(alpha) * (min(j, 2) + (n == 0))
                 by[1] += 1
         out.append((str(i), len(w), round(s, 4), by[3], by[2], by[1]))
     return sorted(out)
@@ -57,10 +63,27 @@ def test_many_blocks_and_ranges(spark, monkeypatch):
 
 def test_query_counts_all_ngrams(spark, tmp_path):
     rows = [(1, "a b c d"), (2, "a b e"), (3, "x y z"), (4, "b"), (5, None)]
-    d = sf_dir_with(spark, tmp_path, documents=spark.createDataFrame(rows, "doc_id long, text string"))
-    got = digest(M.query(spark, d))
-    same(got, brute(rows, cutoff=1))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = digest(M.score(docs, leave_out=False))
+    same(got, brute(rows, leave_out=False))
     assert {g[0]: g[3] for g in got} == {"1": 2, "2": 1, "3": 1, "4": 0, "5": 0}
+    got = digest(M.query(spark, sf_dir_with(spark, tmp_path, documents=docs)))
+    same(got, brute(rows))
+    assert {g[0]: g[3:] for g in got} == {"1": (0, 1, 3), "2": (0, 1, 2), "3": (0, 0, 3), "4": (0, 0, 1), "5": (0, 0, 0)}
+
+
+def test_prose_scores_over_junk_and_copies_over_both(spark):
+    rng = random.Random(1)
+    common_words = ["".join(rng.choice("abcdefgh") for _ in range(4)) for _ in range(60)]
+    def prose():
+        return " ".join(common_words[min(int(rng.expovariate(0.08)), 59)] for _ in range(100))
+    rows = [(k, prose()) for k in range(80)]
+    rows += [(100 + k, " ".join("".join(rng.choice("qwrtzpsdfg") for _ in range(8)) for _ in range(100))) for k in range(5)]
+    rows += [(200, prose() + " unique"), (201, rows[0][1])]
+    got = {r.doc_id: r for r in M.score(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    junk, usual = [got[100 + k].mean_log_score for k in range(5)], [got[k].mean_log_score for k in range(1, 80)]
+    assert max(junk) < min(usual) and max(usual) < got[0].mean_log_score == pytest.approx(got[201].mean_log_score)
+    assert any(got[k].n_pairs > 1 and got[k].n_singles > 1 for k in range(1, 80))
 
 
 def test_small_blocks_with_and_without_a_cutoff(spark, monkeypatch):
@@ -70,6 +93,7 @@ def test_small_blocks_with_and_without_a_cutoff(spark, monkeypatch):
     rows = [tuple(r) for r in docs.collect()]
     for cutoff in (1, 2, 3):
         same(digest(M.score(docs, cutoff=cutoff)), brute(rows, cutoff=cutoff))
+    same(digest(M.score(docs, cutoff=2, leave_out=False)), brute(rows, cutoff=2, leave_out=False))
     same(digest(M.score(docs)), brute(rows, cutoff=1))
 
 
