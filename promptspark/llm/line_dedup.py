@@ -82,7 +82,8 @@ def occurrences_of(docs: DataFrame, doc_id: str, text: str, min_words: int, min_
         return let(line_words(line), fields)
 
     found = F.filter(F.transform(F.split(text, "\n", -1), entry), lambda x: x.isNotNull())
-    return docs.select(own.alias("id"), text_key.alias("text_key"), F.inline(found))
+    # a plain inline adds a filter that computes the array once more
+    return docs.select(own.alias("id"), text_key.alias("text_key"), F.inline_outer(found)).where(F.col("h1").isNotNull())
 
 
 def chain(words: Column, backwards: bool = False) -> Column:
@@ -131,8 +132,9 @@ def near_classes(classes: DataFrame, docs: DataFrame, doc_id: str, text: str) ->
               .select(F.struct("id", "x.line_no").alias("first"), line_words(F.col("x.line")).alias("w"))
               .select("first", "w", F.xxhash64("w").alias("h1"), F.xxhash64(F.lit(1), "w").alias("h2")))
     lines = common.cut(picked.join(chosen, ["h1", "h2", "first"]).dropDuplicates(["h1", "h2"]))
-    emitted = lines.select("h1", "h2", "first", F.explode(variants(F.col("w"), F.col("prefix"), F.col("suffix")))
-                           .alias("v")).select("h1", "h2", "first", "v.key", "v.place", "v.whole")
+    emitted = lines.select("h1", "h2", "first", F.explode_outer(variants(F.col("w"), F.col("prefix"), F.col("suffix")))
+                           .alias("v")).where(F.col("v").isNotNull()) \
+        .select("h1", "h2", "first", "v.key", "v.place", "v.whole")
     # Most keys stand alone: count them first (two longs a row), so that only
     # shared keys are carried on with their lines.
     shared = common.cut(emitted.groupBy("key").agg(F.count(F.lit(1)).alias("m")).where("m > 1").select("key"))
