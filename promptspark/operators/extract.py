@@ -457,18 +457,22 @@ def segment_score(segment, rules: RuleSet = REFERENCE_RULES) -> Column:
 
 
 def compress_structured(text, target, rules: RuleSet = REFERENCE_RULES,
-                        counter: TokenCounter = approx4) -> Column:
-    """Segments scored and walked in score order within the budget (no
-    de-duplication in this mode), re-joined with newlines in document order
-    (deviation M13).  struct<text, n_segments, n_selected, selected_tokens>."""
-    from .text_ops import structured_blocks
-    def picked_of(segs):
+                        counter: TokenCounter = approx4, phrases: Sequence[str] | None = None) -> Column:
+    """Repeated phrases consolidated (P20), segments scored and walked in score
+    order within the budget (no de-duplication in this mode), re-joined with
+    newlines in document order (deviation M13), phrases expanded again.
+    struct<text, n_segments, n_selected, selected_tokens, n_phrases>."""
+    from .text_ops import COMMON_PHRASES, consolidate, expand_phrases, structured_blocks
+
+    def picked_of(segs, refs):
         items = F.transform(F.array_sort(F.transform(segs, lambda s, i: F.struct(
             (-segment_score(s, rules)).alias("k"), i.alias("idx"), counter(s).alias("tokens")))),
             lambda x: F.struct(x.idx.alias("idx"), x.tokens.alias("tokens"), F.lit(1).alias("copies")))
         return let(select_within_budget(items, target), lambda picked: F.struct(
-            F.array_join(F.transform(picked.picks, lambda i: F.element_at(segs, i + 1)), "\n").alias("text"),
+            expand_phrases(F.array_join(F.transform(picked.picks, lambda i: F.element_at(segs, i + 1)), "\n"),
+                           refs).alias("text"),
             F.size(segs).alias("n_segments"), F.size(picked.picks).alias("n_selected"),
-            picked.total.alias("selected_tokens")))
+            picked.total.alias("selected_tokens"), F.size(refs).alias("n_phrases")))
 
-    return let(segments(text, structured_blocks(text)), picked_of)
+    return let(consolidate(text, COMMON_PHRASES if phrases is None else phrases), lambda c: let(
+        segments(c.text, structured_blocks(c.text)), lambda segs: picked_of(segs, c.refs)))

@@ -260,6 +260,37 @@ def repeated_phrases(df: DataFrame, phrases: Sequence[str], id_col: str = "doc_i
     return df.select(id_col, F.inline(found))
 
 
+REF_KEY = "PHRASE_%d"
+_OPEN, _ESCAPED = "[REF:", "[REF::"
+
+
+def consolidate(text, phrases: Sequence[str] = COMMON_PHRASES) -> Column:
+    """P20: phrases that stand at least 3 times replaced by ``[REF:key]``, one after
+    the other in the given order.  struct<text, refs array<struct<key, phrase,
+    occurrences>>>; :func:`expand_phrases` is the exact inverse, as ``[REF:`` of the
+    text itself is marked before."""
+    if any(_OPEN in p or not p for p in phrases):
+        raise ValueError(f"a phrase must not be empty or hold {_OPEN!r}")
+    table = F.array(*[F.struct(F.lit(REF_KEY % k).alias("key"), F.lit(p).alias("phrase")) for k, p in enumerate(phrases)])
+    none = F.array().cast("array<struct<key:string,phrase:string,occurrences:int>>")
+
+    def step(acc, p):
+        return let(occurrences(acc.text, p.phrase), lambda n: F.when(n >= MIN_REPEATS, F.struct(
+            F.replace(acc.text, p.phrase, F.concat(F.lit(_OPEN), p.key, F.lit("]"))).alias("text"),
+            F.concat(acc.refs, F.array(F.struct(p.key.alias("key"), p.phrase.alias("phrase"), n.alias("occurrences"))))
+            .alias("refs"))).otherwise(acc))
+
+    start = F.struct(F.replace(col(text), F.lit(_OPEN), F.lit(_ESCAPED)).alias("text"), none.alias("refs"))
+    return F.aggregate(table, start, step) if phrases else start
+
+
+def expand_phrases(text, refs) -> Column:
+    """P20's inverse, also on a part of the text."""
+    whole = F.aggregate(F.reverse(col(refs)), col(text), lambda t, r: F.replace(
+        t, F.concat(F.lit(_OPEN), r.key, F.lit("]")), r.phrase))
+    return F.replace(whole, F.lit(_ESCAPED), F.lit(_OPEN))
+
+
 # ------------------------------------------------- P19 structured blocks
 
 BLOCK_MIN_SPAN = 50

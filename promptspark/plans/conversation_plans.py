@@ -67,3 +67,19 @@ def incremental_rollup(spark, sf_dir):
     conv = table(spark, sf_dir, "conversations", "conv_id", "turn", "text", busy=True)
     out = cv.incremental_rollup(conv)
     return out.withColumn("n_anchors", F.col("n_anchors").cast("long"))
+
+
+@register("conversation_anchors", SQL_INCREMENTAL + """
+SELECT t.conv_id, t.turn, substr(sha256(t.conv_id || ':' || t.turn), 1, 32) AS anchor_id,
+       CASE WHEN len(sents) = 0 THEN summary ELSE array_to_string(
+         list_transform(list_sort(fo.picks), lambda i: sents[i + 1]), ' ') END AS summary,
+       t.anchor_tokens AS summary_tokens, t.token_position_before + t.summary_tokens AS token_position,
+       t.token_position_before AS original_tokens_before, t.anchor_ratio AS compression_ratio
+FROM t JOIN w ON w.conv_id = t.conv_id AND w.turn = t.turn WHERE t.summary_tokens > 0""")
+def conversation_anchors(spark, sf_dir):
+    """Every anchor of every conversation with its text."""
+    conv = table(spark, sf_dir, "conversations", "conv_id", "turn", "text", busy=True)
+    rows = cv.conversation_anchors(conv).where(F.col("anchor_id").isNotNull())
+    return rows.select("conv_id", "turn", "anchor_id", "summary", F.col("anchor_tokens").alias("summary_tokens"),
+                       "token_position", F.col("token_position_before").alias("original_tokens_before"),
+                       F.col("anchor_ratio").alias("compression_ratio"))

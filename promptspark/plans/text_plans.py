@@ -246,6 +246,28 @@ def repeated_phrases(spark, sf_dir):
     return tx.repeated_phrases(docs, tx.COMMON_PHRASES + DATA_PHRASES)
 
 
+def _phrase_consolidation_sql() -> str:
+    steps = ["s0 AS (SELECT doc_id, text, replace(text, '[REF:', '[REF::') AS t, 0 AS n FROM documents)"]
+    for k, p in enumerate(tx.COMMON_PHRASES + DATA_PHRASES):
+        q = p.replace("'", "''")
+        many = f"(length(t) - length(replace(t, '{q}', ''))) // {len(p)} >= 3"
+        steps.append(f"s{k + 1} AS (SELECT doc_id, text, CASE WHEN {many} THEN replace(t, '{q}', '[REF:{tx.REF_KEY % k}]') "
+                     f"ELSE t END AS t, n + CASE WHEN {many} THEN 1 ELSE 0 END AS n FROM s{k})")
+    return ("WITH " + ",\n".join(steps) + f"""
+SELECT doc_id, CAST(n AS INTEGER) AS n_phrases, t AS consolidated, text IS NOT NULL AS restored
+FROM s{len(steps) - 1} WHERE n > 0""")
+
+
+@register("phrase_consolidation", _phrase_consolidation_sql())
+def phrase_consolidation(spark, sf_dir):
+    """P20: documents with repeated phrases, shortened by references; ``restored``:
+    expansion gives the text back."""
+    docs = table(spark, sf_dir, "documents", "doc_id", "text", busy=True)
+    found = docs.withColumn("c", tx.consolidate("text", tx.COMMON_PHRASES + DATA_PHRASES)).where(F.size("c.refs") > 0)
+    return found.select("doc_id", F.size("c.refs").alias("n_phrases"), F.col("c.text").alias("consolidated"),
+                        (tx.expand_phrases("c.text", "c.refs") == F.col("text")).alias("restored"))
+
+
 # Prompt + page: a document's text followed by a page's markup, so the split
 # point is the first markup line.
 @register("instruction_payload_split", """

@@ -118,3 +118,34 @@ def test_walk_equals_the_plain_one(spark):
                 seen.add(s)
                 total += n
         assert (got[d].picks, got[d].total, got[d].dups) == (sorted(picks), total, dups)
+
+
+def test_phrases_consolidate_and_expand(spark):
+    from promptspark.operators import text_ops as tx
+    rng = random.Random(5)
+    phrases = ["ab", "b]", "REF", "Normalize:", "aba", ":P"]
+    bits = phrases + ["[REF:", "[REF::", "[REF:PHRASE_0]", "]", ":", "x", "\n", "ü"]
+    rows = [(k, "".join(rng.choice(bits) for _ in range(rng.randint(0, 40)))) for k in range(300)] + [(999, None)]
+    df = spark.createDataFrame(rows, DOCS).withColumn("c", tx.consolidate("text", phrases)) \
+        .withColumn("back", tx.expand_phrases("c.text", "c.refs"))
+    some = 0
+    for r in df.collect():
+        assert r.back == r.text
+        if r.text is not None:
+            t, keys = r.text.replace("[REF:", "[REF::"), []
+            for k, p in enumerate(phrases):
+                if t.count(p) >= 3:
+                    keys.append((f"PHRASE_{k}", p, t.count(p)))
+                    t = t.replace(p, f"[REF:PHRASE_{k}]")
+            assert r.c.text == t and [tuple(x) for x in r.c.refs] == keys
+            some += bool(keys)
+    assert some > 50
+    with pytest.raises(ValueError):
+        tx.consolidate("text", ["[REF:x"])
+
+
+def test_structured_mode_expands_its_phrases(spark):
+    text = "# Head\n" + "\n".join(f"Normalize: field {k} of the form, always." for k in range(6)) + "\n# Tail\nlast words here"
+    df = spark.createDataFrame([(1, text)], DOCS)
+    c = df.select(ex.compress_structured("text", F.lit(10_000)).alias("c")).first().c
+    assert c.n_phrases == 1 and c.text == text and "[REF:" not in c.text
