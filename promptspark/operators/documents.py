@@ -3,15 +3,14 @@
 A document is a set of rows ``sections(doc_id, pos, kind, id, content,
 items)`` - the tagged union flattened to a kind plus nullable columns.
 Encoding and expansion are ordered per-document string aggregations (one
-document is one prompt, so a group is bounded by a single prompt); parsing is
-``posexplode`` over lines with a running section number (W5).
+document is one prompt, so a group is bounded by a single prompt); parsing cuts a
+document's lines at its directives within the row, without a shuffle (W5).
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from ..functions.text import let, lines, utrim
 from ..functions.tokens import TokenCounter, approx4
@@ -78,20 +77,23 @@ def parse(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     ``error`` set (kind null)."""
     some = let(F.coalesce(lines(text_col), F.array().cast("array<string>")),
                lambda ls: F.when(F.size(ls) == 0, F.array(F.lit(""))).otherwise(ls))  # an empty document has a row
-    lines_df = docs.select(F.col(id_col).alias("doc_id"), F.posexplode_outer(some).alias("ln", "raw")) \
-        .withColumn("t", utrim("raw"))
-    version = lines_df.filter(F.col("ln") == 0).select(
-        "doc_id", F.regexp_extract("t", VERSION_RE, 1).alias("v")) \
-        .select("doc_id", F.when(F.col("v") == "", F.lit(None))
-                .otherwise(F.regexp_replace("v", "^v+", "")).alias("version"))
-    body = lines_df.filter(F.col("ln") > 0)
-    is_dir = F.col("t").startswith("@") & ~F.col("t").startswith("@ ")
-    w = Window.partitionBy("doc_id").orderBy("ln").rowsBetween(Window.unboundedPreceding, 0)
-    body = body.withColumn("sec", F.sum(F.when(is_dir, 1).otherwise(0)).over(w))
-    heads = body.filter(is_dir).select("doc_id", "sec", F.col("t").alias("head"))
-    content = body.filter(~is_dir & (F.col("sec") > 0)).groupBy("doc_id", "sec").agg(
-        F.array_sort(F.collect_list(F.struct("ln", "raw"))).alias("ls"))
-    sec = heads.join(content, ["doc_id", "sec"], "left")
+
+    def directive(t: Column) -> Column:
+        return t.startswith("@") & ~t.startswith("@ ")
+
+    def cut(ls, ts) -> Column:
+        """One pass: the places of the directives, and the lines between them."""
+        places = F.filter(F.transform(ts, lambda t, i: F.when((i > 0) & directive(t), i)), lambda i: i.isNotNull())
+        return let(places, lambda at: F.transform(at, lambda p, k: F.struct(
+            (k + 1).alias("sec"), F.get(ts, p).alias("head"), F.array_join(F.slice(
+                ls, p + 2, F.coalesce(F.get(at, k + 1), F.size(ls)) - p - 1), "\n").alias("body"))))
+
+    whole = let(some, lambda ls: let(F.transform(ls, utrim), lambda ts: F.struct(
+        F.regexp_extract(F.get(ts, F.lit(0)), VERSION_RE, 1).alias("v"), cut(ls, ts).alias("sections"))))
+    sec = docs.select(F.col(id_col).alias("doc_id"), whole.alias("d")) \
+        .select("doc_id", F.when(F.col("d.v") != "", F.regexp_replace("d.v", "^v+", "")).alias("version"),
+                F.explode_outer("d.sections").alias("x")) \
+        .select("doc_id", "version", "x.sec", "x.head", "x.body")
     name1 = F.regexp_extract("head", DIRECTIVE_RE, 1)
     value = utrim(F.regexp_extract("head", DIRECTIVE_RE, 4))
     one_line = F.col("head").rlike(DIRECTIVE_RE) & name1.isin(*ONE_LINE_KINDS)
@@ -101,8 +103,7 @@ def parse(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
         .otherwise(utrim(F.regexp_replace("head", "^@+", "")))
     mid = F.when(has_br & closed, F.expr("substring(head, instr(head, '[') + 1, "
                                          "instr(head, ']') - instr(head, '[') - 1)"))
-    body_text = utrim(F.array_join(F.transform(F.coalesce("ls", F.array().cast("array<struct<ln:int,raw:string>>")),
-                                               lambda x: x.raw), "\n"))
+    body_text = utrim("body")
     kind = F.when(one_line, name1).when(mname.isin(*MULTILINE_KINDS) & (~has_br | closed), mname)
     error = (F.when(one_line, F.lit(None))
              .when(has_br & ~closed, F.lit("Unclosed bracket in directive"))
@@ -113,9 +114,8 @@ def parse(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
             .when(mname == "TASK", body_text)
             .when(mname.isin(*REFERENCE_KINDS), F.when(body_text == "", F.lit(None)).otherwise(body_text)))
     sid = F.when(mname.isin(*REFERENCE_KINDS), F.coalesce(mid, F.lit(INLINE)))
-    parsed = sec.select("doc_id", F.col("sec").cast("int").alias("pos"), kind.alias("kind"), sid.alias("id"),
-                        cont.alias("content"), items.alias("items"), error.alias("error"))
-    return version.join(parsed, "doc_id", "left")
+    return sec.select("doc_id", "version", F.col("sec").cast("int").alias("pos"), kind.alias("kind"), sid.alias("id"),
+                      cont.alias("content"), items.alias("items"), error.alias("error"))
 
 
 def sections_of(parsed: DataFrame) -> DataFrame:
