@@ -29,9 +29,10 @@ def run_dirs(spark: SparkSession, name: str, run_dir: str | None = None) -> tupl
 
 
 def file_stream(spark: SparkSession, folder: str, file_glob: str, schema: str) -> DataFrame:
-    """A file-source stream over the files of ``folder`` matching ``file_glob``
-    (fixed schema: no inference on a stream)."""
-    return spark.readStream.schema(schema).option("pathGlobFilter", file_glob).parquet(folder)
+    """A file-source stream over what in ``folder`` matches ``file_glob``: files, or
+    folders with a table's part files (fixed schema: no inference on a stream).  The
+    braces make any name a glob, as a stream takes a plain path for a folder."""
+    return spark.readStream.schema(schema).parquet(f"{folder.rstrip('/')}/{{{file_glob}}}")
 
 
 def drain(writer, checkpoint: str):
