@@ -6,6 +6,7 @@ import re
 import pytest
 from pyspark.sql import functions as F
 
+from promptspark.functions.text import let
 from promptspark.operators import patterns as pt
 from promptspark.operators import similarity as sm
 from test_similarity_vectors import sim
@@ -130,3 +131,43 @@ def test_matches_with_a_shuffled_index_and_mixed_widths(spark, monkeypatch):
         monkeypatch.setattr(pt, "BROADCAST_SEGMENTS", most)
         got = pt.pattern_matches(docs, lib).collect()
         assert want and {(*tuple(r)[:4], round(r.similarity, 9)) for r in got} == want and len(got) == len(want)
+
+
+def test_windows_are_tested_by_their_own_bound(spark):
+    """One part of 4 windows: the bound on edits, the length and the row of buckets are the window's own."""
+    words = ["abcde", "fghij", "klmno", "pq", "rstuvwxyz", "z"]
+    places = [0, 6, 12, 18, 21, 31, 33]  # the last one is the end
+    def kept(rows, n=2, chars=11, k=2, width=1):
+        df = spark.createDataFrame([(width, n, k, chars, 2, 3, rows, chars, [0, 1, 2, 3, 4], words, places)], (
+            "width int, n int, k int, L int, segs int, step int, rows array<struct<wb:long,found:int>>, nbytes int, "
+            "starts array<int>, part array<string>, places array<int>"))
+        return df.select(let(F.struct(*df.columns), lambda v: F.filter(v.starts, lambda s: pt._may_match(v, s, 0.85))).alias("s")).first().s
+    # windows of 11, 11, 8, 12 and 11 characters; at 11 bytes one edit is allowed, at 12 too
+    everywhere = [(b, 1) for b in range(-2, 12)]
+    assert kept(everywhere) == [0, 1, 3, 4]
+    assert kept([(b, 0) for b in range(-2, 12)]) == []
+    assert kept([(0, 1)]) == [0] and kept([(2, 1)]) == [1] and kept([(6, 1)]) == [3]
+    assert kept(everywhere, width=2) == [0, 1, 3, 4]
+
+
+@pytest.mark.parametrize("edits", [0, 4, 8])
+def test_a_pattern_in_text_of_its_own_syllables(spark, edits):
+    rng = random.Random(11 + edits)
+    word = lambda: "".join(rng.choice(["th", "in", "er", "on", "än"]) for _ in range(rng.randint(1, 4)))
+    pattern = " ".join(word() for _ in range(12))
+    def changed():
+        p = list(pattern)
+        for _ in range(edits):
+            p[rng.randrange(len(p))] = rng.choice(["", "e", "xy", "ü"])
+        return "".join(p)
+    rows = [(d, " ".join([word() for _ in range(40)] + [changed() for _ in range(d % 3)])) for d in range(9)]
+    want = set()
+    for d, t in rows:
+        w, n = norm(t).split(), len(pattern.split())
+        sims = [(sim(pattern, " ".join(w[s:s + n])), -s) for s in range(len(w) - n + 1)]
+        if max(sims)[0] > 0.85:
+            want.add((d, -max(sims)[1], round(max(sims)[0], 9)))
+    lib = spark.createDataFrame([("p", pattern)], "id string, content string")
+    got = pt.pattern_matches(spark.createDataFrame(rows, DOCS), lib).collect()
+    assert {(r.doc_id, r.start_word, round(r.similarity, 9)) for r in got} == want and len(got) == len(want)
+    assert want or edits
