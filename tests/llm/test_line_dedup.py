@@ -5,6 +5,8 @@ import re
 
 from llm_cases import SF, awkward, awkward_rows, empty, sf_dir_with
 
+from pyspark.sql import functions as F
+
 from promptspark.llm import line_dedup as M
 
 LAST = 2 ** 63 - 1
@@ -131,3 +133,33 @@ def test_empty_table(spark):
 def test_no_python_in_the_plan(spark):
     plan = M.query(spark, SF)._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Pandas" not in plan
+
+
+def test_half_keys_are_those_of_the_halves(spark):
+    """Lines share a key exactly when they share a half, for any number of words; no line is split into words."""
+    lines = ["a", "a b", "b a", "a b c", "a b c d", "a b x c d", "x b c d", "a b c d e f é", "é", "b c d", "ab c d e"]
+    df = spark.createDataFrame([(x,) for x in lines], "x string")
+    got = {r.x: (r.n, r.k) for r in df.select("x", M.n_words(F.col("x")).alias("n"), M.half_keys(
+        F.col("x"), M.n_words(F.col("x"))).alias("k")).collect()}
+
+    def halves(w):
+        return [(side, m, tuple(w[:m // 2] if side == "p" else w[len(w) - m // 2:])) for m in (len(w), len(w) - 1) for side in "ps"]
+
+    want = {}
+    for x in lines:
+        n, keys = got[x]
+        assert n == len(x.split())
+        for half, key in zip(halves(x.split()), keys, strict=True):
+            assert want.setdefault(half, key) == key
+    assert len(set(want.values())) == len(want)
+    found = M.occurrences_of(spark.createDataFrame([(1, "a b c d")], "doc_id long, text string"), "doc_id", "text", 1, 4)
+    # the text into lines, and uneven lines into words
+    assert found._jdf.queryExecution().optimizedPlan().toString().count("split(") == 2
+
+
+def test_keys_alone_are_the_keys_of_the_variants(spark):
+    df = spark.createDataFrame([(["a", "b", "a", "c"], p, s) for p in (True, False) for s in (True, False)],
+                               "w array<string>, p boolean, s boolean")
+    for r in df.select(M.variants(F.col("w"), F.col("p"), F.col("s")).alias("v"),
+                       M.variants(F.col("w"), F.col("p"), F.col("s"), only_keys=True).alias("k")).collect():
+        assert [v.key for v in r.v] == r.k
