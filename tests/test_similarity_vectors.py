@@ -118,3 +118,39 @@ def test_pattern_matches_equal_all_windows(spark):
             allw.select("doc_id", "id", sm.best_window("nd", "n", "hw", 0.85, "starts").alias("m"))
             .filter("m IS NOT NULL").collect()}
     assert got == want
+
+
+@pytest.mark.parametrize("sides, tau", [("right", 0.85), ("right", 0.4), ("left", 0.85), ("none", 0.85)])
+def test_joins_with_a_small_side_equal_brute_force(spark, monkeypatch, sides, tau):
+    """Whichever side is broadcast, texts of all widths of characters; ids that repeat keep their rows."""
+    rng = random.Random(3)
+    def some(n):
+        letters = rng.choice(["ab e", "aé b", "a語😀 "])
+        return "".join(rng.choice(letters) for _ in range(n))
+    def changed(t):
+        t = list(t)
+        for _ in range(rng.randint(0, max(1, len(t) // 5))):
+            t[rng.randrange(len(t))] = rng.choice("ae é😀")
+            t.insert(rng.randrange(len(t)), rng.choice("abé"))
+        return "".join(t)
+    few = ["", "a", "😀"] + [some(rng.randint(2, 60)) for _ in range(25)]
+    many = ["", "b", "é"] + [changed(rng.choice(few[3:])) for _ in range(80)] + [some(rng.randint(1, 60)) for _ in range(40)]
+    many += many[5:8]
+    a = spark.createDataFrame([(i if i < 123 else i - 118, t) for i, t in enumerate(many)] + [(900, None)], "lid int, text string")
+    b = spark.createDataFrame([*enumerate(few), (901, None)], "rid int, text string")
+    want = sorted((i if i < 123 else i - 118, j) for i, x in enumerate(many) for j, y in enumerate(few) if sim(x, y) >= tau)
+    left, right, ids = (b, a, ("rid", "lid")) if sides == "left" else (a, b, ("lid", "rid"))
+    if sides != "right":
+        monkeypatch.setattr(sm, "BROADCAST_TEXTS", -1 if sides == "none" else 100)
+    got = sm.similarity_join(left, right, tau, *ids, "text", "text").collect()
+    assert len(want) > 20 and sorted((r.lid, r.rid) for r in got) == want
+    assert all(abs(r.similarity - sim(many[r.lid], few[r.rid])) < 1e-12 for r in got)
+    assert sm.similarity_join(left, right.where("false"), tau, *ids, "text", "text").count() == 0
+
+
+def test_a_library_meets_texts_without_shuffling_them(spark):
+    texts = spark.range(50).selectExpr("id as lid", "repeat('some words ', 1 + id % 9) as text")
+    lib = spark.createDataFrame([(1, "some words some words "), (2, "nothing")], "rid int, text string")
+    got = sm.similarity_join(texts, lib, 0.85, "lid", "rid")
+    assert "Exchange hashpartitioning" not in got._jdf.queryExecution().executedPlan().toString()
+    assert {(r.lid % 9, r.rid) for r in got.collect()} == {(1, 1)}
